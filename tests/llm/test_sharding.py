@@ -1,0 +1,49 @@
+import hashlib
+import zlib
+from collections import Counter
+
+from pathloom.llm import sharding
+
+
+def brute(rows, shards=16, seed=42):
+    """rows: (doc_id, text, source)."""
+    data = []
+    for doc, text, source in rows:
+        b = (text or "").encode()
+        data.append(("" if source is None else "=" + source, hashlib.md5(f"{seed}:{'' if doc is None else doc}".encode()).hexdigest(), (doc is not None, doc or 0), len(b) + 1, zlib.crc32(b), doc))
+    data.sort(key=lambda r: r[:5])
+    n, seen, keyed = Counter(r[0] for r in data), Counter(), []
+    for r in data:
+        seen[r[0]] += 1
+        keyed.append(((2 * seen[r[0]] - 1) / (2.0 * n[r[0]]), *r))
+    keyed.sort(key=lambda r: r[:6])
+    out, slots = [], Counter()
+    for place, r in enumerate(keyed):
+        s = place * shards // len(keyed)
+        out.append((r[6], r[4], r[5], s, slots[s]))
+        slots[s] += 1
+    return sorted(out, key=str)
+
+
+def got(df):
+    return sorted([(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in df.collect()], key=str)
+
+
+def test_against_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 17)
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    assert got(sharding.interleave(docs)) == brute(rows)
+
+
+def test_shards_match_the_mixture(spark):
+    df = spark.range(3200).selectExpr("id AS doc_id", "'t' AS text", "CASE WHEN id % 10 < 6 THEN 'hot' ELSE concat('s', id % 10) END AS source")
+    rows = sharding.interleave(df).collect()
+    hot = Counter(r["shard"] for r in rows if r["source"] == "hot")
+    assert set(Counter(r["shard"] for r in rows).values()) == {200}
+    assert all(118 <= hot[s] <= 122 for s in range(16))
+
+
+def test_odd_rows(odd, none):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in odd.collect()]
+    assert got(sharding.interleave(odd)) == brute(rows)
+    assert sharding.interleave(none).count() == 0
