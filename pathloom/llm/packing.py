@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 from bisect import bisect_left
 
@@ -20,7 +19,7 @@ BLOCK = 16384
 #: Pieces of its emptiest sequences that a block hands to the next round.
 HANDED = 2048
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict[str, "WordEncoder"] = {}
@@ -48,6 +47,7 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.remembered = remembered
+        self.ends: np.ndarray | None = None
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -55,33 +55,51 @@ class WordEncoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def _plain(self, words: list[str]) -> list[bytes]:
+    def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _single(self, words: list[str]) -> list[bytes]:
+        """Words that the splitter leaves whole, encoded as one text; the last piece of each is marked as a word's end."""
+        if self.ends is None:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._each(words)
+        data, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.remembered:
-            self.known, self.cores = {}, {}
-        split, need = [], set()
+        split, single, other = [], set(), []
+        cores = self.cores
         for w in words:
             core = w.rstrip(",.!")
-            if core and core.isalpha() and max(core) < "ɐ" and unicodedata.is_normalized("NFC", core):
+            if core.isalpha() and (core.isascii() or (max(core) < "ɐ" and unicodedata.is_normalized("NFC", core))):
                 parts = (core.lower(), w[len(core):])
+                split.append((w, parts))
+                single.update(p for p in parts if p not in cores)
             else:
-                parts = (w, "")
-            split.append((w, parts))
-            need.update(p for p in parts if p and p not in self.cores)
-        for p, ids in zip(order := sorted(need), self._plain(order), strict=True):
-            self.cores[p] = ids
-        self.cores[""] = b""
+                other.append(w)
+        single.discard("")
+        if single:
+            order = sorted(single)
+            cores.update(zip(order, self._single(order), strict=True))
         for w, (a, b) in split:
-            self.known[w] = self.cores[a] + self.cores[b]
+            self.known[w] = cores[a] + cores[b] if b else cores[a]
+        if other:
+            self.known.update(zip(other, self._each(other), strict=True))
 
     def encode(self, text: str) -> bytes:
-        words = re.sub("[\t\n\r]", " ", text).split(" ")
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         out = []
         for at in range(0, len(words), 200_000):
             some = words[at : at + 200_000]
-            if new := set(some).difference(self.known):
+            new = set(some).difference(self.known)
+            if len(self.known) + len(new) > self.remembered:
+                self.known, self.cores, new = {}, {}, set(some)
+            if new:
                 self._learn(new)
             out.append(b"".join(map(self.known.__getitem__, some)))
         return b"".join(out)

@@ -77,3 +77,9 @@ def test_local_search_beats_best_fit():
         better += len(second) < len(first)
     assert not worse
     assert better
+
+
+def test_forgetting():
+    small, large = (packing.WordEncoder(packing.default_tokenizer(), n) for n in (4, 1000))
+    for text in ("one two three", "three four, five! six", "one one seven", "a b c d e f g h a"):
+        assert small.encode(text) == large.encode(text)
