@@ -12,8 +12,9 @@ from . import common
 #: Vectors in one data block, each with a cover tree of its own, and queries that meet it at a time.
 BLOCK = 16_384
 GROUP = 2_048
-LEAF = 48
-#: A node's points are split among this many centres at a time; more centres go on in nodes below.
+LEAF = 256
+BRANCH = 32
+#: Whole numbers below it are exact as floats.
 FLOAT_EXACT = float(1 << 52)
 
 
@@ -21,8 +22,10 @@ class CoverTree:
     """A cover tree over distinct integer vectors, as arrays of nodes.
 
     A node holds a centre (one of its points), and the covering radius: the largest distance from the centre
-    to a point below it. Its children's centres are further apart than half its scale, and each point
-    below goes to the first centre within half the scale. Nodes of up to LEAF points are leaves.
+    to a point below it. Its children's centres are further apart than half its radius, and each point
+    below goes to the first centre within that. Where BRANCH centres don't cover all, as in data without
+    structure at this scale, the rest goes to the nearest centre, whose covering radius says so: bounds
+    stay exact. Nodes of up to LEAF points are leaves.
     """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
@@ -55,17 +58,28 @@ class CoverTree:
             rest, scale = self.members[node], self.radius[node] / 2
             if len(rest) <= leaf or scale == 0:
                 continue
-            at = self.centre[node]
-            while len(rest):
+            at, centres, groups, reach = self.centre[node], [], [], []
+            while len(rest) and len(centres) < BRANCH:
                 far = self._far(at, rest)
                 near = far <= scale
                 near[rest == at] = True
-                child = self._add(at, rest[near], far[near])
+                centres.append(at)
+                groups.append([rest[near]])
+                reach.append([far[near]])
+                rest = rest[~near]
+                at = int(rest[0]) if len(rest) else -1
+            if len(rest):
+                c = np.array(centres)
+                far2 = self.norm2[rest][:, None] + self.norm2[c] - 2 * (self.points[rest] @ self.points[c].T)
+                nearest = far2.argmin(axis=1)
+                far = np.sqrt(np.maximum(far2[np.arange(len(rest)), nearest], 0))
+                for k in range(len(centres)):
+                    groups[k].append(rest[nearest == k])
+                    reach[k].append(far[nearest == k])
+            for c, members, far in zip(centres, groups, reach, strict=True):
+                child = self._add(c, np.concatenate(members), np.concatenate(far))
                 self.children[node].append(child)
                 waiting.append(child)
-                rest = rest[~near]
-                if len(rest):
-                    at = int(rest[0])
             self.members[node] = self.members[node][:0]
         return root
 
@@ -107,7 +121,11 @@ def dual_search(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarr
     qpoints, qgroup = np.unique(q, axis=0, return_inverse=True)
     qgroup = qgroup.reshape(-1)
     data, queries = CoverTree(points), CoverTree(qpoints)
-    asked = [np.flatnonzero(qgroup == i) for i in range(len(qpoints))] if len(qpoints) < len(q) else [np.array([i]) for i in np.argsort(qgroup, kind="stable")]
+    asked = np.split(np.argsort(qgroup, kind="stable"), np.cumsum(np.bincount(qgroup))[:-1])
+    # of equal vectors the k + 1 smallest ids can matter, as one may be the query itself
+    place = np.arange(len(d_ids)) - start[group[by_group]]
+    entries = by_group[place <= k]
+    first = np.searchsorted(group[entries], np.arange(len(points) + 1))
     # of each query the best so far, by score and then smaller id
     best_s = np.full((len(q_ids), k), np.iinfo(np.int64).min)
     best_i = np.full((len(q_ids), k), np.iinfo(np.int64).max)
@@ -115,31 +133,25 @@ def dual_search(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarr
     dc, dr, dn = points[data.centre], np.array(data.radius), np.sqrt(data.norm2[data.centre])
 
     def base(qnode: int, dnodes: list[int]) -> None:
-        rows = np.concatenate([asked[p] for p in queries.below(qnode)])
+        rows = queries_of(qnode)
         cols = np.concatenate([data.members[n] for n in dnodes])
         cols = cols[np.argsort(-(points[cols] @ qpoints[queries.centre[qnode]]), kind="stable")]
-        for at in range(0, len(cols), 2048):
-            some = cols[at : at + 2048]
+        for at in range(0, len(cols), 1024):
+            some = cols[at : at + 1024]
             s = _scores(q[rows], points[some])
             take = s >= kth[rows][:, None]
-            need = np.flatnonzero(take.any(axis=1))
-            for r in need:
-                mine = np.flatnonzero(take[r])
-                if len(mine) > k + 1:  # one may be the query itself; the copies of one point tie, so points below the kth best score can't matter
-                    mine = mine[s[r, mine] >= np.partition(s[r, mine], -k - 1)[-k - 1]]
-                ids, values = [], []
-                for c in mine:
-                    copies = d_ids[by_group[start[some[c]] : start[some[c] + 1]][: k + 1]]
-                    copies = copies[copies != q_ids[rows[r]]]
-                    ids.append(copies)
-                    values.append(np.full(len(copies), s[r, c]))
-                x = rows[r]
-                ids = np.concatenate([best_i[x], *ids])
-                values = np.concatenate([best_s[x], *values])
-                top = np.lexsort((ids, -values.astype(np.float64) if np.abs(values[values > np.iinfo(np.int64).min]).max(initial=0) < FLOAT_EXACT else _down(values)))[:k]
-                best_i[x], best_s[x] = ids[top], values[top]
-                if best_i[x][-1] != np.iinfo(np.int64).max:
-                    kth[x] = max(kth[x], float(best_s[x][-1]))
+            mine, some = rows[take.any(axis=1)], some[take.any(axis=0)]
+            if not len(mine):
+                continue
+            s = s[take.any(axis=1)][:, take.any(axis=0)]
+            count = first[some + 1] - first[some]
+            which = np.repeat(np.arange(len(some)), count)
+            entry = entries[np.repeat(first[some], count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)]
+            order = np.argsort(entry)  # entries are numbered by id
+            entry, s = entry[order], s[:, which[order]]
+            _best(best_i, best_s, mine, d_ids[entry], s, q_ids[mine], k)
+            full = best_i[mine, -1] != np.iinfo(np.int64).max
+            kth[mine[full]] = np.maximum(kth[mine[full]], best_s[mine[full], -1].astype(np.float64))
 
     # own rows may take a place above, so a pruned pair needs a bound strictly below the kth score
     slack = 1e-9
@@ -179,10 +191,22 @@ def dual_search(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarr
     return where, best_i[found], best_s[found]
 
 
-def _down(values: np.ndarray) -> np.ndarray:
-    """Ranks that order integers downwards, exact."""
-    _, rank = np.unique(values, return_inverse=True)
-    return -rank.reshape(-1)
+def _best(best_i: np.ndarray, best_s: np.ndarray, rows: np.ndarray, ids: np.ndarray, s: np.ndarray, own: np.ndarray, k: int) -> None:
+    """Puts the scores ``s`` of ``ids``, which ascend, into the k best of ``rows``."""
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    width = s.shape[1]
+    mask = ids[None, :] != own[:, None]
+    if np.abs(s.astype(np.float64)).max(initial=0) * (width + 1) < FLOAT_EXACT:
+        key = np.where(mask, s * width + (width - 1 - np.arange(width)), -(1 << 62))  # ties to the smaller id
+        pick = np.argpartition(-key, k - 1, axis=1)[:, :k] if width > k else np.broadcast_to(np.arange(width), s.shape)
+    else:
+        pick = np.argsort(np.where(mask, s, low)[:, ::-1], axis=1, kind="stable")[:, ::-1][:, : k + 1]
+        pick = width - 1 - pick
+    fresh = np.take_along_axis(mask, pick, axis=1)
+    ids = np.concatenate([best_i[rows], np.where(fresh, ids[pick], high)], axis=1)
+    scores = np.concatenate([best_s[rows], np.where(fresh, np.take_along_axis(s, pick, axis=1), low)], axis=1)
+    order = np.lexsort((ids, ~scores), axis=1)[:, :k]  # ~x falls as x rises, without overflow
+    best_i[rows], best_s[rows] = np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:

@@ -56,3 +56,21 @@ def test_tree_covers_its_points():
     for node in range(len(tree.centre)):
         far = np.linalg.norm(points[tree.below(node)] - points[tree.centre[node]], axis=1)
         assert far.max() <= tree.radius[node] + 1e-6
+
+
+def test_data_without_structure():
+    rng = np.random.default_rng(9)
+    d = np.floor(rng.normal(0, 8, (3000, 64)))
+    ids = rng.permutation(3000)
+    q = np.flatnonzero(ids % 20 == 0)
+    where, found, scores = topk.dual_search(ids[q], d[q], ids, d, 20)
+    for r, x in enumerate(q):
+        s = d @ d[x]
+        best = sorted((-s[j], ids[j]) for j in range(3000) if j != x)[:20]
+        assert [(-a, b) for a, b in best] == list(zip(scores[where == r], found[where == r]))
+
+
+def test_own_row_among_few_columns():
+    d = np.array([[9.0, 0.0]] + [[8.0, float(i)] for i in range(40)])
+    where, ids, scores = topk.dual_search(np.array([100]), d[:1], np.array([100, *range(40)]), d, 5)
+    assert (ids.tolist(), scores.tolist()) == ([0, 1, 2, 3, 4], [72] * 5)
