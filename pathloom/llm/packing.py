@@ -19,7 +19,7 @@ BLOCK = 16384
 #: Pieces of its emptiest sequences that a block hands to the next round.
 HANDED = 2048
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 700_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict[str, "WordEncoder"] = {}
