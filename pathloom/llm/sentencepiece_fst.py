@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,13 +13,39 @@ from pyspark.sql import types as T
 from . import common
 
 SPACE = "▁"
-#: Runs whose ids a worker remembers, and their longest length; beyond them the memory starts anew.
+#: Runs and parts whose ids a worker remembers, in two generations of each, and their longest length.
 REMEMBERED = 1_500_000
 LONGEST_REMEMBERED = 64
+#: Runs that are looked up before it is seen how many are remembered.
+AT_ONCE = 100_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
+FALLBACK = -1
 _LOADED: dict[str, "Transducer"] = {}
 
 
+class Memory(dict):
+    """Values of texts, found once; those of the generation before are taken over when they are asked for."""
+
+    def __init__(self, find, before: dict):
+        super().__init__()
+        self.find, self.before = find, before
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.before.get(text)
+        if found is None:
+            found = self.find(text)
+        if len(text) <= LONGEST_REMEMBERED:
+            self[text] = found
+        return found
+
+    def aged(self) -> "Memory":
+        """This memory, or an empty one after it where it is full."""
+        if len(self) < REMEMBERED // 4:
+            return self
+        self.before = {}
+        return Memory(self.find, self)
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -51,19 +79,23 @@ class Transducer:
         self.prefix = spec.normalizer_spec.add_dummy_prefix
         self.rank = {p.piece: (-p.score, i) for i, p in enumerate(spec.pieces) if p.type == NORMAL}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(spec.pieces) if p.type == BYTE}
-        self.longest = max((len(p) for p in self.rank), default=1)
-        #: every start of a piece, as a trie
-        self.starts = {p[:n] for p in self.rank for n in range(1, len(p) + 1)}
+        self.names = [p.piece for p in spec.pieces]
+        #: pieces that BPE gives for their own text, as a trie of characters; an id stands at ""
+        self.trie: dict = {}
+        for piece, (_, i) in self.rank.items():
+            if self._merge(piece) == [piece]:
+                node = self.trie
+                for c in piece:
+                    node = node.setdefault(c, {})
+                node[""] = i
         #: characters that stand side by side in some piece; no piece crosses another border
-        self.joined = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
+        self.joined = {pair for p in self.rank for pair in zip(p, p[1:])}
         inner = any(SPACE in p.lstrip(SPACE) for p in self.rank)
         #: pieces have space marks only in front, so no piece crosses the border before a run of marks
         self.runs = None if inner else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.raw = [bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() if p.type in (NORMAL, USER) else b"" for p in spec.pieces]
-        self.alone: dict[str, bool] = {}
-        self.beside: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.beside: dict[int, bool] = {}
+        self.known, self.parts = Memory(self._spell, {}), Memory(self._ids, {})
 
     @classmethod
     def of(cls, path: str) -> "Transducer":
@@ -81,89 +113,86 @@ class Transducer:
             k = best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def _may_stand(self, piece: str) -> bool:
-        if (ok := self.alone.get(piece)) is None:
-            ok = self.alone[piece] = self._merge(piece) == [piece]
-        return ok
-
-    def _may_follow(self, a: str, b: str) -> bool:
-        if (ok := self.beside.get((a, b))) is None:
-            if len(self.beside) > REMEMBERED:
-                self.beside.clear()
-            ok = self.beside[a, b] = self._merge(a + b) == [a, b]
+    def _may_follow(self, a: int, b: int) -> bool:
+        if len(self.beside) > REMEMBERED:
+            self.beside.clear()
+        one, two = self.names[a], self.names[b]
+        ok = self.beside[a * len(self.names) + b] = self._merge(one + two) == [one, two]
         return ok
 
     def normalise(self, text: str) -> str:
         return ((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else ""
 
-    def _arcs(self, text: str, i: int) -> list[str]:
-        """Pieces that start at a place, the longest last; "" is the byte fallback."""
-        out, starts, rank = [], self.starts, self.rank
-        for j in range(i + 1, min(len(text), i + self.longest) + 1):
-            piece = text[i:j]
-            if piece not in starts:
+    def _arcs(self, text: str, i: int) -> list[tuple[int, int]]:
+        """Ends and ids of pieces that start at a place, the longest last."""
+        out, node = [], self.trie
+        if text[i] not in self.rank:
+            out.append((i + 1, FALLBACK))
+        for j in range(i, len(text)):
+            node = node.get(text[j])
+            if node is None:
                 break
-            if piece in rank and self._may_stand(piece):
-                out.append(piece)
-        return out if text[i] in rank else [*out, ""]
+            if "" in node:
+                out.append((j + 1, node[""]))
+        return out
 
     def shortest(self, text: str) -> list[int]:
         """Ids along the least-weight path of the composition with a normalised text."""
-        n, place, last = len(text), 0, ""
-        way: list[tuple[int, str, list[str]]] = []  # place, piece before it, arcs not tried
-        seen = {(0, "")}
-        arcs = self._arcs(text, 0) if n else []
+        n, place, last, size = len(text), 0, FALLBACK, len(self.names)
+        way: list[tuple[int, int, list]] = []  # place, piece before it, arcs not tried
+        closed: set[tuple[int, int]] = set()  # states from which no path goes on to the end
+        beside, arcs_at = self.beside, self._arcs
+        arcs = arcs_at(text, 0) if n else []
         while place < n:
             if arcs:
-                piece = arcs.pop()
-                to = place + (len(piece) or 1)
-                if (to, piece) in seen or (piece and last and not self._may_follow(last, piece)):
+                to, piece = arcs.pop()
+                if closed and (to, piece) in closed:
                     continue
-                seen.add((to, piece))
+                if last >= 0 and piece >= 0:
+                    ok = beside.get(last * size + piece)
+                    if ok is None:
+                        ok = self._may_follow(last, piece)
+                    if not ok:
+                        continue
                 way.append((place, last, arcs))
                 place, last = to, piece
-                arcs = self._arcs(text, place) if place < n else []
+                arcs = arcs_at(text, to) if to < n else []
             else:
+                closed.add((place, last))
                 place, last, arcs = way.pop()
+        pieces = [piece for _, piece, _ in way[1:]]
+        if n:
+            pieces.append(last)
+        if FALLBACK not in pieces:
+            return pieces
         ids: list[int] = []
-        ends = [*way[1:], (place, last, [])]
-        for (before, _, _), (_, piece, _) in zip(way, ends, strict=True):
-            ids += [self.rank[piece][1]] if piece else [self.bytes[b] for b in text[before].encode("utf-8", "surrogatepass")]
+        for (before, _, _), piece in zip(way, pieces, strict=True):
+            ids += [piece] if piece >= 0 else [self.bytes[b] for b in text[before].encode("utf-8", "surrogatepass")]
         return ids
 
+    def _ids(self, text: str) -> bytes:
+        ids = array("I", self.shortest(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def _spell(self, run: str) -> bytes:
         """Ids of a run, cut where no piece crosses."""
-        parts, at = [], 0
-        for k in range(1, len(run)):
-            if run[k - 1 : k + 1] not in self.joined:
-                parts.append(run[at:k])
-                at = k
-        if not parts:
-            return np.array(self.shortest(run), "<u4").tobytes()
-        return b"".join([self._part(x) for x in (*parts, run[at:])])
-
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            found = np.array(self.shortest(part), "<u4").tobytes()
-            if len(part) <= LONGEST_REMEMBERED:
-                self.parts[part] = found
-        return found
+        joined = self.joined
+        cuts = [k for k, pair in enumerate(zip(run, run[1:]), 1) if pair not in joined]
+        if not cuts:
+            return self._ids(run)
+        return b"".join([self.parts[run[i:j]] for i, j in zip([0, *cuts], [*cuts, len(run)])])
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian 32-bit numbers."""
         whole = self.normalise(text or "")
         runs = self.runs.findall(whole) if self.runs else [whole] if whole else []
-        new = set(runs).difference(self.known)
-        if len(self.known) + len(self.parts) + len(new) > REMEMBERED:
-            self.known, self.parts, new = {}, {}, set(runs)
-        for run in new:
-            self.known[run] = self._spell(run)
-        out = b"".join(map(self.known.__getitem__, runs))
-        for run in new:
-            if len(run) > LONGEST_REMEMBERED:
-                del self.known[run]
-        return out
+        out = []
+        for k in range(0, len(runs), AT_ONCE):
+            out.append(b"".join(map(self.known.__getitem__, runs[k : k + AT_ONCE])))
+            self.known, self.parts = self.known.aged(), self.parts.aged()
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: bytes of byte pieces go together, unknown and control ids stand for nothing, the mark in front goes."""
