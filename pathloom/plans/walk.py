@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import codec
 from ..schema import MAX_DEPTH, ROOT
+from ..sources import store as stores
 
 
 @dataclass
@@ -17,31 +20,65 @@ class Walk:
     entries: DataFrame
     counters: DataFrame
     complete: bool
+    #: a row for each page read from a store: oid, pages, missing, problem, seconds
+    reads: DataFrame | None = None
 
 
-def walk(omap: DataFrame, roots: list[int], start: int = ROOT, max_levels: int | None = None) -> Walk:
+def walk(omap: DataFrame, roots: list[int], start: int = ROOT, max_levels: int | None = None, seconds: float | None = None) -> Walk:
     """Follows directories level by level from the fragments ``roots`` of ``start``.
 
     ``omap`` is (oid, key, value); an object without rows but there is a row with a null key. Values are decoded
     once, then a level is one join of the fragments to visit with the decoded rows by object. seq grows from
-    level to level, so a directory comes before what it holds. With ``max_levels`` the walk may end early.
+    level to level, so a directory comes before what it holds. With ``max_levels`` or ``seconds``, which is looked
+    at between levels, the walk may end early.
     """
-    spark = omap.sparkSession
     rows = storage.stage(codec.decoded(omap.filter("key is not null")), "decoded")
     there = omap.select("oid").distinct()
+
+    def level(visit: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        return visit.join(rows, "oid").select("dir", *rows.columns), visit.join(there, "oid", "left_anti").select("nonempty"), None
+
+    return _follow(omap.sparkSession, level, roots, start, max_levels, seconds)
+
+
+def root_fragments(store: stores.Store, start: int = ROOT) -> list[int]:
+    """The fragments to start from: those that the root's own object tells, or the whole directory elsewhere."""
+    return codec.leaves(codec.decode_root(store.read_all("1.00000000.inode"))["fragtree"]) if start == ROOT else [0]
+
+
+def walk_store(spark: SparkSession, store: stores.Store, start: int = ROOT, tasks: int = 32, page: int = stores.PAGE, max_ops: float = 0, max_levels: int | None = None, seconds: float | None = None) -> Walk:
+    """The same walk over a store that is read as it goes; only what can be reached is read. ``reads`` has a row for each page."""
+
+    def level(visit: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        read = storage.stage(stores.read_objects(visit, store, tasks, page, max_ops), "read")
+        rows = codec.decoded(read.filter("key is not null"))
+        folder = F.conv(F.substring_index("oid", ".", 1), 16, -10).cast("long")  # signed, as in entries
+        return rows.select(folder.alias("dir"), "*"), read.filter("missing").select("nonempty"), read.filter("key is null").select("oid", "pages", "missing", "problem", "seconds")
+
+    return _follow(spark, level, root_fragments(store, start), start, max_levels, seconds)
+
+
+def _follow(spark: SparkSession, read: Callable, roots: list[int], start: int, max_levels: int | None, seconds: float | None) -> Walk:
+    until = None if seconds is None else time.monotonic() + seconds
     frontier = spark.createDataFrame([(start, f"{start:x}.{f:08x}", True) for f in roots], "dir long, oid string, nonempty boolean")
-    levels, missing, depth = [], [], 0
+    levels, missing, reads, depth, complete = [], [], [], 0, False
     while depth < (MAX_DEPTH if max_levels is None else max_levels):
         visit = storage.stage(frontier, "frontier")
         if visit.isEmpty():
+            complete = True
+            break
+        if until is not None and time.monotonic() >= until and levels:
             break
-        missing.append(visit.join(there, "oid", "left_anti"))
-        level = storage.stage(visit.join(rows, "oid").withColumn("level", F.lit(depth)), "level")
+        rows, lost, pages = read(visit)
+        missing.append(lost)
+        reads += [] if pages is None else [pages]
+        level = storage.stage(rows.withColumn("level", F.lit(depth)), "level")
         levels.append(level)
         found = level.filter("type = 'd' and head and error is null")
         more = F.col("rfiles") + F.col("rsubdirs") > 1  # a directory counts itself
         frontier = found.select(F.col("ino").alias("dir"), F.explode("frags").alias("frag"), more.alias("nonempty")).select("dir", codec.object_name(F.col("dir"), F.col("frag")).alias("oid"), "nonempty").dropDuplicates(["oid"])
         depth += 1
+    complete = complete or max_levels is None and depth == MAX_DEPTH or max_levels is not None and depth == max_levels and frontier.isEmpty()
     seen = _union(levels)
     good = seen.filter("error is null and head")
     # the level decides first; inside a level the order is that of objects and keys, in ranges
@@ -61,7 +98,11 @@ def walk(omap: DataFrame, roots: list[int], start: int = ROOT, max_levels: int |
     )
     gone = lost.agg(F.count_if(~F.col("nonempty")).alias("enoent"), F.count_if("nonempty").alias("missed_dirs"))
     one = lambda df: df.withColumn("__one", F.lit(1))  # noqa: E731  each has one row
-    return Walk(entries, one(counted).join(one(gone), "__one").drop("__one"), max_levels is None or storage.stage(frontier, "frontier").isEmpty())
+    parts = one(counted).join(one(gone), "__one")
+    pages = _union(reads) if reads else None
+    if pages is not None:
+        parts = parts.join(one(pages.agg(F.sum("pages").alias("pages"), F.count("problem").alias("op_errors"))), "__one")
+    return Walk(entries, parts.drop("__one"), complete, pages)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
