@@ -62,3 +62,9 @@ def tsv(results: DataFrame) -> DataFrame:
     """Lines of uid, size, mtime and path; a hardlink's uid is ``-``."""
     uid = F.when(F.col("type") == "h", "-").otherwise(F.col("uid").cast("string"))
     return results.select(F.concat_ws("\t", uid, F.col("size").cast("string"), F.col("mtime").cast("string"), "path").alias("line"))
+
+
+def short_tsv(results: DataFrame) -> DataFrame:
+    """Lines of uid and path; a hardlink's uid is ``-``."""
+    uid = F.when(F.col("type") == "h", "-").otherwise(F.col("uid").cast("string"))
+    return results.select(F.concat_ws("\t", uid, "path").alias("line"))

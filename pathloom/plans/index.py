@@ -32,6 +32,16 @@ def _check(volume: str) -> str:
     return volume
 
 
+def guard(spark: SparkSession, root: str, min_free_pct: float = 0.0) -> None:
+    """Makes the folder of all volumes, for its owner only, as it holds paths of all users; an error if others may read it or space is short."""
+    files = Files(spark, root)
+    mode = files.private_folder(root)
+    if int(mode, 8) & 0o077:
+        raise VolumeError(f"{root} has mode {mode}; it holds users' paths and must be closed to others")
+    if (free := files.free_percent(root)) < min_free_pct:
+        raise VolumeError(f"{free:.1f} % of {root} is free; {min_free_pct:g} % is the least")
+
+
 def publish(entries: DataFrame, root: str, volume: str, prefix: str | None = None, names: list[str] | None = None, meta: dict[str, str] | None = None, partitions: int | None = None, complete: bool = True) -> str:
     """Writes a version of a volume and points to it in one step; readers see the old or the new one, never half.
 
@@ -61,10 +71,10 @@ def publish(entries: DataFrame, root: str, volume: str, prefix: str | None = Non
         files.create(f"{home}/CURRENT.{version}", version)
         files.replace(f"{home}/CURRENT.{version}", f"{home}/CURRENT")
         for old in files.names(home):
-            if old.startswith("v-") and old < version and old != version and _age(old) > 3600:
+            if old.startswith(("v-", "names-")) and old != version and _age(old) > 3600:
                 files.delete(f"{home}/{old}")
     except BaseException:
-        if not files.exists(f"{home}/CURRENT") or files.read(f"{home}/CURRENT") != version:
+        if _current(files, home)[:1] != [version]:
             files.delete(f"{home}/{version}")
         raise
     finally:
@@ -72,6 +82,47 @@ def publish(entries: DataFrame, root: str, volume: str, prefix: str | None = Non
     return version
 
 
+def _current(files: Files, home: str) -> list[str]:
+    """The version that is published and, where names were stored anew since, the folder of their paths; empty if there is none."""
+    return files.read(f"{home}/CURRENT").split() if files.exists(f"{home}/CURRENT") else []
+
+
+def store_names(spark: SparkSession, root: str, volume: str, names: list[str]) -> int:
+    """Stores the paths of ``names`` beside the published version, in place of those it had, and returns their number.
+
+    A volume that is being built is left alone. Readers go over to the new paths in one step.
+    """
+    files, home = Files(spark, root), f"{root}/{_check(volume)}"
+    if not files.create(f"{home}/LOCK"):
+        raise VolumeError(f"{volume} is being built")
+    stored = f"names-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    try:
+        now = open_volume(spark, root, volume)
+        ops.named_paths(names, now.entries, now.dirs, now.prefix).sortWithinPartitions("name", "path").write.parquet(f"{home}/{stored}/named_paths")
+        spark.createDataFrame([("named_paths", ",".join(names))], META).coalesce(1).write.parquet(f"{home}/{stored}/meta")
+        version = _current(files, home)[0]
+        files.create(f"{home}/CURRENT.{stored}", f"{version} {stored}")
+        files.replace(f"{home}/CURRENT.{stored}", f"{home}/CURRENT")
+        return spark.read.parquet(f"{home}/{stored}/named_paths").count()
+    except BaseException:
+        if stored not in _current(files, home):
+            files.delete(f"{home}/{stored}")
+        raise
+    finally:
+        files.delete(f"{home}/LOCK")
+
+
+def store_names_all(spark: SparkSession, root: str, volumes: list[str] | None, names: list[str]) -> dict[str, int | VolumeError]:
+    """The same for many volumes, or all: rows stored, or why not. One volume's failure doesn't keep the others back."""
+    out: dict[str, int | VolumeError] = {}
+    for v in volumes or discover(spark, root):
+        try:
+            out[v] = store_names(spark, root, v, names)
+        except VolumeError as e:
+            out[v] = e
+    return out
+
+
 def _age(version: str) -> float:
     return time.time() - int(version.split("-")[1]) / 1e9
 
@@ -96,20 +147,28 @@ class Volume:
         return ops.search(query, self.entries, self.dirs, self.prefix)
 
     def describe(self) -> str:
-        return f"{self.name}: {self.meta.get('entries', '?')} entries, complete {self.meta.get('complete', '?')}"
+        """How old and how whole the index is."""
+        m = self.meta
+        notes = [f"{m.get('entries', '?')} entries", f"walk took {m.get('scan_seconds', '?')} s"]
+        notes += ["partial walk"] * (m.get("complete") != "true") + ["journal not flushed"] * (m.get("journal_flushed") != "true")
+        notes += [f"{k} {m[k]}" for k in ("missed_dirs", "op_errors") if m.get(k, "0") not in ("", "0")]
+        return f"{self.name}: {m.get('prefix', '')}, index of {m.get('started_at', '?')} ({', '.join(notes)})"
 
 
 def open_volume(spark: SparkSession, root: str, volume: str) -> Volume:
     """Opens the current version; an index that says it has entries but is empty is an error."""
     files, home = Files(spark, root), f"{root}/{volume}"
-    if not files.exists(f"{home}/CURRENT"):
+    current = _current(files, home)
+    if not current:
         raise VolumeError(f"no index for {volume}")
-    base = f"{home}/{files.read(f'{home}/CURRENT')}"
-    meta = {r["key"]: r["value"] for r in spark.read.schema(META).parquet(f"{base}/meta").collect()}  # a few dozen keys
+    base, names = f"{home}/{current[0]}", f"{home}/{current[-1]}"
+    meta: dict[str, str] = {}
+    for folder in dict.fromkeys((base, names)):
+        meta |= {r["key"]: r["value"] for r in spark.read.schema(META).parquet(f"{folder}/meta").collect()}  # a few dozen keys
     entries = spark.read.parquet(f"{base}/entries")
     if int(meta.get("entries", "0")) > 0 and entries.isEmpty():
         raise VolumeError(f"{volume} is empty but says it has {meta['entries']} entries")
-    named = spark.read.parquet(f"{base}/named_paths") if files.exists(f"{base}/named_paths") else None
+    named = spark.read.parquet(f"{names}/named_paths") if files.exists(f"{names}/named_paths") else None
     return Volume(volume, entries, spark.read.parquet(f"{base}/dirs"), meta, named)
 
 

@@ -11,7 +11,7 @@ from . import storage
 from .functions import codec
 from .operators import search as ops
 from .operators import tree
-from .sources import vfs
+from .sources import admin, vfs
 from .streaming import telemetry
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -213,3 +213,36 @@ def exists_probe(spark: SparkSession, sf: str) -> DataFrame:
 def stats_left_join(spark: SparkSession, sf: str) -> DataFrame:
     busy = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
     return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").join(busy, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("last", F.lit(0)).alias("last"))
+
+
+@_add("probe_lines", _sql(_re("^order-2") + " AND type = 'd'", "SELECT uid || chr(9) || path AS line FROM hits JOIN full_path USING (id)"))
+def probe_lines(spark: SparkSession, sf: str) -> DataFrame:
+    entries, dirs = _index(spark, sf)
+    return ops.short_tsv(tree.with_paths(ops.Query("^order-2", "dir").hits(entries), dirs, PREFIX))
+
+
+def _nations(spark: SparkSession, sf: str) -> DataFrame:
+    """A cluster's report for each region, its nations the volumes."""
+    volume = F.struct(F.struct(F.lower("n_name").alias("fs_name"), F.col("n_nationkey").alias("metadata_pool"), F.array(F.lit(0), F.col("n_nationkey").cast("int")).alias("in")).alias("mdsmap"))
+    return spark.read.parquet(f"{sf}/nation.parquet").groupBy("n_regionkey").agg(F.to_json(F.struct(F.collect_list(volume).alias("filesystems"))).alias("dump"))
+
+
+@_add("fs_dump", "SELECT lower(n_name) AS fs, CASE WHEN n_nationkey < 20 THEN n_name || '_meta' END AS metadata_pool, '0,' || n_nationkey AS ranks FROM nation")
+def fs_dump(spark: SparkSession, sf: str) -> DataFrame:
+    pools = spark.read.parquet(f"{sf}/nation.parquet").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("pool_id"), F.concat("n_name", F.lit("_meta")).alias("pool"))
+    return admin.filesystems(_nations(spark, sf), pools).withColumn("ranks", F.concat_ws(",", F.col("ranks").cast("array<string>")))
+
+
+@_add("placement", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN 'dc' || s_nationkey END AS bucket, CASE WHEN s_suppkey % 2 = 0 THEN 'dc1' ELSE '' END AS client, (s_suppkey % 3 > 0 AND s_suppkey % 2 = 0 AND s_nationkey <> 1) AS crosses FROM supplier")
+def placement(spark: SparkSession, sf: str) -> DataFrame:
+    step = lambda op, item: F.struct(F.lit(op).alias("op"), item.alias("item_name"))
+    take = F.concat(F.lit("dc"), F.col("s_nationkey").cast("string"))
+    steps = F.when(F.col("s_suppkey") % 3 > 0, F.array(step("set_tries", F.lit("")), step("take", F.concat(take, F.lit("~ssd"))), step("take", F.lit("other")))).otherwise(F.array(step("emit", F.lit(""))))
+    rules = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.to_json(F.struct(steps.alias("steps"))).alias("rule"), F.when(F.col("s_suppkey") % 2 == 0, "host=h datacenter=dc1").otherwise("host=h").alias("location"))
+    bucket, place = admin.primary_bucket(F.col("rule")), F.col("location")
+    return rules.select("s_suppkey", bucket.alias("bucket"), admin.datacenter(place).alias("client"), admin.reads_cross(bucket, place).alias("crosses"))
+
+
+@_add("search_stats", f"WITH {vfs.SQL} SELECT count(*) AS candidates, count(DISTINCT parent) AS parents FROM entries WHERE {_re('^red_')}")
+def search_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.Query("^red_").hits(vfs.entries(spark, sf)).agg(F.count("*").alias("candidates"), F.countDistinct("parent").alias("parents"))

@@ -67,6 +67,23 @@ class Files:
         rename = spark_array(self.jvm, "org.apache.hadoop.fs.Options$Rename", [getattr(options, "Rename").OVERWRITE])
         context.rename(self.path(source), self.path(target), rename)
 
+    def free_percent(self, name: str) -> float:
+        """Free space of the file system that holds a folder, or its nearest parent, in percent; 100 where that isn't told."""
+        at = self.path(name)
+        while not self.fs.exists(at) and at.getParent() is not None:
+            at = at.getParent()
+        status = self.fs.getStatus(at)
+        whole = status.getCapacity()
+        return 100.0 * status.getRemaining() / whole if 0 < whole < (1 << 63) - 1 else 100.0
+
+    def private_folder(self, name: str) -> str:
+        """Creates a folder that only its owner may enter; returns the mode of one that is there already, in octal."""
+        folder = self.path(name)
+        if not self.fs.exists(folder):
+            self.fs.mkdirs(folder)
+            self.fs.setPermission(folder, self.jvm.org.apache.hadoop.fs.permission.FsPermission("700"))
+        return f"{self.fs.getFileStatus(folder).getPermission().toShort():o}"
+
     def delete(self, name: str) -> bool:
         return self.fs.delete(self.path(name), True)
 
