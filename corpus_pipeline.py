@@ -13,19 +13,25 @@ from pathloom.llm import common, langid, packing, quality, queries, simhash
 LEAST_SURE = 0.5
 
 
+def _kept(docs: DataFrame, predict, decision: str) -> DataFrame:
+    """The rows whose prediction meets ``decision``, with the columns of ``docs`` as they were, even where a prediction's name clashes."""
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    found = predict(plain, f"_{docs.columns.index('text')}").filter(decision)
+    return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language: rejects null texts, texts without letters, and unsure predictions."""
     common.ship(spark)
     model = langid.fit(docs.filter(common.crc_mod(F.col("doc_id"), 3) != 1))
-    sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE)
-    return langid.predict(docs, model).filter(sure).select(*docs.columns)
+    return _kept(docs, lambda rows, text: langid.predict(rows, model, text), f"lang_pred <> '{langid.UNKNOWN}' and score >= {LEAST_SURE}")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier predicts to be labelled 1."""
     labels = queries.table(spark, sf_dir, "labels")
     net = quality.fit(docs, labels.filter(common.crc_mod(F.col("doc_id"), 5) != 0))
-    return quality.predict(docs, net).filter("predicted = 1").select(*docs.columns)
+    return _kept(docs, lambda rows, text: quality.predict(rows, net, text), "predicted = 1")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
