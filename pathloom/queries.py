@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from . import storage
 from .functions import codec
 from .operators import search as ops
 from .operators import tree
+from .plans import index
 from .sources import admin, vfs
 from .streaming import telemetry
 
@@ -123,6 +125,14 @@ def named_paths(spark: SparkSession, sf: str) -> DataFrame:
     return ops.named_paths(_NAMES, *_index(spark, sf), PREFIX).orderBy("name", "path")
 
 
+@_add("named_path_lookup", _sql("name = 'red_widget-1.o'"))
+def named_path_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole name looked up in a published volume, from the paths stored beside it."""
+    root = f"{storage.shared_dir(spark)}/volumes-{uuid.uuid4().hex}"
+    index.publish(vfs.entries(spark, sf), root, "driver", PREFIX, names=_NAMES)
+    return index.open_volume(spark, root, "driver").search(ops.Query(r"^red_widget-1\.o$"))
+
+
 @_add("multi_volume_search", _sql(_re("^order-1"), f"SELECT volume, {_RESULT} FROM hits JOIN full_path USING (id)"))
 def multi_volume_search(spark: SparkSession, sf: str) -> DataFrame:
     entries, dirs = _index(spark, sf)
