@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, insort
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -150,90 +151,121 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, steps: int = 4000, patience: int = 24) -> list[list[int]]:
-    """Moves one document, exchanges one for one, two for one or one for two between underfull bins.
+def _units(sizes: list[int], documents: list[int]) -> tuple[dict[int, tuple], dict[int, tuple]]:
+    """What one document of a bin, and what two of them come to: sum -> the documents. Equal sizes stand for each other."""
+    held: dict[int, list[int]] = {}
+    for i in documents:
+        held.setdefault(sizes[i], []).append(i)
+    order = sorted(held)
+    one = {s: (held[s][0],) for s in order if s}
+    two = {2 * s: tuple(held[s][:2]) for s in order if len(held[s]) > 1}
+    for k, x in enumerate(order):
+        for y in order[k + 1 :]:
+            two.setdefault(x + y, (held[x][0], held[y][0]))
+    return one, two
+
+
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Moves one or two documents, exchanges one for one, two for one or one for two between underfull bins.
 
     Each step gives documents of the emptiest bin to another bin for less in return, and must increase the
-    sum of squared fills, so it can't run in a circle. A bin whose documents are all gone is removed. The
-    search ends when the number of bins meets its lower bound, when no step improves ``patience`` bins in
-    a row, or after ``steps``.
+    sum of squared fills, so it can't run in a circle. A bin whose documents are all gone is removed. A bin
+    that no step improves is passed over until the others have had their turn. The search ends when the number of bins
+    meets its lower bound, or when no step improves any bin.
+
+    All documents are tried: what a bin can give back is indexed by the sum of it and the bin's room, which is
+    the largest gift that the bin can take for it. A gift of s tokens fits where the sum is s or more and
+    the bin gives back less than s; the room that stays is the difference.
     """
-    total, singles = sum(sizes), 6
-    least = -(-total // capacity)
-    fills = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
-    opened = np.flatnonzero(fills < capacity)
+    least = lower_bound(sizes, capacity)
+    fills = [sum(sizes[i] for i in b) for b in bins]
+    opened = [k for k, f in enumerate(fills) if f < capacity]
     if len(bins) <= least or len(opened) < 2:
         return bins
-    # what a bin can give back: nothing, one document, or two of them
-    pairs = [(i, j) for i in range(singles) for j in range(i + 1, singles)]
-    width = 1 + singles + len(pairs)
-    units = np.full((len(opened), width), 1 << 40, np.int64)
-    at = {int(b): k for k, b in enumerate(opened)}
-
-    def describe(b: int) -> None:
-        row, mine = units[at[b]], bins[b]
-        row[:] = 1 << 40
-        if mine:
-            row[0] = 0
-            mine.sort(key=lambda i: sizes[i])
-            some = [sizes[i] for i in mine[:singles]]
-            row[1 : 1 + len(some)] = some
-            for k, (i, j) in enumerate(pairs):
-                if j < len(some):
-                    row[1 + singles + k] = some[i] + some[j]
+    # for nothing or one document given back, and for two: sum -> sorted (given back, bin) as one number, and the least given back
+    known: dict[int, tuple[dict, dict]] = {}
+    found: tuple[list[list[int]], ...] = tuple([[] for _ in range(capacity + 1)] for _ in range(2))
+    lowest = np.full((2, capacity + 1), capacity + 1, np.int64)
+    count = len(bins)
+
+    def entries(b: int):
+        one, two = known[b]
+        room = capacity - fills[b]
+        for kind, backs in ((0, (0, *one)), (1, two)) if room else ():
+            for back in backs:
+                yield kind, room + back, back * count + b
+
+    def enter(b: int) -> None:
+        for kind, at, entry in entries(b):
+            insort(found[kind][at], entry)
+            lowest[kind, at] = found[kind][at][0] // count
+
+    def leave(b: int) -> None:
+        for kind, at, entry in entries(b):
+            some = found[kind][at]
+            del some[bisect_left(some, entry)]
+            lowest[kind, at] = some[0] // count if some else capacity + 1
+
+    def best_step(a: int):
+        """(gift, kind, sum) that leaves the least room, of equal ones the largest gift; None where no step is left."""
+        one, two = known[a]
+        left, best = capacity - fills[a], None
+        for s, kinds, gift in sorted([(s, (0, 1), g) for s, g in one.items()] + [(s, (0,), g) for s, g in two.items()], key=lambda g: -g[0]):
+            for kind in kinds:
+                fits = lowest[kind, s : s + left] < s
+                if fits.any():
+                    left = int(fits.argmax())
+                    best = (gift, kind, s + left)
+            if left == 0:
+                break
+        return best
 
     for b in opened:
-        describe(int(b))
-    room = capacity - fills[opened]
-    stuck: set[int] = set()
-    alive = len(bins)
-    for _ in range(steps):
-        if alive <= least or len(stuck) >= patience:
-            break
-        a = next((int(b) for b in opened[np.argsort(-room, kind="stable")] if int(b) not in stuck and bins[int(b)]), None)
-        if a is None:
-            break
-        mine = bins[a]
-        gifts = [(i,) for i in mine[-singles:]] + [(mine[i], mine[j]) for i, j in pairs if j < len(mine)]
-        best = None
-        for gift in sorted(gifts, key=lambda g: -sum(sizes[i] for i in g)):
-            moved = sum(sizes[i] for i in gift) - units
-            ok = (moved > 0) & (moved <= room[:, None]) & ((capacity - room)[:, None] + moved > fills[a])
-            ok[at[a]] = False
-            if len(gift) == 2:
-                ok[:, 1 + singles :] = False
-            if ok.any():
-                left = np.where(ok, room[:, None] - moved, 1 << 40)
-                k = int(left.argmin())
-                if best is None or left.flat[k] < best[0]:
-                    best = (int(left.flat[k]), k, gift, int(moved.flat[k]))
-                if best[0] == 0:
-                    break
-        if best is None:
-            stuck.add(a)
+        known[b] = _units(sizes, bins[b])
+        enter(b)
+    waiting = [(fills[b], b) for b in opened]
+    heapify(waiting)
+    alive, improved = count, False
+    while alive > least:
+        if not waiting:
+            if not improved:
+                break
+            improved = False
+            waiting = [(fills[b], b) for b in opened if bins[b] and fills[b] < capacity]
+            heapify(waiting)
+            continue
+        fill, a = heappop(waiting)
+        if fills[a] != fill or not bins[a]:
+            continue
+        leave(a)
+        step = best_step(a)
+        if step is None:
+            enter(a)
             continue
-        _, k, gift, moved = best
-        b, unit = int(opened[k // width]), k % width
-        back = [] if unit == 0 else [bins[b][unit - 1]] if unit <= singles else [bins[b][x] for x in pairs[unit - 1 - singles]]
-        bins[b] = [i for i in bins[b] if i not in back] + list(gift)
-        bins[a] = [i for i in mine if i not in gift] + back
-        for x, d in ((a, -moved), (b, moved)):
-            fills[x] += d
-            room[at[x]] = capacity - fills[x]
-            describe(x)
-        if not bins[a]:
-            alive -= 1
-            room[at[a]] = -1
-        stuck.discard(b)
+        gift, kind, at = step
+        back, b = divmod(found[kind][at][0], count)
+        leave(b)
+        returned = known[b][kind][back] if back or kind else ()
+        bins[b] = [i for i in bins[b] if i not in returned] + list(gift)
+        bins[a] = [i for i in bins[a] if i not in gift] + list(returned)
+        moved = sum(sizes[i] for i in gift) - back
+        fills[a], fills[b] = fills[a] - moved, fills[b] + moved
+        improved = True
+        for x in (a, b):
+            known[x] = _units(sizes, bins[x])
+            if bins[x] and fills[x] < capacity:
+                enter(x)
+                heappush(waiting, (fills[x], x))
+        alive -= not bins[a]
     return [b for b in bins if b]
 
 
-def pack_block(sizes: list[int], capacity: int, steps: int = 4000) -> list[list[int]]:
+def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
     """Bins for one block: full pieces alone, the others by best fit and local search."""
     full = [[i] for i, s in enumerate(sizes) if s >= capacity]
     rest = [i for i, s in enumerate(sizes) if s < capacity]
     small = [sizes[i] for i in rest]
-    bins = local_search(small, best_fit(small, capacity), capacity, steps)
+    bins = local_search(small, best_fit(small, capacity), capacity)
     return full + [[rest[i] for i in b] for b in bins]
 
 

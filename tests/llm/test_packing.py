@@ -83,3 +83,39 @@ def test_forgetting():
     small, large = (packing.WordEncoder(packing.default_tokenizer(), n) for n in (4, 1000))
     for text in ("one two three", "three four, five! six", "one one seven", "a b c d e f g h a"):
         assert small.encode(text) == large.encode(text)
+
+
+def steps_left(sizes, bins, capacity):
+    """Whether moving one or two documents, or exchanging one for one, two for one or one for two, would raise the sum of squared fills."""
+    from itertools import combinations
+
+    fills = [sum(sizes[i] for i in b) for b in bins]
+    for a, x in enumerate(bins):
+        for b, y in enumerate(bins):
+            for gift in [(i,) for i in x] + list(combinations(x, 2)):
+                for back in [(), *[(i,) for i in y]] + (list(combinations(y, 2)) if len(gift) == 1 else []):
+                    moved = sum(sizes[i] for i in gift) - sum(sizes[i] for i in back)
+                    if a != b and 0 < moved <= capacity - fills[b] and fills[b] + moved > fills[a]:
+                        return True
+    return False
+
+
+def test_local_search_ends_where_no_step_is_left():
+    for seed in range(12):
+        rng = random.Random(seed)
+        sizes = [rng.randint(4, 40) for _ in range(120)] if seed % 2 else [rng.choice((31, 37, 41, 67)) for _ in range(120)]
+        bins = packing.local_search(sizes, packing.best_fit(sizes, 100), 100)
+        assert sorted(i for b in bins for i in b) == list(range(120))
+        assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
+        assert len(bins) == packing.lower_bound(sizes, 100) or not steps_left(sizes, bins, 100)
+
+
+def test_local_search_of_a_whole_block():
+    """A block of thousands of bins is searched to its end: a search of 4000 steps came to 4415."""
+    rng = random.Random(1)
+    sizes = [rng.randint(200, 900) for _ in range(packing.BLOCK)]
+    bins = packing.pack_block(sizes, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(packing.BLOCK))
+    assert all(sum(sizes[i] for i in b) <= 2048 for b in bins)
+    assert packing.lower_bound(sizes, 2048) == 4397
+    assert len(bins) <= 4405
