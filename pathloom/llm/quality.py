@@ -11,6 +11,9 @@ from . import common
 
 #: A filter sees WIDTH bytes; chunks overlap, as one starts every STRIDE bytes.
 FILTERS, WIDTH, STRIDE = 16, 8, 2
+#: GRAM bytes are a repeat where they stood up to BACK bytes earlier. A window of WIDTH bytes can't see a repeated
+#: word, so what a filter sees of a byte is its value and whether it ends a repeat.
+GRAM, BACK = 4, 64
 #: Windows that are held at a time; longer texts go through in runs, and the pools of runs are joined.
 RUN = 1 << 16
 #: The network is fitted on a sample: about so many labelled rows of each class, of texts up to LONGEST bytes.
@@ -20,14 +23,31 @@ THRESHOLD = 0.3
 
 
 def windows(text: str | None) -> np.ndarray:
-    """The text's bytes, padded with zeros to whole windows."""
+    """The text's bytes, padded with zeros to whole windows. 256 is added to each that ends a repeat."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     size = max(WIDTH, WIDTH + -(-max(0, len(raw) - WIDTH) // STRIDE) * STRIDE)
-    return np.frombuffer(raw + bytes(size - len(raw)), np.uint8)
+    data = np.frombuffer(raw + bytes(size - len(raw)), np.uint8)
+    return data + np.uint16(256) * _repeats(data)
+
+
+def _repeats(data: np.ndarray) -> np.ndarray:
+    """Whether GRAM bytes up to and with each byte stood once before, at most BACK bytes earlier and without overlap. Padding counts as none."""
+    out = np.zeros(len(data), bool)
+    for first in range(0, len(data), RUN):
+        some = data[max(0, first - BACK - GRAM + 1) : first + RUN].astype(np.uint32)
+        code = some[3:] | some[2:-1] << 8 | some[1:-2] << 16 | some[:-3] << 24
+        again = np.zeros(len(code), bool)
+        for lag in range(GRAM, min(BACK, len(code) - 1) + 1):
+            again[lag:] |= code[lag:] == code[:-lag]
+        again &= code != 0
+        new = min(RUN, len(data) - first)
+        here = again[-new:] if first else np.concatenate([np.zeros(GRAM - 1, bool), again])
+        out[first : first + new] = here
+    return out
 
 
 class Network:
-    """taps: for each place in a window and byte a value for each filter; then max-pooling and a logistic layer."""
+    """taps: for each place in a window and byte, ending a repeat or not, a value for each filter; then max-pooling and a logistic layer."""
 
     def __init__(self, taps: np.ndarray, bias: np.ndarray, out: np.ndarray, out_bias: float):
         self.taps, self.bias, self.out, self.out_bias = taps, bias, out, out_bias
@@ -61,7 +81,7 @@ class Network:
 def train(rows: list[tuple[int, str]], epochs: int = 8, rate: float = 0.02, batch: int = 16, decay: float = 1e-5, seed: int = 11) -> Network:
     """Adam on the mean log loss, classes weighed alike. Without both classes the score is the share of class 1."""
     rng = np.random.default_rng(seed)
-    net = Network(rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.5, FILTERS).astype(np.float32), 0.0)
+    net = Network(rng.normal(0, 0.1, (WIDTH, 512, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.5, FILTERS).astype(np.float32), 0.0)
     labels = np.array([r[0] for r in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         net.out[:] = 0

@@ -52,3 +52,30 @@ def test_whole_texts_count():
     assert net.score(clean * 400) > 0.5 > net.score(clean * 400 + junk)
     long = np.frombuffer((clean * 400).encode(), np.uint8)
     assert len(long) > quality.RUN * quality.STRIDE
+
+
+def test_repeated_words_held_out(spark):
+    """Held-out texts of label 0 with less than a tenth of distinct words are rejected; 8 bytes alone don't show them."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = queries.op9_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(docs, "doc_id").filter("held_out").collect()
+    words = [(r, (r["text"] or "").split()) for r in rows if r["quality"] == 0]
+    repeated = [r for r, w in words if len(set(w)) < 0.1 * len(w)]
+    bad, good = [r for r, _ in words], [r for r in rows if r["quality"] == 1]
+    print("kept of label 1:", sum(r["predicted"] for r in good), len(good), "rejected of label 0:", sum(1 - r["predicted"] for r in bad), len(bad), "of repeated:", sum(1 - r["predicted"] for r in repeated), len(repeated))
+    assert len(repeated) > 20
+    assert sum(1 - r["predicted"] for r in repeated) / len(repeated) > 0.95
+    assert sum(r["predicted"] for r in good) / len(good) > 0.98
+
+
+def test_repeat_marks(monkeypatch):
+    """A byte is marked where the four up to it stood at most 64 bytes earlier without overlap, over the edges of runs too."""
+    import random
+
+    monkeypatch.setattr(quality, "RUN", 100)
+    rng = random.Random(2)
+    for n in (0, 1, 3, 40, 99, 100, 101, 103, 104, 250, 700):
+        marked = quality.windows("".join(rng.choice("ab") for _ in range(n)))
+        data = bytes((marked & 255).tolist())
+        want = [any(i - 3 >= lag and any(data[i - 3 : i + 1]) and data[i - 3 - lag : i + 1 - lag] == data[i - 3 : i + 1] for lag in range(4, 65)) for i in range(len(data))]
+        assert (marked >= 256).tolist() == want
