@@ -86,13 +86,37 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, seed: int = 7) -> Model:
-    """Fits by follow-the-regularised-leader with both penalties; a fifth of the rows calibrates the temperature."""
+def inverse_frequency(rows: int, df: np.ndarray) -> np.ndarray:
+    return np.log((1 + rows) / (1 + df)) + 1
+
+
+def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """(texts with a letter, of these those with each slot) over all of ``text``. A task gives at most a row for each slot, as does the result."""
+
+    def run(batches):
+        total, df = 0, np.zeros(DIMENSIONS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if (found := grams(text)) is not None:
+                    total += 1
+                    df[found[0]] += 1
+        used = np.flatnonzero(df)
+        yield common.frame({"slot": (np.r_[used, DIMENSIONS], pa.int64()), "n": (np.r_[df[used], total], pa.int64())})
+
+    found = rows.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(DIMENSIONS + 1)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return int(counts[-1]), counts[:-1]
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray | None = None, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, seed: int = 7) -> Model:
+    """Fits by follow-the-regularised-leader with both penalties; a fifth of the rows calibrates the temperature. Without ``idf`` it is that of ``rows``."""
     languages = sorted({r[0] for r in rows})
-    df = np.zeros(DIMENSIONS)
-    for _, slots, _ in rows:
-        df[slots] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    if idf is None:
+        df = np.zeros(DIMENSIONS)
+        for _, slots, _ in rows:
+            df[slots] += 1
+        idf = inverse_frequency(len(rows), df)
     model = Model(languages, np.zeros((DIMENSIONS + 1, len(languages))), idf)
     if len(languages) < 2:
         return model
@@ -134,7 +158,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 3, alpha
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from ``docs``; a hash of the id picks about ``sample`` rows of each language. Null languages and texts without a letter aren't learned from.
 
-    Features are counted on the executors; the driver gets at most DIMENSIONS numbers of a row.
+    Document frequencies are those of all rows that can be learned from. Features are counted on the executors; the driver
+    gets at most DIMENSIONS numbers of a sampled row, and of all rows together.
     """
     common.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
@@ -157,7 +182,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 
     table = some.select("lang", "text").mapInArrow(run, "lang string, slots array<int>, counts array<int>").toArrow()
     found = zip(table.column("lang").to_pylist(), table.column("slots").to_pylist(), table.column("counts").to_pylist(), strict=True)
-    return train(sorted(((a, np.array(b), np.array(c)) for a, b, c in found), key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist())))
+    idf = inverse_frequency(*document_frequencies(rows))
+    return train(sorted(((a, np.array(b), np.array(c)) for a, b, c in found), key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist())), idf)
 
 
 FIELDS = [("lang_pred", T.StringType()), ("score", T.DoubleType())]

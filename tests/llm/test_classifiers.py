@@ -79,3 +79,17 @@ def test_repeat_marks(monkeypatch):
         data = bytes((marked & 255).tolist())
         want = [any(i - 3 >= lag and any(data[i - 3 : i + 1]) and data[i - 3 - lag : i + 1 - lag] == data[i - 3 : i + 1] for lag in range(4, 65)) for i in range(len(data))]
         assert (marked >= 256).tolist() == want
+
+
+def test_document_frequencies_are_those_of_all_rows(spark):
+    """The sample decides what the classifier is fitted on, not how often a slot occurs."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    odd = spark.createDataFrame([(-1, "123 %", "en"), (-2, None, "en"), (-3, "no language", None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs.select("doc_id", "text", "lang").unionByName(odd), sample=5)
+    texts = [found for r in docs.collect() if r["lang"] is not None and (found := langid.grams(r["text"])) is not None]
+    df = np.zeros(langid.DIMENSIONS)
+    for slots, _ in texts:
+        df[slots] += 1
+    assert np.allclose(model.idf, np.log((1 + len(texts)) / (1 + df)) + 1)
