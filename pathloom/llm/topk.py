@@ -117,14 +117,17 @@ def dual_search(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarr
     points, group = np.unique(d, axis=0, return_inverse=True)
     group = group.reshape(-1)
     by_group = np.argsort(group, kind="stable")  # ids of a point come in order
-    start = np.searchsorted(group[by_group], np.arange(len(points) + 1))
     qpoints, qgroup = np.unique(q, axis=0, return_inverse=True)
     qgroup = qgroup.reshape(-1)
     data, queries = CoverTree(points), CoverTree(qpoints)
     asked = np.split(np.argsort(qgroup, kind="stable"), np.cumsum(np.bincount(qgroup))[:-1])
-    # of equal vectors the k + 1 smallest ids can matter, as one may be the query itself
-    place = np.arange(len(d_ids)) - start[group[by_group]]
-    entries = by_group[place <= k]
+    # of equal vectors 2k rows of the smallest ids can matter, k of each, as k of them may have the query's own id
+    fresh = np.r_[True, (np.diff(group[by_group]) != 0) | (np.diff(d_ids[by_group]) != 0)][: len(by_group)]
+    again = np.arange(len(by_group)) - np.maximum.accumulate(np.where(fresh, np.arange(len(by_group)), 0))
+    by_group = by_group[again < k]
+    start = np.searchsorted(group[by_group], np.arange(len(points) + 1))
+    place = np.arange(len(by_group)) - start[group[by_group]]
+    entries = by_group[place < 2 * k]
     first = np.searchsorted(group[entries], np.arange(len(points) + 1))
     # of each query the best so far, by score and then smaller id
     best_s = np.full((len(q_ids), k), np.iinfo(np.int64).min)
@@ -209,19 +212,22 @@ def _best(best_i: np.ndarray, best_s: np.ndarray, rows: np.ndarray, ids: np.ndar
     best_i[rows], best_s[rows] = np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
 
 
-def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
+def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64, every: bool = False) -> DataFrame:
     """(vec_id, v): each vector as floor(scale * component), of rows whose id and components are finite numbers.
 
-    Rows that share an id count as one, with the smallest vector.
+    Rows that share an id count as one, with the smallest vector, or ``every`` row stays.
     """
     v = F.col(vec_col)
     fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     doubles = F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
-    return df.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), doubles.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = df.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), doubles.alias("v"))
+    return rows if every else rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, group: int = GROUP) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k largest inner products over all other ids, ties to the smaller id.
+    """query_id, rank, vec_id, score: each query's k largest inner products over all rows of other ids, ties to the smaller id.
+
+    Rows of ``queries`` that share an id are ranked together.
 
     Both tables are (vec_id, v). Data are dealt by a hash of the id into blocks, each indexed by a cover tree in
     the task that holds it; every query visits every block, in groups with a cover tree each, and the k

@@ -74,3 +74,19 @@ def test_own_row_among_few_columns():
     d = np.array([[9.0, 0.0]] + [[8.0, float(i)] for i in range(40)])
     where, ids, scores = topk.dual_search(np.array([100]), d[:1], np.array([100, *range(40)]), d, 5)
     assert (ids.tolist(), scores.tolist()) == ([0, 1, 2, 3, 4], [72] * 5)
+
+
+def test_rows_that_share_an_id_all_count(spark, tmp_path):
+    """The query gives its SQL's rows where ids repeat, as candidates and as queries, with equal and with different vectors."""
+    import duckdb
+
+    from pathloom.llm import queries
+
+    rng = random.Random(6)
+    rows = [(i % 90, [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)]
+    rows += [(20, rows[20][1])] * 50 + [(41, rows[20][1])] * 30 + [(7, rows[20][1])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in queries.op4_topk(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(db.execute(queries.ORACLES["op4_topk"]).fetchall())
