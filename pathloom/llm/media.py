@@ -174,6 +174,11 @@ def with_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return common.extend(docs, [("n_bytes", T.LongType()), ("media", T.BinaryType())], [text_col], _each(store))
 
 
+def read_features(stored: DataFrame, media_col: str = "media") -> DataFrame:
+    """Adds what is read back from each image of a binary column: sizes, checksums and feature. Columns that clash are replaced."""
+    return common.extend(stored, FIELDS[1:], [media_col], _each(features))
+
+
 def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the sizes, checksums and feature of each text's image, which is stored and read back on the way.
 

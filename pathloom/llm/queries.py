@@ -49,7 +49,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return media.with_features(docs).drop("text")
+    stored = common.stage(media.with_media(docs).drop("text"), "media")
+    return media.read_features(stored).drop("media")
 
 
 def _learnable(docs: DataFrame, parts: int, held: int):

@@ -67,3 +67,27 @@ def test_hash_follows_low_frequencies():
     other = rng.integers(0, 256, image.shape).astype(np.uint8)
     apart = lambda a, b: (int(media.dct_hash(a), 16) ^ int(media.dct_hash(b), 16)).bit_count()
     assert apart(image, noisy) < apart(image, other)
+
+
+def test_query_reads_a_stored_column(spark, sf):
+    """The query's images stand in a binary column of the shared folder, and what it says of them is true of the stored bytes."""
+    import glob
+    import hashlib
+
+    from pathloom.llm import common, queries
+
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/media-*"))
+    rows = {r["doc_id"]: r for r in queries.op7_media(spark, sf).collect()}
+    (path,) = set(glob.glob(f"{folder}/media-*")) - before
+    stored = spark.read.parquet(path)
+    assert dict(stored.dtypes)["media"] == "binary"
+    images = {r["doc_id"]: bytes(r["media"]) for r in stored.collect()}
+    assert images.keys() == rows.keys()
+    for i, png in images.items():
+        r = rows[i]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(png), hashlib.sha256(png).hexdigest())
+        assert r["payload_sha256"] == hashlib.sha256(media.decode_png(png).tobytes()).hexdigest()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    whole = media.with_features(docs).drop("text")
+    assert sorted(tuple(r) for r in whole.collect()) == sorted(tuple(rows[i][c] for c in whole.columns) for i in rows)
