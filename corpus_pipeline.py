@@ -21,9 +21,11 @@ def _kept(docs: DataFrame, predict, decision: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language: rejects null texts, texts without letters, and unsure predictions."""
+    """Keeps documents with a language: rejects null texts, texts without letters, and unsure predictions; these only where a language is known."""
     common.ship(spark)
     model = langid.fit(docs.filter(common.crc_mod(F.col("doc_id"), 3) != 1))
+    if not model.languages:
+        return _kept(docs, langid.with_letters, "lettered")
     return _kept(docs, lambda rows, text: langid.predict(rows, model, text), f"lang_pred <> '{langid.UNKNOWN}' and score >= {LEAST_SURE}")
 
 

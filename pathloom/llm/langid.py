@@ -186,6 +186,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     return train(sorted(((a, np.array(b), np.array(c)) for a, b, c in found), key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist())), idf)
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds ``lettered``: whether a text has a letter; false for a null text."""
+    return common.extend(docs, [("lettered", T.BooleanType())], [text_col], lambda: lambda texts: [[any(map(str.isalpha, t or "")) for t in texts]])
+
+
 FIELDS = [("lang_pred", T.StringType()), ("score", T.DoubleType())]
 
 

@@ -97,3 +97,16 @@ def test_empty_tables(spark, tmp_path, none, sf):
     out = pipeline.run(spark, str(tmp_path))
     assert out.columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert out.count() == 0
+
+
+def test_without_labelled_languages_texts_with_letters_stay(spark, sf, odd, none):
+    """Where no row to learn from has a language, none can be judged: only null texts and texts without letters go."""
+    held = odd.filter("crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 = 1")
+    assert held.filter("lang is not null").count()
+    for docs in (odd.selectExpr(*[c if c != "lang" else "cast(null as string) as lang" for c in odd.columns]), held):
+        got = pipeline.language(spark, docs, sf)
+        assert got.columns == docs.columns
+        want = [tuple(r) for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")]
+        assert want
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert pipeline.language(spark, none, sf).count() == 0
