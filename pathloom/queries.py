@@ -112,12 +112,8 @@ def paths_all_dirs(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("orphan_paths", _sql("type = 'd'", "SELECT ino, path FROM hits JOIN full_path USING (id) WHERE cur <> 1"))
 def orphan_paths(spark: SparkSession, sf: str) -> DataFrame:
-    entries, dirs = _index(spark, sf)
-    dirs = dirs.select("ino", "parent", "name")
-    lost = entries.filter("type = 'd' and parent <> 1").join(dirs.select(F.col("ino").alias("parent")), "parent", "left_anti")
-    # directories below a lost one are orphans as well; here they are at most one level below
-    below = dirs.join(lost.select(F.col("ino").alias("parent")), "parent", "left_semi").select("ino")
-    return tree.resolve(lost.select("ino").unionByName(below), dirs, PREFIX)
+    # a path that didn't reach the root starts with a placeholder instead of the prefix
+    return tree.all_paths(_index(spark, sf)[1], PREFIX).filter(~F.col("path").startswith(f"{PREFIX.rstrip('/')}/"))
 
 
 @_add("named_paths", _sql(_IN, f"SELECT name, {_RESULT} FROM hits JOIN full_path USING (id) ORDER BY name, path"))

@@ -114,3 +114,15 @@ def test_stream_keeps_the_last_sighting(spark, tmp_path):
     q.awaitTermination(120)
     last = sorted((tmp_path / "out").iterdir())[-1]
     assert sorted((r["ino"], r["name"]) for r in spark.read.parquet(str(last)).collect()) == [(10, "c"), (11, "b")]
+
+
+def test_orphans_at_any_depth(spark, monkeypatch):
+    from pathloom import queries
+
+    rows = [(2, 1, "a"), (3, 2, "b"), (10, 99, "lost"), (11, 10, "x"), (12, 11, "y"), (13, 12, "z"), (14, 13, "w")]
+    dirs = spark.createDataFrame(rows, "ino long, parent long, name string")
+    entries = dirs.selectExpr("*", "'d' as type")
+    monkeypatch.setattr(queries, "_index", lambda spark, sf: (entries, dirs))
+    found = {r["ino"]: r["path"] for r in queries.orphan_paths(spark, "").collect()}
+    top = "<ino 0x63>/lost"
+    assert found == {10: top, 11: f"{top}/x", 12: f"{top}/x/y", 13: f"{top}/x/y/z", 14: f"{top}/x/y/z/w"}
