@@ -2,26 +2,69 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Staged tables that are still there, by application.
+_STAGED: dict[str, set[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset, as in tests."""
+    """spark.checkpoint.dir. Where that is unset, a folder of our own, but only if all tasks run on this machine, as in tests."""
     sc = spark.sparkContext
     if (given := sc.getConf().get("spark.checkpoint.dir")) is None and (given := sc.getCheckpointDir()) is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset, and executors can't see a folder of the driver's")
         sc.setCheckpointDir(tempfile.mkdtemp())
         given = sc.getCheckpointDir()
     return given.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; ``clear`` deletes what is there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _STAGED:
+        _STAGED[app] = set()
+        atexit.register(_at_exit, spark)
+    _STAGED[app].add(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and rereads it, which cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Writes a table into the shared folder and rereads it, which cuts the lineage and computes it once."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop(staged: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    spark, path = staged.sparkSession, staged.staged_path
+    Files(spark, path).delete(path)
+    _STAGED.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has staged. Results that aren't written yet can't be read afterwards."""
+    for path in _STAGED.pop(spark.sparkContext.applicationId, set()):
+        Files(spark, path).delete(path)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    live = SparkContext._active_spark_context
+    if live is not None and live is spark.sparkContext and live._jsc is not None:
+        try:
+            clear(spark)
+        except Exception:  # noqa: BLE001  the process ends; what can't be deleted stays
+            pass
 
 
 class Files:
