@@ -1,33 +1,37 @@
-"""What the operators share: shipping code, the shared folder, and passing rows through Arrow."""
+"""What the operators share: shipping code, staging, passing rows through Arrow, and joins on skewed keys."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch. Texts may be long, so a batch stays far below Spark's 10,000.
-BATCH_ROWS = 1000
+from .. import storage
+from ..storage import new_path, shared_dir, stage  # noqa: F401
+
+#: Rows and bytes that a task turns into Python values at a time. Spark itself bounds the bytes of a batch.
+SLICE_ROWS = 512
+SLICE_BYTES = 8 << 20
+#: Keys that ``join_skewed`` broadcasts.
+MOST_HOT = 100_000
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context, and bounds Arrow batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Sends this package to the executors, once a context."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(), "pathloom.zip")
+    target = os.path.join(tempfile.mkdtemp(), "pathloom.zip")  # Spark copies it to the executors
     with zipfile.ZipFile(target, "w") as z:
         for folder, _, names in os.walk(root):
             for name in names:
@@ -38,48 +42,51 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
-    sc = spark.sparkContext
-    if (given := sc.getConf().get("spark.checkpoint.dir")) is None and (given := sc.getCheckpointDir()) is None:
-        sc.setCheckpointDir(tempfile.mkdtemp())
-        given = sc.getCheckpointDir()
-    return given.rstrip("/")
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE_ROWS rows, and of about SLICE_BYTES bytes where rows allow it."""
+    rows = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def others(df: DataFrame, taken: list[str]) -> DataFrame:
+    """``df`` without the columns that clash with the new names ``taken``."""
+    low = {name.lower() for name in taken}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by their places, so that no name can clash; ``renamed`` gives the names back."""
+    return df.toDF(*[f"c{i}_" for i in range(len(df.columns))])
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and rereads it, which cuts the lineage and computes it once."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def renamed(df: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    return df.select(*[F.col(f"c{i}_").alias(c) for i, c in enumerate(columns)], *more)
 
 
 def extend(df: DataFrame, fields: list[tuple[str, T.DataType]], inputs: list[str], task: Callable[[], Callable[..., list]]) -> DataFrame:
     """Adds columns computed from Arrow batches.
 
     ``task`` is called once for each task and gives a function from lists of Python values of ``inputs`` to
-    a list for each new field. Columns of ``df`` whose names clash with a new field are replaced.
+    a list for each new field. Columns of ``df`` whose names clash with a new field are replaced, also where they are inputs.
     """
     ship(df.sparkSession)
-    taken = {name.lower() for name, _ in fields}
-    base = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    names = [n for n, _ in fields]
+    base = others(df, names)
+    kept = len(base.columns)
     schema = T.StructType([*base.schema.fields, *[T.StructField(n, t) for n, t in fields]])
     kinds = [_arrow(t) for _, t in fields]
+    source = df.select(*base, *[F.col(f"`{c}`").alias(f"__input{i}") for i, c in enumerate(inputs)])
 
     def run(batches):
         call = task()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = call(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, k) for x, k in zip(new, kinds, strict=True)]], names=[*batch.schema.names, *[n for n, _ in fields]])
+            for some in slices(batch):
+                new = call(*[c.to_pylist() for c in some.columns[kept:]])
+                values = [pa.array(x, k) for x, k in zip(new, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*some.columns[:kept], *values], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -93,6 +100,24 @@ def frame(columns: dict[str, tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns.values()], names=list(columns))
 
 
+def join_skewed(rows: DataFrame, lookup: DataFrame, key: str, weight: str, most: int | None = None) -> DataFrame:
+    """``rows`` left-joined with ``lookup``, which has a key once and in ``weight`` the number of rows that have it.
+
+    The ``most`` heaviest keys are broadcast, so no task gets all rows of a hot key. Only if there are more
+    keys do rows of the others meet theirs over a shuffle, and a key then has at most 1 / most of all rows.
+    ``rows`` is read twice in that case, and should be staged or cheap.
+    """
+    most = MOST_HOT if most is None else most
+    lookup = stage(lookup, "lookup")
+    if lookup.count() <= most:
+        return rows.join(F.broadcast(lookup.drop(weight)), key, "left")
+    heavy = stage(lookup.orderBy(F.desc(weight), key).limit(most).drop(weight), "heavy")
+    mark = heavy.withColumn("__heavy", F.lit(True))
+    first = rows.join(F.broadcast(mark), key, "left").filter("__heavy").drop("__heavy")
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(lookup.drop(weight), key, "left")
+    return first.unionByName(rest)
+
+
 def share(column, salt: str):
     """A number from 0 to 1 that a row's key decides: below f for a share f of keys."""
     return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1_000_003)) / 1_000_003.0
@@ -114,3 +139,8 @@ def popcount(x: np.ndarray) -> np.ndarray:
 def row_key():
     """A number for each row of a scan of written files. It is the same if a lost task runs again."""
     return F.monotonically_increasing_id()
+
+
+def drop(*staged: DataFrame) -> None:
+    for df in staged:
+        storage.drop(df)

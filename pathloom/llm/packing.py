@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import unicodedata
+import re
 from bisect import bisect_left, insort
 from heapq import heapify, heappop, heappush
 
@@ -19,11 +19,14 @@ CAPACITY = 2048
 BLOCK = 16384
 #: Pieces of its emptiest sequences that a block hands to the next round.
 HANDED = 2048
+#: Characters of texts, and words of one text, whose unknown words are learned together.
+TOGETHER = 200_000
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 700_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict[str, "WordEncoder"] = {}
+_SPACE = re.compile(r"\s")
 
 
 def default_tokenizer() -> str:
@@ -36,8 +39,10 @@ class WordEncoder:
     """Ids of a text by a tokenizer that drops white space, found word by word.
 
     The tokenizer's normaliser and splitter treat each run between ASCII white space on its own, so the ids
-    of a text are those of its words in order; a word's ids are remembered as little-endian bytes. Words of
-    Latin letters with closing punctuation are looked up by their lower-cased letters.
+    of a text are those of its words in order; a word's ids are remembered as little-endian bytes. Unknown words go
+    through the tokenizer's own normaliser, many at a time. A word of letters with closing punctuation is
+    looked up by its two parts, which the tokenizer encodes as one text with many others; that the pieces' bytes
+    end where the words do is checked for every word. All other words are encoded by the tokenizer one by one.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -46,9 +51,17 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.remembered = remembered
-        self.ends: np.ndarray | None = None
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.sizes = np.zeros(len(self.ends), np.int64)  # a piece has a character for each byte
+        for piece, i in vocabulary.items():
+            self.ends[i] = piece.endswith("</w>")
+            self.sizes[i] = len(piece.removesuffix("</w>"))
+        normaliser = self.tokenizer.normalizer
+        #: whether all that the normaliser does to ASCII characters, none of them white space, is to lower them
+        self.lowers = normaliser is not None and all(normaliser.normalize_str(chr(c)) == chr(c).lower() for c in range(33, 127))
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -57,53 +70,94 @@ class WordEncoder:
         return _ENCODERS[path]
 
     def _each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _single(self, words: list[str]) -> list[bytes]:
-        """Words that the splitter leaves whole, encoded as one text; the last piece of each is marked as a word's end."""
-        if self.ends is None:
-            vocabulary = self.tokenizer.get_vocab()
-            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of normalised words that the splitter should leave whole, encoded as one text. If a word's bytes aren't those of its pieces, all go one by one."""
+        text = " ".join(words)
+        if not text.isascii() and self.tokenizer.normalizer.normalize_str(text) != text:
+            return self._each(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
+        sizes = np.array([len(w.encode()) for w in words])
+        if len(cuts) != len(words) or cuts[-1] != len(ids) or (np.add.reduceat(self.sizes[ids], np.r_[0, cuts[:-1]]) != sizes).any():
             return self._each(words)
         data, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
         return [data[a:b] for a, b in zip(at, at[1:])]
 
-    def _learn(self, words: set[str]) -> None:
-        split, single, other = [], set(), []
-        cores = self.cores
+    def _normalised(self, words: list[str]) -> list[str] | None:
+        """The words by the tokenizer's own normaliser, or None if they can't be told apart afterwards."""
+        if self.tokenizer.normalizer is None:
+            return words
+        out = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
+        return out if len(out) == len(words) else None
+
+    def _learn(self, words: list[str]) -> None:
+        # a word with white space of its own, such as a no-break space, or a special token is none of the simple ones
+        plain, other = [], []
         for w in words:
-            core = w.rstrip(",.!")
-            if core.isalpha() and (core.isascii() or (max(core) < "ɐ" and unicodedata.is_normalized("NFC", core))):
-                parts = (core.lower(), w[len(core):])
-                split.append((w, parts))
-                single.update(p for p in parts if p not in cores)
+            if self.lowers and w.isascii():
+                plain.append((w, w.lower()))
             else:
                 other.append(w)
-        single.discard("")
-        if single:
-            order = sorted(single)
-            cores.update(zip(order, self._single(order), strict=True))
-        for w, (a, b) in split:
-            self.known[w] = cores[a] + cores[b] if b else cores[a]
-        if other:
-            self.known.update(zip(other, self._each(other), strict=True))
+        rare = [w for w in other if "<|" not in w and not _SPACE.search(w)]
+        normal = self._normalised(rare) if rare else []
+        plain += zip(rare, normal) if normal else []
+        split, new, simple, parts = [], [], set(), self.parts
+        for w, n in plain:
+            core = n.rstrip(",.!")
+            if core.isalpha():
+                tail = n[len(core) :]
+                split.append((w, core, tail))
+                if core not in parts:
+                    parts[core] = b""
+                    new.append(core)
+                if tail and tail not in parts:
+                    parts[tail] = b""
+                    new.append(tail)
+        if new:
+            parts.update(zip(new, self._together(new), strict=True))
+        known = self.known
+        for w, a, b in split:
+            known[w] = parts[a] + parts[b] if b else parts[a]
+        rest = [w for w in words if w not in known]
+        if rest:
+            known.update(zip(rest, self._each(rest), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. The unknown words of some texts are learned together; a long text goes through in runs."""
+        out, some, size = [], [], 0
+        for text in [*texts, None]:
+            if some and (text is None or size + len(text) > TOGETHER):
+                words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in some]
+                if len(some) > 1:
+                    self._meet([w for each in words for w in each])
+                    out += [b"".join(map(self.known.__getitem__, each)) for each in words]
+                else:
+                    runs = (words[0][k : k + TOGETHER] for k in range(0, len(words[0]), TOGETHER))
+                    out.append(b"".join([self._run(run) for run in runs]))
+                some, size = [], 0
+            if text is not None:
+                some.append(text)
+                size += len(text)
+        return out
+
+    def _run(self, words: list[str]) -> bytes:
+        self._meet(words)
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _meet(self, words: list[str]) -> None:
+        """Learns the words that aren't known. If they don't fit into memory, it starts anew."""
+        every = set(words)
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > self.remembered:
+            self.known, self.parts, new = {}, {}, every
+        if new:
+            self._learn(list(new))
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        out = []
-        for at in range(0, len(words), 200_000):
-            some = words[at : at + 200_000]
-            new = set(some).difference(self.known)
-            if len(self.known) + len(new) > self.remembered:
-                self.known, self.cores, new = {}, {}, set(some)
-            if new:
-                self._learn(new)
-            out.append(b"".join(map(self.known.__getitem__, some)))
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
 
 def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -114,16 +168,19 @@ def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer
     def run(batches):
         encoder = WordEncoder.of(path)
         for batch in batches:
-            rows, last, ids = [], None, b""
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text != last or not ids:
-                    last, ids = text, encoder.encode(text or "") + b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(ids), capacity * 4)):
-                    some = ids[at : at + capacity * 4]
-                    rows.append((doc, k, at // 4, len(some) // 4, common.unsigned_crc(some)))
-            if rows:
-                a, b, c, d, e = zip(*rows, strict=True)
-                yield common.frame({"doc_id": (a, pa.int64()), "piece": (b, pa.int32()), "start": (c, pa.int64()), "length": (d, pa.int64()), "ids_crc32": (e, pa.int64())})
+            for some in common.slices(batch):
+                rows = []
+                texts = [t or "" for t in some.column(1).to_pylist()]
+                last = dict.fromkeys(texts)
+                last.update(zip(last, encoder.encode_all(list(last))))
+                for doc, text in zip(some.column(0).to_pylist(), texts, strict=True):
+                    ids = last[text] + b"\0\0\0\0"
+                    for k, at in enumerate(range(0, len(ids), capacity * 4)):
+                        piece = ids[at : at + capacity * 4]
+                        rows.append((doc, k, at // 4, len(piece) // 4, common.unsigned_crc(piece)))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                names = ("doc_id", "piece", "start", "length", "ids_crc32")
+                yield common.frame({n: (v, k) for n, v, k in zip(names, zip(*rows, strict=True), kinds, strict=True)})
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
