@@ -13,13 +13,16 @@ from pyspark.sql import types as T
 from . import common
 
 SPACE = "▁"
-#: Runs and parts whose ids a worker remembers, in two generations of each, and their longest length.
+#: Runs whose ids a worker remembers, in two generations, and their longest length.
 REMEMBERED = 1_500_000
 LONGEST_REMEMBERED = 64
 #: Runs that are looked up before it is seen how many are remembered.
 AT_ONCE = 100_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 FALLBACK = -1
+INFINITE = float("inf")
+#: Characters of a beginning whose distances are remembered.
+HEAD = 5
 _LOADED: dict[str, "Transducer"] = {}
 
 
@@ -40,7 +43,7 @@ class Memory(dict):
 
     def aged(self) -> "Memory":
         """This memory, or an empty one after it where it is full."""
-        if len(self) < REMEMBERED // 4:
+        if len(self) < REMEMBERED // 2:
             return self
         self.before = {}
         return Memory(self.find, self)
@@ -52,50 +55,146 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Normaliser:
+    """The first transducer: rewrites text by rules, the longest that starts at a place, and copies the rest.
+
+    Its states are the nodes of a trie of the rules' left sides: an arc reads a character, and the arc that ends a rule writes its
+    right side. From the start state every other character has an arc that copies it. ``before`` is written on an
+    arc that reads nothing, ahead of any text that isn't empty.
+    """
+
+    def __init__(self, rules: dict[str, str], before: str = ""):
+        self.before = before
+        self.arcs: list[dict[str, int]] = [{}]
+        self.writes: dict[int, str] = {}
+        for left, right in rules.items():
+            state = 0
+            for c in left:
+                if c not in self.arcs[state]:
+                    self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                state = self.arcs[state][c]
+            self.writes[state] = right
+        #: where each rule reads a character that none writes, the machine has one state, and the order of rules makes no difference
+        self.simple = rules if all(len(x) == 1 and x not in y for x in rules for y in rules.values()) else None
+
+    def compose(self, text: str) -> str:
+        """The only path of the composition with a text, as what it writes."""
+        if not text:
+            return ""
+        if self.simple is not None:
+            for left, right in self.simple.items():
+                text = text.replace(left, right)
+            return self.before + text
+        out, i = [self.before], 0
+        while i < len(text):
+            state, j, end, write = 0, i, i + 1, text[i]
+            while j < len(text) and (state := self.arcs[state].get(text[j])) is not None:
+                j += 1
+                if state in self.writes:
+                    end, write = j, self.writes[state]
+            out.append(write)
+            i = end
+        return "".join(out)
+
+
+class Lexicon:
+    """The second transducer: pieces and byte fallback, with weights.
+
+    States are the nodes of a trie of the pieces, read from their ends: an arc reads a character and leads to the node under it. From
+    a node that a whole piece leads to, an arc that reads nothing writes the piece's id and leads back to the
+    start with the piece's weight. A node is (arcs, (id, weight) or None). A character that is no piece has an
+    arc from the start to itself that writes its byte ids, heavier than any piece.
+    """
+
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: dict[int, int]):
+        self.byte_ids = byte_ids
+        self.heavy = 1.0 + max((w for _, w in pieces.values()), default=0.0)
+        self.alone = {p for p in pieces if len(p) == 1}
+        tree: dict = {}
+        for piece, end in pieces.items():
+            state = tree
+            for c in reversed(piece):
+                state = state.setdefault(c, {})
+            state[""] = end
+        self.start = self._node(tree)[0]
+
+    def _node(self, tree: dict) -> tuple[dict, tuple | None]:
+        return {c: self._node(t) for c, t in tree.items() if c}, tree.get("")
+
+
+class Neighbours:
+    """The third machine: an acceptor of id sequences whose state is the last id.
+
+    An arc a to b has weight 0 (one, in the tropical semiring) if a BPE merge of both texts gives just the two pieces, and
+    infinity (zero) if not. Arcs are found as they are asked for, and remembered.
+    """
+
+    def __init__(self, names: list[str], rank: dict[str, int]):
+        self.names, self.rank = names, rank
+        self.arcs: dict[int, bool] = {}
+
+    def merge(self, text: str) -> list[str]:
+        """BPE's own merges of a string of at most two pieces' length, which decide what may stand side by side."""
+        rank, none = self.rank.get, len(self.rank)
+        parts = list(text)
+        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < none:
+            k = ranks.index(least)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank(parts[k - 1] + parts[k], none)
+            if k < len(ranks):
+                ranks[k] = rank(parts[k] + parts[k + 1], none)
+        return parts
+
+    def find(self, code: int) -> bool:
+        if len(self.arcs) > REMEMBERED:
+            self.arcs.clear()
+        a, b = divmod(code, len(self.names))
+        one, two = self.names[a], self.names[b]
+        ok = self.arcs[code] = self.merge(one + two) == [one, two]
+        return ok
+
+
 class Transducer:
-    """Normaliser, pieces and byte fallback of a BPE model with an identity normaliser, compiled to one transducer.
-
-    - Normaliser: each space becomes the space mark, and one stands before the text.
-    - Pieces: an arc from each place over each piece's characters to the piece's id, weight 1 for a piece.
-    - Byte fallback: a character in no piece leads over its UTF-8 bytes to byte ids, weight 1 for each.
-    - The state remembers the last piece, as BPE's merges rule out some neighbours: an arc is there only
-      where the two pieces alone would be encoded as just these two.
-
-    A text is a linear acceptor; its composition is built lazily. In the tropical semiring weights add along a
-    path and the least wins. The neighbour rule leaves one accepting path: a piece sequence is BPE's
-    encoding exactly if all pieces and neighbours in it are, as BPE's first merge over a border of such a
-    sequence would show in the two pieces beside it. So the search goes depth first over the longest arcs, never
-    enters a state twice, and the first path that ends the text is the shortest.
+    """A BPE model with byte fallback, compiled to weighted machines: Normaliser, Lexicon and Neighbours.
+
+    A text is a linear acceptor; its composition with the machines is built as far as the search goes. A state of it is a place in
+    the normalised text and the last piece. In the tropical semiring weights add along a path and the least
+    sum wins; a piece weighs its merge rank. The acceptor of neighbours says in weights what BPE's merges say in order: a
+    piece sequence is BPE's encoding exactly if each two neighbours in it, taken alone, would be encoded as
+    these two, as BPE's first merge over a border would show in the pieces beside it. So the shortest path is
+    BPE's encoding. Decoding goes through the inverse machines: ids to bytes, and marks to spaces.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, rules: dict[str, str] | None = None):
+        """``rules`` are rewriting rules of the normaliser beside the model's own, from text to text."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         spec = pb.ModelProto()
         with open(path, "rb") as f:
             spec.ParseFromString(f.read())
         if spec.trainer_spec.model_type != 2 or spec.normalizer_spec.precompiled_charsmap or spec.normalizer_spec.remove_extra_whitespaces:
-            raise ValueError("only BPE models with an identity normaliser are compiled")
+            raise ValueError("only BPE models are compiled whose normaliser has no binary map and keeps white space")
         self.prefix = spec.normalizer_spec.add_dummy_prefix
-        self.rank = {p.piece: (-p.score, i) for i, p in enumerate(spec.pieces) if p.type == NORMAL}
-        self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(spec.pieces) if p.type == BYTE}
+        self.normaliser = Normaliser({" ": SPACE} | (rules or {}), SPACE if self.prefix else "")
+        ids = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == NORMAL}
+        rank = {p: k for k, p in enumerate(sorted(ids, key=lambda p: (-spec.pieces[ids[p]].score, ids[p])))}
         self.names = [p.piece for p in spec.pieces]
-        #: pieces that BPE gives for their own text, as a trie of characters; an id stands at ""
-        self.trie: dict = {}
-        for piece, (_, i) in self.rank.items():
-            if self._merge(piece) == [piece]:
-                node = self.trie
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = i
-        #: characters that stand side by side in some piece; no piece crosses another border
-        self.joined = {pair for p in self.rank for pair in zip(p, p[1:])}
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.rank)
+        self.neighbours = Neighbours(self.names, rank)
+        byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(spec.pieces) if p.type == BYTE}
+        # a piece that BPE doesn't give for its own text is on no path
+        own = {p: (ids[p], float(k)) for p, k in rank.items() if self.neighbours.merge(p) == [p]}
+        self.lexicon = Lexicon(own, byte_ids)
+        self.heads: dict[str, tuple] = {}
+        inner = any(SPACE in p.lstrip(SPACE) for p in rank)
         #: pieces have space marks only in front, so no piece crosses the border before a run of marks
         self.runs = None if inner else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.raw = [bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() if p.type in (NORMAL, USER) else b"" for p in spec.pieces]
-        self.beside: dict[int, bool] = {}
-        self.known, self.parts = Memory(self._spell, {}), Memory(self._ids, {})
+        #: the inverse of the lexicon and of the space rule: what each id stands for
+        self.raw = [self._raw(p) for p in spec.pieces]
+        self.known = Memory(self._ids, {})
 
     @classmethod
     def of(cls, path: str) -> "Transducer":
@@ -103,95 +202,80 @@ class Transducer:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def _merge(self, text: str) -> list[str]:
-        """BPE's own merges of a string of at most two pieces' length, which decide what may stand side by side."""
-        parts = list(text)
-        while True:
-            best = min(((self.rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.rank), default=None)
-            if best is None:
-                return parts
-            k = best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-
-    def _may_follow(self, a: int, b: int) -> bool:
-        if len(self.beside) > REMEMBERED:
-            self.beside.clear()
-        one, two = self.names[a], self.names[b]
-        ok = self.beside[a * len(self.names) + b] = self._merge(one + two) == [one, two]
-        return ok
-
-    def normalise(self, text: str) -> str:
-        return ((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else ""
-
-    def _arcs(self, text: str, i: int) -> list[tuple[int, int]]:
-        """Ends and ids of pieces that start at a place, the longest last."""
-        out, node = [], self.trie
-        if text[i] not in self.rank:
-            out.append((i + 1, FALLBACK))
-        for j in range(i, len(text)):
-            node = node.get(text[j])
-            if node is None:
-                break
-            if "" in node:
-                out.append((j + 1, node[""]))
-        return out
-
-    def shortest(self, text: str) -> list[int]:
-        """Ids along the least-weight path of the composition with a normalised text."""
-        n, place, last, size = len(text), 0, FALLBACK, len(self.names)
-        way: list[tuple[int, int, list]] = []  # place, piece before it, arcs not tried
-        closed: set[tuple[int, int]] = set()  # states from which no path goes on to the end
-        beside, arcs_at = self.beside, self._arcs
-        arcs = arcs_at(text, 0) if n else []
-        while place < n:
-            if arcs:
-                to, piece = arcs.pop()
-                if closed and (to, piece) in closed:
+    @staticmethod
+    def _raw(p) -> bytes:
+        if p.type == BYTE:
+            return bytes([int(p.piece[1:-1], 16)])
+        return p.piece.replace(SPACE, " ").encode() if p.type in (NORMAL, USER) else b""
+
+    def _distances(self, text: str, total: list, last: list, before: list) -> None:
+        """Goes on with the shortest distances to the places of a text: their sums, last ids, and the places before those.
+
+        All arcs lead to later places, so the places' order is topological: a place's least sum is the least over
+        the arcs that enter it. A place is reached in one state only, as its last piece is that of BPE's encoding of the
+        text up to there; so a number for each place holds the state.
+        """
+        size, start, alone, heavy = len(self.names), self.lexicon.start, self.lexicon.alone, self.lexicon.heavy
+        arcs, find = self.neighbours.arcs, self.neighbours.find
+        for j in range(len(total), len(text) + 1):
+            least, piece, place, state = INFINITE, FALLBACK, 0, start
+            for i in range(j - 1, -1, -1):
+                node = state.get(text[i])
+                if node is None:
+                    break
+                state, end = node
+                if end is None or total[i] + end[1] >= least:
                     continue
-                if last >= 0 and piece >= 0:
-                    ok = beside.get(last * size + piece)
-                    if ok is None:
-                        ok = self._may_follow(last, piece)
-                    if not ok:
+                if last[i] >= 0:
+                    code = last[i] * size + end[0]
+                    ok = arcs.get(code)
+                    if not (find(code) if ok is None else ok):
                         continue
-                way.append((place, last, arcs))
-                place, last = to, piece
-                arcs = arcs_at(text, to) if to < n else []
+                least, piece, place = total[i] + end[1], end[0], i
+            if text[j - 1] not in alone and total[j - 1] + heavy < least:
+                least, piece, place = total[j - 1] + heavy, FALLBACK, j - 1
+            total.append(least)
+            last.append(piece)
+            before.append(place)
+
+    def shortest(self, text: str) -> tuple[list[int], float]:
+        """Ids and weight of the least path of the composition with a normalised text. Distances over common beginnings of texts are found once."""
+        head = self.heads.get(text[:HEAD])
+        if head is None:
+            head = ([0.0], [FALLBACK], [0])
+            self._distances(text[:HEAD], *head)
+            if len(self.heads) > REMEMBERED // 4:
+                self.heads.clear()
+            self.heads[text[:HEAD]] = head
+        if len(text) > HEAD:
+            head = tuple(x.copy() for x in head)
+            self._distances(text, *head)
+        total, last, before = head
+        ids, j = [], len(text)
+        while j:
+            if last[j] >= 0:
+                ids.append(last[j])
             else:
-                closed.add((place, last))
-                place, last, arcs = way.pop()
-        pieces = [piece for _, piece, _ in way[1:]]
-        if n:
-            pieces.append(last)
-        if FALLBACK not in pieces:
-            return pieces
-        ids: list[int] = []
-        for (before, _, _), piece in zip(way, pieces, strict=True):
-            ids += [piece] if piece >= 0 else [self.bytes[b] for b in text[before].encode("utf-8", "surrogatepass")]
-        return ids
+                some = text[before[j] : j].encode("utf-8", "surrogatepass")
+                ids += [self.lexicon.byte_ids[b] for b in reversed(some)]
+            j = before[j]
+        ids.reverse()
+        return ids, total[-1]
 
     def _ids(self, text: str) -> bytes:
-        ids = array("I", self.shortest(text))
+        ids = array("I", self.shortest(text)[0])
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
-    def _spell(self, run: str) -> bytes:
-        """Ids of a run, cut where no piece crosses."""
-        joined = self.joined
-        cuts = [k for k, pair in enumerate(zip(run, run[1:]), 1) if pair not in joined]
-        if not cuts:
-            return self._ids(run)
-        return b"".join([self.parts[run[i:j]] for i, j in zip([0, *cuts], [*cuts, len(run)])])
-
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian 32-bit numbers."""
-        whole = self.normalise(text or "")
+        whole = self.normaliser.compose(text or "")
         runs = self.runs.findall(whole) if self.runs else [whole] if whole else []
         out = []
         for k in range(0, len(runs), AT_ONCE):
             out.append(b"".join(map(self.known.__getitem__, runs[k : k + AT_ONCE])))
-            self.known, self.parts = self.known.aged(), self.parts.aged()
+            self.known = self.known.aged()
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -204,7 +288,10 @@ FIELDS = [("n_ids", T.LongType()), ("ids_crc32", T.LongType()), ("restored", T.B
 
 
 def with_ids(docs: DataFrame, text_col: str = "text", model: str | None = None) -> DataFrame:
-    """Adds ``ids``, a binary column of little-endian 32-bit ids of the whole text; a null text has null ids."""
+    """Adds ``ids``, a binary column of little-endian 32-bit ids of the whole text.
+
+    A null text has null ids, an empty one no ids. Equal rows get equal ids. A column ``ids`` is replaced; an empty table stays empty.
+    """
     path = model or default_model()
 
     def task():
