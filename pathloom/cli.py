@@ -20,6 +20,7 @@ from .operators import search as ops
 from .operators import tree
 from .plans import index, walk
 from .schema import ROOT, SELECTABLE
+from .sources import admin
 from .sources.store import PAGE, RadosStore
 from .streaming import telemetry
 
@@ -32,6 +33,10 @@ def _parser() -> argparse.ArgumentParser:
     source.add_argument("--omap", help="Parquet dump with oid, key and value")
     source.add_argument("--root-object", help="file with the root's object, for a dump")
     source.add_argument("--pool", help="metadata pool to read live")
+    source.add_argument("--fs-dump", help="the cluster's JSON report of its volumes, to look the pool up in")
+    source.add_argument("--pools", help="JSON list of pool_id and pool, for the report")
+    source.add_argument("--rule", help="the JSON of the pool's placement rule")
+    source.add_argument("--location", default="", help="where this client is, such as datacenter=a")
     source.add_argument("--conf", default="", help="the cluster's configuration file")
     source.add_argument("--id", default="admin", help="the cluster's user")
     source.add_argument("--max-inflight", type=int, default=32, help="reads under way at a time")
@@ -67,11 +72,36 @@ def say(*text) -> None:
     print(*text, file=sys.stderr)
 
 
-def _walk(spark: SparkSession, a, start: int) -> walk.Walk:
-    if (a.omap is None) == (a.pool is None):
+def _text(path: str) -> str:
+    with open(path) as f:
+        return f.read()
+
+
+def _pool(spark: SparkSession, a) -> str | None:
+    """The metadata pool: as given, or that of the volume in the cluster's report. Warns if all its reads leave the client's datacenter."""
+    pool = a.pool
+    if pool is None and a.fs_dump:
+        pools = [(p["pool_id"], p["pool"]) for p in json.loads(_text(a.pools))] if a.pools else []
+        known = spark.createDataFrame(pools, "pool_id long, pool string")
+        dumps = spark.createDataFrame([(_text(a.fs_dump),)], "dump string")
+        found = admin.lookup(admin.filesystems(dumps, known), a.fs)
+        pool = found["metadata_pool"]
+        say(f"{a.fs}: pool {pool}, ranks {','.join(map(str, found['ranks'] or []))}")
+    if a.rule and a.location:
+        place = spark.createDataFrame([(_text(a.rule), a.location)], "rule string, location string")
+        bucket = admin.primary_bucket(F.col("rule"))
+        r = place.select(bucket.alias("bucket"), admin.reads_cross(bucket, F.col("location")).alias("crosses")).first()
+        if r["crosses"]:
+            say(f"warning: primaries are in {r['bucket']}, so every read leaves this client's datacenter")
+    return pool
+
+
+def _walk(spark: SparkSession, a, start: int, note=None) -> walk.Walk:
+    pool = None if a.omap is not None else _pool(spark, a)
+    if (a.omap is None) == (pool is None) or a.omap is not None and a.pool is not None:
         raise SystemExit(2)
-    if a.pool is not None:
-        return walk.walk_store(spark, RadosStore(a.pool, a.conf, a.id), start, a.max_inflight, a.page_size, a.max_ops, seconds=a.duration)
+    if pool is not None:
+        return walk.walk_store(spark, RadosStore(pool, a.conf, a.id), start, a.max_inflight, a.page_size, a.max_ops, seconds=a.duration, note=note)
     roots = [0]
     if start == ROOT and a.root_object:
         with open(a.root_object, "rb") as f:
@@ -93,12 +123,17 @@ def progress_line(counters: dict, seconds: float) -> str:
 def build(spark: SparkSession, a) -> int:
     index.guard(spark, a.index, a.min_free_pct)
     began, clock = datetime.now(UTC), time.monotonic()
-    done = _walk(spark, a, ROOT)
+
+    def note(level: int, entries: int) -> None:
+        index.guard(spark, a.index, a.min_free_pct)  # the walk may take hours
+        say(f"level {level}: {entries} entries ({entries / max(time.monotonic() - clock, 1e-9):.0f}/s)")
+
+    done = _walk(spark, a, ROOT, note)
     entries = storage.stage(done.entries, "entries")
     counters = done.counters.first().asDict()
     took = time.monotonic() - clock
     say(progress_line(counters, took))
-    index.guard(spark, a.index, a.min_free_pct)  # the walk may have taken hours
+    index.guard(spark, a.index, a.min_free_pct)
     meta = {"pool": a.pool or "", "started_at": f"{began:%Y-%m-%dT%H:%M:%SZ}", "scan_seconds": f"{took:.0f}", "journal_flushed": str(a.journal_flushed).lower()}
     meta |= {k: str(counters[k]) for k in ("missed_dirs", "enoent", "decode_errors", "op_errors") if k in counters}
     version = index.publish(entries, a.index, a.fs, a.prefix, index.parse_names(a.names), meta, complete=done.complete)
@@ -180,7 +215,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except BrokenPipeError:
         sys.stderr.close()  # such as a pipe into head
         return 0
-    except (index.VolumeError, RuntimeError) as e:
+    except (index.VolumeError, RuntimeError, OSError) as e:
         say(e)
         return 1
 

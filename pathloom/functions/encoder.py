@@ -1,8 +1,10 @@
-"""Writes the binary format for tests; a mirror of the decoder."""
+"""Writes the binary format of directory entries, for made dumps and tests; a mirror of the decoder."""
+
+from __future__ import annotations
 
 import struct
 
-from pathloom.schema import ON_DISK_MAGIC, S_IFDIR, S_IFLNK, S_IFREG
+from ..schema import ON_DISK_MAGIC, S_IFDIR, S_IFLNK, S_IFREG
 
 
 def num(form, *v):

@@ -18,6 +18,21 @@ def type_counts(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count("*").alias("entries"), is_("f").alias("files"), is_("d").alias("dirs"), is_("l").alias("symlinks"), is_("h").alias("hardlinks"), F.count_if(~F.col("type").isin("f", "d", "l", "h")).alias("special"))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``, the place of each row from 0 in an order, found in ranges: no task holds all rows."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = storage.stage(ranged.withColumn("__id", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("__id", 33).cast("int").alias("__part")
+    sizes = stored.groupBy(part).count().orderBy("__part").collect()  # a row for each partition
+    at, starts = 0, []
+    for r in sizes:
+        starts.append((r["__part"], at))
+        at += r["count"]
+    begin = F.broadcast(rows.sparkSession.createDataFrame(starts, "__part int, __begin long"))
+    place = F.col("__begin") + F.col("__id").bitwiseAND((1 << 33) - 1)
+    return stored.withColumn("__part", part).join(begin, "__part").withColumn(name, place).drop("__part", "__id", "__begin")
+
+
 def last_sightings(entries: DataFrame) -> DataFrame:
     """One row for each directory: where it was seen last, by emit order. Partial maxima are formed before the shuffle."""
     return entries.filter("type = 'd'").groupBy("ino").agg(F.max_by(F.struct("parent", "name"), "seq").alias("last"), F.max("seq").alias("seq")).select("ino", "last.parent", "last.name", "seq")

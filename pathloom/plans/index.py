@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import threading
 import time
 import uuid
 from dataclasses import dataclass
@@ -15,7 +17,9 @@ from ..operators import tree
 from ..schema import META
 from ..storage import Files
 
-LAYOUT = "2"
+LAYOUT = "3"
+#: Seconds for which a builder's lock holds without being renewed, and a replaced version stays for those who read it.
+LEASE, KEEP = 600.0, 3600.0
 
 
 class VolumeError(RuntimeError):
@@ -42,46 +46,98 @@ def guard(spark: SparkSession, root: str, min_free_pct: float = 0.0) -> None:
         raise VolumeError(f"{free:.1f} % of {root} is free; {min_free_pct:g} % is the least")
 
 
+class Lock:
+    """Keeps other builders of a volume away while its owner lives: a file with a date up to which it holds, renewed by a thread."""
+
+    def __init__(self, files: Files, home: str, lease: float = LEASE):
+        self.files, self.path, self.lease = files, f"{home}/LOCK", lease
+        self.owner, self.over = uuid.uuid4().hex, threading.Event()
+
+    def _text(self) -> str:
+        return json.dumps({"owner": self.owner, "until": time.time() + self.lease})
+
+    def _expired(self) -> bool:
+        try:
+            return json.loads(self.files.read(self.path))["until"] < time.time()
+        except (ValueError, KeyError, TypeError):
+            return False  # a lock of another kind is left alone
+
+    def __enter__(self) -> "Lock":
+        if not self.files.create(self.path, self._text()):
+            # whoever moves the expired lock away may try once more; only one can
+            if not (self._expired() and self.files.move(self.path, f"{self.path}.{self.owner}")):
+                raise VolumeError(f"{self.path} is held: the volume is being built")
+            self.files.delete(f"{self.path}.{self.owner}")
+            if not self.files.create(self.path, self._text()):
+                raise VolumeError(f"{self.path} is held: the volume is being built")
+        threading.Thread(target=self._renew, daemon=True).start()
+        return self
+
+    def _renew(self) -> None:
+        while not self.over.wait(self.lease / 3):
+            self.files.create(f"{self.path}.{self.owner}", self._text())
+            self.files.replace(f"{self.path}.{self.owner}", self.path)
+
+    def __exit__(self, *_) -> None:
+        self.over.set()
+        self.files.delete(self.path)
+
+
 def publish(entries: DataFrame, root: str, volume: str, prefix: str | None = None, names: list[str] | None = None, meta: dict[str, str] | None = None, partitions: int | None = None, complete: bool = True) -> str:
     """Writes a version of a volume and points to it in one step; readers see the old or the new one, never half.
 
-    Entries are dealt by ranges of the name and sorted by it, so that row groups can be skipped by their bounds.
-    A lock file keeps a second build away. An incomplete walk is published beside, as ``<volume>_partial``.
+    Entries are dealt by ranges of name, parent and number, so that a name that very many have is spread, and sorted by them, so that
+    row groups can be skipped by their bounds; a Bloom filter on names serves whole names. Beside them stand the
+    directories' last sightings and the distinct names, numbered. A lock keeps a second build away. An
+    incomplete walk is published beside, as ``<volume>_partial``. A version that is replaced stays for an hour.
     """
     spark = entries.sparkSession
     target = _check(volume) + ("" if complete else "_partial")
     files, home = Files(spark, root), f"{root}/{target}"
-    lock, version = f"{home}/LOCK", f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-    if not files.create(lock):
-        raise VolumeError(f"{target} is being built")
-    try:
-        prefix = (f"/{volume}" if prefix is None else prefix).rstrip("/")
-        base = f"{home}/{version}"
-        ranged = entries.repartitionByRange(partitions, "name") if partitions else entries.repartitionByRange("name")
-        ranged.sortWithinPartitions("name").write.parquet(f"{base}/entries")
-        stored = spark.read.parquet(f"{base}/entries")
-        tree.last_sightings(stored).write.parquet(f"{base}/dirs")
-        dirs = spark.read.parquet(f"{base}/dirs")
-        counts = tree.type_counts(stored).first().asDict()
-        known = dirs.count()
-        values = {k: str(v) for k, v in counts.items()} | {"dup_dirs": str(counts["dirs"] - known), "fs": volume, "prefix": prefix, "layout": LAYOUT, "complete": str(complete).lower(), "names": str(stored.select("name").distinct().count()), "named_paths": ",".join(names or [])}
-        if names:
-            ops.named_paths(names, stored, dirs, prefix).sortWithinPartitions("name", "path").write.parquet(f"{base}/named_paths")
-        spark.createDataFrame(sorted((values | (meta or {})).items()), META).coalesce(1).write.parquet(f"{base}/meta")
-        files.create(f"{home}/CURRENT.{version}", version)
-        files.replace(f"{home}/CURRENT.{version}", f"{home}/CURRENT")
-        for old in files.names(home):
-            if old.startswith(("v-", "names-")) and old != version and _age(old) > 3600:
-                files.delete(f"{home}/{old}")
-    except BaseException:
-        if _current(files, home)[:1] != [version]:
-            files.delete(f"{home}/{version}")
-        raise
-    finally:
-        files.delete(lock)
+    version = f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    with Lock(files, home):
+        try:
+            prefix = (f"/{volume}" if prefix is None else prefix).rstrip("/")
+            base, order = f"{home}/{version}", ["name", "parent", "ino"]
+            ranged = entries.repartitionByRange(partitions, *order) if partitions else entries.repartitionByRange(*order)
+            ranged.sortWithinPartitions(*order).write.option("parquet.bloom.filter.enabled#name", "true").parquet(f"{base}/entries")
+            stored = spark.read.schema(entries.schema).parquet(f"{base}/entries")
+            tree.last_sightings(stored).write.parquet(f"{base}/dirs")
+            dirs = spark.read.parquet(f"{base}/dirs")
+            numbered = tree.numbered(stored.groupBy("name").agg(F.count("*").alias("n")), ["name"], "id")
+            numbered.select("id", "name", "n").write.parquet(f"{base}/names")
+            counts = tree.type_counts(stored).first().asDict()
+            values = {k: str(v) for k, v in counts.items()}
+            values |= {"dup_dirs": str(counts["dirs"] - dirs.count()), "names": str(spark.read.parquet(f"{base}/names").count())}
+            values |= {"fs": volume, "prefix": prefix, "layout": LAYOUT, "complete": str(complete).lower(), "named_paths": ",".join(names or [])}
+            if names:
+                found = ops.named_paths(names, stored, dirs, prefix)
+                found.sortWithinPartitions("name", "path").write.parquet(f"{base}/named_paths")
+            spark.createDataFrame(sorted((values | (meta or {})).items()), META).coalesce(1).write.parquet(f"{base}/meta")
+            files.create(f"{home}/CURRENT.{version}", version)
+            files.replace(f"{home}/CURRENT.{version}", f"{home}/CURRENT")
+            _sweep(files, home)
+        except BaseException:
+            if _current(files, home)[:1] != [version]:
+                files.delete(f"{home}/{version}")
+            raise
     return version
 
 
+def _sweep(files: Files, home: str) -> None:
+    """Deletes what was replaced longer ago than readers are given; what is replaced now is marked with the time."""
+    current = _current(files, home)
+    for old in files.names(home):
+        if not old.startswith(("v-", "names-")) or old in current:
+            continue
+        mark = f"{home}/replaced-{old}"
+        if files.create(mark, str(time.time())):
+            continue
+        if time.time() - float(files.read(mark)) > KEEP:
+            files.delete(f"{home}/{old}")
+            files.delete(mark)
+
+
 def _current(files: Files, home: str) -> list[str]:
     """The version that is published and, where names were stored anew since, the folder of their paths; empty if there is none."""
     return files.read(f"{home}/CURRENT").split() if files.exists(f"{home}/CURRENT") else []
@@ -93,23 +149,22 @@ def store_names(spark: SparkSession, root: str, volume: str, names: list[str]) -
     A volume that is being built is left alone. Readers go over to the new paths in one step.
     """
     files, home = Files(spark, root), f"{root}/{_check(volume)}"
-    if not files.create(f"{home}/LOCK"):
-        raise VolumeError(f"{volume} is being built")
     stored = f"names-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-    try:
-        now = open_volume(spark, root, volume)
-        ops.named_paths(names, now.entries, now.dirs, now.prefix).sortWithinPartitions("name", "path").write.parquet(f"{home}/{stored}/named_paths")
-        spark.createDataFrame([("named_paths", ",".join(names))], META).coalesce(1).write.parquet(f"{home}/{stored}/meta")
-        version = _current(files, home)[0]
-        files.create(f"{home}/CURRENT.{stored}", f"{version} {stored}")
-        files.replace(f"{home}/CURRENT.{stored}", f"{home}/CURRENT")
-        return spark.read.parquet(f"{home}/{stored}/named_paths").count()
-    except BaseException:
-        if stored not in _current(files, home):
-            files.delete(f"{home}/{stored}")
-        raise
-    finally:
-        files.delete(f"{home}/LOCK")
+    with Lock(files, home):
+        try:
+            now = open_volume(spark, root, volume)
+            found = ops.named_paths(names, now.entries, now.dirs, now.prefix)
+            found.sortWithinPartitions("name", "path").write.parquet(f"{home}/{stored}/named_paths")
+            spark.createDataFrame([("named_paths", ",".join(names))], META).coalesce(1).write.parquet(f"{home}/{stored}/meta")
+            version = _current(files, home)[0]
+            files.create(f"{home}/CURRENT.{stored}", f"{version} {stored}")
+            files.replace(f"{home}/CURRENT.{stored}", f"{home}/CURRENT")
+            _sweep(files, home)
+            return spark.read.parquet(f"{home}/{stored}/named_paths").count()
+        except BaseException:
+            if stored not in _current(files, home):
+                files.delete(f"{home}/{stored}")
+            raise
 
 
 def store_names_all(spark: SparkSession, root: str, volumes: list[str] | None, names: list[str]) -> dict[str, int | VolumeError]:
@@ -123,10 +178,6 @@ def store_names_all(spark: SparkSession, root: str, volumes: list[str] | None, n
     return out
 
 
-def _age(version: str) -> float:
-    return time.time() - int(version.split("-")[1]) / 1e9
-
-
 @dataclass
 class Volume:
     name: str
@@ -134,16 +185,27 @@ class Volume:
     dirs: DataFrame
     meta: dict[str, str]
     named: DataFrame | None
+    names: DataFrame | None = None
 
     @property
     def prefix(self) -> str:
         return self.meta.get("prefix", "")
 
     def search(self, query: ops.Query) -> DataFrame:
-        """The matches; a pattern that is one whole name whose paths were stored is answered from those."""
+        """The matches.
+
+        A pattern that is one whole name whose paths were stored is answered from those. One that gives no prefix to look up is held
+        against the distinct names, if they are far fewer than the entries, and only their entries are joined.
+        """
         literal = ops.regex.name_prefix(query.pattern)
-        if self.named is not None and literal in parse_names(self.meta.get("named_paths", "")) and ops.regex.parse(query.pattern).subs[-1].text == r"\z" and len(ops.regex.parse(query.pattern).subs) == 3:
+        parsed = ops.regex.parse(query.pattern).subs
+        whole = len(parsed) == 3 and parsed[-1].text == r"\z"
+        if self.named is not None and whole and literal in parse_names(self.meta.get("named_paths", "")):
             return query.hits(self.named).select(*ops.RESULT)
+        if not literal and self.names is not None and 2 * int(self.meta["names"]) <= int(self.meta["entries"]):
+            wanted = ops.Query(query.pattern).hits(self.names).select("name")
+            hits = ops.Query("", query.type, query.uid).hits(self.entries).join(wanted, "name", "left_semi")
+            return tree.with_paths(hits, self.dirs, self.prefix).select(*ops.RESULT)
         return ops.search(query, self.entries, self.dirs, self.prefix)
 
     def describe(self) -> str:
@@ -169,7 +231,8 @@ def open_volume(spark: SparkSession, root: str, volume: str) -> Volume:
     if int(meta.get("entries", "0")) > 0 and entries.isEmpty():
         raise VolumeError(f"{volume} is empty but says it has {meta['entries']} entries")
     named = spark.read.parquet(f"{names}/named_paths") if files.exists(f"{names}/named_paths") else None
-    return Volume(volume, entries, spark.read.parquet(f"{base}/dirs"), meta, named)
+    distinct = spark.read.parquet(f"{base}/names") if files.exists(f"{base}/names") else None
+    return Volume(volume, entries, spark.read.parquet(f"{base}/dirs"), meta, named, distinct)
 
 
 def discover(spark: SparkSession, root: str) -> list[str]:

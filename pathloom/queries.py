@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +11,8 @@ from . import storage
 from .functions import codec
 from .operators import search as ops
 from .operators import tree
-from .plans import index
-from .sources import admin, vfs
+from .plans import index, walk
+from .sources import admin, dump, vfs
 from .streaming import telemetry
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +46,47 @@ def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return entries, storage.stage(tree.last_sightings(entries), "dirs")
 
 
+_NAMES = ["red_widget-1.o", "order-7", "EUROPE", "nobody"]
+_IN = "name IN (" + ", ".join(f"'{n}'" for n in _NAMES) + ")"
+#: Folders of published volumes by application and tables: what is searched is published once.
+_PUBLISHED: dict[tuple[str, str, str], str] = {}
+
+
+def _published(spark: SparkSession, sf: str, what: str, build: Callable[[str], None]) -> str:
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _PUBLISHED:
+        root = storage.new_path(spark, f"volumes-{what}")
+        build(root)
+        _PUBLISHED[key] = root
+    return _PUBLISHED[key]
+
+
+def publish_whole(spark: SparkSession, sf: str, root: str) -> None:
+    """The driver's tables as one volume, with the paths of some names."""
+    index.publish(vfs.entries(spark, sf).drop("volume"), root, "vol1", PREFIX, names=_NAMES)
+
+
+def _whole(spark: SparkSession, sf: str) -> index.Volume:
+    return index.open_volume(spark, _published(spark, sf, "whole", lambda root: publish_whole(spark, sf, root)), "vol1")
+
+
+def _regions(spark: SparkSession, sf: str) -> str:
+    """A folder with a volume for each region, and for each a staging copy and a partial walk of a few rows."""
+
+    def build(root: str) -> None:
+        entries = storage.stage(vfs.entries(spark, sf), "entries")
+        for r in spark.read.parquet(f"{sf}/region.parquet").select(F.lower("r_name").alias("v")).orderBy("v").collect():  # five by the format
+            v = r["v"].replace(" ", "_")
+            mine = entries.filter(F.col("volume") == r["v"]).drop("volume")
+            index.publish(mine, root, v, PREFIX)
+            index.publish(mine.filter("parent = 1"), root, f"{v}_new", PREFIX)
+            index.publish(mine.filter("parent = 1"), root, v, PREFIX, complete=False)
+
+    return _published(spark, sf, "regions", build)
+
+
 def _search(name: str, query: ops.Query, where: str) -> None:
-    _add(name, _sql(where))(lambda spark, sf: ops.search(query, *_index(spark, sf), PREFIX))
+    _add(name, _sql(where))(lambda spark, sf: _whole(spark, sf).search(query))
 
 
 def _re(pattern: str) -> str:
@@ -91,18 +129,29 @@ def dup_dirs(spark: SparkSession, sf: str) -> DataFrame:
     return tree.duplicate_dirs(vfs.sightings(spark, sf))
 
 
-_NAMES = ["red_widget-1.o", "order-7", "EUROPE", "nobody"]
-_IN = "name IN (" + ", ".join(f"'{n}'" for n in _NAMES) + ")"
-
-
 @_add("search_name_in", _sql(_IN))
 def search_name_in(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.search_names(_NAMES, *_index(spark, sf), PREFIX)
+    v = _whole(spark, sf)
+    return ops.search_names(_NAMES, v.entries, v.dirs, v.prefix)
+
+
+@_add("search_paths", _sql("type <> 'd' AND " + _re("^blue_.*-3"), "SELECT parent, ino, path FROM hits JOIN full_path USING (id)"))
+def search_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches with their paths, level by level from their parents."""
+    v = _whole(spark, sf)
+    hits = ops.Query("^blue_.*-3").hits(v.entries).filter("type <> 'd'")
+    return tree.with_paths(hits, v.dirs, v.prefix).select("parent", "ino", "path")
 
 
 @_add("names_dictionary", f"WITH {vfs.SQL} SELECT name, count(*) AS n FROM entries GROUP BY name")
 def names_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    return vfs.entries(spark, sf).groupBy("name").agg(F.count("*").alias("n"))
+    return _whole(spark, sf).names.select("name", "n")
+
+
+@_add("name_ids", f"WITH {vfs.SQL} SELECT name, row_number() OVER (ORDER BY CAST(name AS BLOB)) - 1 AS id FROM (SELECT DISTINCT name FROM entries)")
+def name_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The numbers of the distinct names of a published volume, in order of their bytes."""
+    return _whole(spark, sf).names.select("name", "id")
 
 
 @_add("paths_all_dirs", _sql("type = 'd'", "SELECT ino, path FROM hits JOIN full_path USING (id)"))
@@ -118,27 +167,25 @@ def orphan_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("named_paths", _sql(_IN, f"SELECT name, {_RESULT} FROM hits JOIN full_path USING (id) ORDER BY name, path"))
 def named_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.named_paths(_NAMES, *_index(spark, sf), PREFIX).orderBy("name", "path")
+    v = _whole(spark, sf)
+    return ops.named_paths(_NAMES, v.entries, v.dirs, v.prefix).orderBy("name", "path")
 
 
 @_add("named_path_lookup", _sql("name = 'red_widget-1.o'"))
 def named_path_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """A whole name looked up in a published volume, from the paths stored beside it."""
-    root = f"{storage.shared_dir(spark)}/volumes-{uuid.uuid4().hex}"
-    index.publish(vfs.entries(spark, sf), root, "driver", PREFIX, names=_NAMES)
-    return index.open_volume(spark, root, "driver").search(ops.Query(r"^red_widget-1\.o$"))
+    return _whole(spark, sf).search(ops.Query(r"^red_widget-1\.o$"))
 
 
-@_add("multi_volume_search", _sql(_re("^order-1"), f"SELECT volume, {_RESULT} FROM hits JOIN full_path USING (id)"))
+@_add("multi_volume_search", _sql(_re("^order-1"), f"SELECT replace(volume, ' ', '_') AS volume, {_RESULT} FROM hits JOIN full_path USING (id)"))
 def multi_volume_search(spark: SparkSession, sf: str) -> DataFrame:
-    entries, dirs = _index(spark, sf)
-    hits = ops.Query("^order-1").hits(entries)
-    return tree.with_paths(hits, dirs, PREFIX).select("volume", *ops.RESULT)
+    """All published volumes of a folder, staging and partial ones left out."""
+    return index.search_all(spark, _regions(spark, sf), ops.Query("^order-1")).select("volume", *ops.RESULT)
 
 
 @_add("tsv_output", _sql(_re("^blue_"), "SELECT CASE WHEN type = 'h' THEN '-' ELSE CAST(uid AS VARCHAR) END || chr(9) || size || chr(9) || mtime || chr(9) || path AS line FROM hits JOIN full_path USING (id)"))
 def tsv_output(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.tsv(ops.search(ops.Query("^blue_"), *_index(spark, sf), PREFIX))
+    return ops.tsv(_whole(spark, sf).search(ops.Query("^blue_")))
 
 
 @_add("frag_object_names", "SELECT o_orderkey, printf('%x.%08x', 1000000000 + o_orderkey, o_orderkey * 16777216 % 4294967296) AS oid FROM orders")
@@ -194,25 +241,88 @@ def parse_names(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1).select(F.explode(split).alias("name")).distinct()
 
 
-@_add("volume_discovery", "SELECT v FROM (SELECT lower(r_name) AS v FROM region UNION ALL SELECT lower(r_name) || '_new' FROM region UNION ALL SELECT lower(r_name) || '_partial' FROM region) WHERE v NOT LIKE '%_new' AND v NOT LIKE '%_partial' ORDER BY v")
+@_add("volume_discovery", "SELECT lower(replace(r_name, ' ', '_')) AS v FROM region ORDER BY v")
 def volume_discovery(spark: SparkSession, sf: str) -> DataFrame:
-    v = spark.read.parquet(f"{sf}/region.parquet").select(F.explode(F.array(*[F.concat(F.lower("r_name"), F.lit(x)) for x in ("", "_new", "_partial")])).alias("v"))
-    return v.filter(~F.col("v").like("%_new") & ~F.col("v").like("%_partial")).orderBy("v")
+    """The published volumes of a folder that also has staging copies and partial walks."""
+    return spark.createDataFrame([(v,) for v in index.discover(spark, _regions(spark, sf))], "v string").orderBy("v")
+
+
+@_add("decode_dentries", f"""
+    WITH {vfs.SQL}, {dump.SQL}
+    SELECT parent, CASE WHEN type <> '?' THEN name END AS name, CASE WHEN type <> '?' THEN snap = 'head' END AS head, CASE WHEN type <> '?' THEN type END AS type,
+           CASE WHEN type <> '?' THEN ino END AS ino, CASE WHEN type <> '?' THEN uid END AS uid, CASE WHEN type <> '?' THEN size END AS size,
+           CASE WHEN type <> '?' THEN mtime END AS mtime, CASE type WHEN '?' THEN NULL WHEN 'h' THEN 0 ELSE ctime END AS ctime, CASE WHEN type <> '?' THEN rctime END AS rctime,
+           CASE WHEN type NOT IN ('?', 'h') THEN rfiles END AS rfiles, CASE WHEN type NOT IN ('?', 'h') THEN rsubdirs END AS rsubdirs,
+           CASE WHEN type = 'd' THEN CASE WHEN ino % {dump.SPLIT} = 0 THEN 2 ELSE 1 END END AS fragments, type = '?' AS failed FROM records""")
+def decode_dentries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record of a dump decoded from its bytes, with those that can't be."""
+    rows = codec.decoded(dump.omap(spark, sf))
+    parent = F.conv(F.substring_index("oid", ".", 1), 16, -10).cast("long")
+    fragments = F.when(F.col("frags").isNotNull(), F.size("frags"))
+    return rows.select(parent.alias("parent"), "name", "head", "type", "ino", "uid", "size", "mtime", "ctime", "rctime", "rfiles", "rsubdirs", fragments.alias("fragments"), F.col("error").isNotNull().alias("failed"))
+
+
+_REACHED = f"""WITH RECURSIVE {vfs.SQL}, {dump.SQL},
+    inside_of AS (SELECT CAST(1 AS BIGINT) AS ino UNION ALL SELECT r.ino FROM records r JOIN inside_of i ON r.parent = i.ino WHERE r.type = 'd'),
+    seen AS (SELECT r.* FROM records r JOIN inside_of i ON r.parent = i.ino)"""
+
+
+def _walked(spark: SparkSession, sf: str) -> walk.Walk:
+    return walk.walk(dump.omap(spark, sf), [0])
+
+
+@_add("tree_walk", f"{_REACHED} SELECT parent, name, ino, type, uid, size, mtime FROM seen WHERE type <> '?' AND snap = 'head'")
+def tree_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """What can be reached from the root of a dump; a directory whose parent isn't there, and all in it, can't."""
+    return _walked(spark, sf).entries.select("parent", "name", "ino", "type", "uid", "size", "mtime")
+
+
+@_add("scan_counters", f"""{_REACHED},
+    live AS (SELECT * FROM seen WHERE type <> '?' AND snap = 'head'),
+    asked AS (SELECT ino AS dir, rfiles + rsubdirs > 1 AS nonempty, unnest(CASE WHEN ino % {dump.SPLIT} = 0 THEN [0, 1] ELSE [0] END) AS half FROM live WHERE type = 'd' UNION ALL SELECT 1, true, 0),
+    held AS (SELECT parent AS dir, CASE WHEN parent <> 1 AND parent % {dump.SPLIT} = 0 THEN length(name) % 2 ELSE 0 END AS half, count(*) AS keys FROM records GROUP BY 1, 2),
+    found AS (SELECT a.*, h.keys FROM asked a LEFT JOIN held h USING (dir, half))
+    SELECT (SELECT count(*) FROM live) AS entries, (SELECT count(*) FROM live WHERE type = 'd') AS dirs, (SELECT count(*) FROM live WHERE type = 'd' AND ino % {dump.SPLIT} = 0) AS fragmented,
+           (SELECT count(*) FROM seen WHERE type = '?') AS decode_errors, (SELECT count(*) FROM seen WHERE type <> '?' AND snap <> 'head') AS snap_skipped,
+           (SELECT CAST(sum(CASE WHEN type = 'd' THEN rfiles + rsubdirs ELSE 1 END) AS BIGINT) FROM live WHERE parent = 1) AS expected,
+           (SELECT count(keys) FROM found) AS objects, (SELECT CAST(coalesce(sum(greatest(1, ceil(keys / 1024.0))), 0) AS BIGINT) FROM found WHERE keys IS NOT NULL) AS pages,
+           (SELECT count(*) FROM found WHERE keys IS NULL AND NOT nonempty) AS enoent, (SELECT count(*) FROM found WHERE keys IS NULL AND nonempty) AS missed_dirs""")
+def scan_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """All counters of a walk over a dump."""
+    names = ["entries", "dirs", "fragmented", "decode_errors", "snap_skipped", "expected", "objects", "pages", "enoent", "missed_dirs"]
+    return _walked(spark, sf).counters.select(*names)
 
 
-@_add("expected_entries", f"WITH {vfs.SQL} SELECT CAST(sum(CASE WHEN e.type = 'd' THEN 1 + coalesce(n, 0) ELSE 1 END) AS BIGINT) AS expected FROM entries e LEFT JOIN (SELECT parent, count(*) AS n FROM entries GROUP BY parent) c ON c.parent = e.ino WHERE e.parent = 1")
+@_add("expected_entries", f"{_REACHED} SELECT CAST(sum(CASE WHEN type = 'd' THEN rfiles + rsubdirs ELSE 1 END) AS BIGINT) AS expected FROM seen WHERE parent = 1 AND type <> '?' AND snap = 'head'")
 def expected_entries(spark: SparkSession, sf: str) -> DataFrame:
-    entries = vfs.entries(spark, sf).select("parent", "ino", "type")
-    top = entries.filter("parent = 1")
-    inside = entries.groupBy(F.col("parent").alias("ino")).agg(F.count("*").alias("n"))
-    return top.join(inside, "ino", "left").agg(F.sum(F.when(F.col("type") == "d", 1 + F.coalesce("n", F.lit(0))).otherwise(1)).alias("expected"))
+    """The entries that the root's own records promise, from a walk's first level."""
+    return walk.walk(dump.omap(spark, sf), [0], max_levels=1).counters.select("expected")
+
+
+@_add("crash_check", "SELECT * FROM (VALUES ('lost', true), ('whole', false)) t(volume, refused)")
+def crash_check(spark: SparkSession, sf: str) -> DataFrame:
+    """A volume whose entries were lost after it was published is refused, one that is whole isn't."""
+    root = storage.new_path(spark, "volumes-crash")
+    entries = vfs.entries(spark, sf).drop("volume").filter("parent = 1")
+    out = []
+    for v in ("lost", "whole"):
+        version = index.publish(entries, root, v, PREFIX)
+        if v == "lost":
+            entries.limit(0).write.mode("overwrite").parquet(f"{root}/{v}/{version}/entries")
+        try:
+            index.open_volume(spark, root, v)
+            out.append((v, False))
+        except index.VolumeError:
+            out.append((v, True))
+    return spark.createDataFrame(out, "volume string, refused boolean")
 
 
 @_add("exists_probe", f"WITH {vfs.SQL} SELECT EXISTS (SELECT 1 FROM entries WHERE name = 'ASIA') AS found, EXISTS (SELECT 1 FROM entries WHERE name = 'nobody') AS lost")
 def exists_probe(spark: SparkSession, sf: str) -> DataFrame:
-    names = vfs.entries(spark, sf).filter(F.col("name").isin("ASIA", "nobody"))
-    has = lambda n: F.coalesce(F.bool_or(F.col("name") == n), F.lit(False))
-    return names.agg(has("ASIA").alias("found"), has("nobody").alias("lost"))
+    """Whether a name is there at all: a probe stops at the first row, and skips row groups by bounds and Bloom filter."""
+    entries = _whole(spark, sf).entries
+    has = lambda n: not entries.filter(F.col("name") == n).limit(1).isEmpty()
+    return spark.createDataFrame([(has("ASIA"), has("nobody"))], "found boolean, lost boolean")
 
 
 @_add("stats_left_join", "SELECT c_custkey, coalesce(n, 0) AS n, coalesce(last, 0) AS last FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
@@ -223,8 +333,8 @@ def stats_left_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("probe_lines", _sql(_re("^order-2") + " AND type = 'd'", "SELECT uid || chr(9) || path AS line FROM hits JOIN full_path USING (id)"))
 def probe_lines(spark: SparkSession, sf: str) -> DataFrame:
-    entries, dirs = _index(spark, sf)
-    return ops.short_tsv(tree.with_paths(ops.Query("^order-2", "dir").hits(entries), dirs, PREFIX))
+    v = _whole(spark, sf)
+    return ops.short_tsv(tree.with_paths(ops.Query("^order-2", "dir").hits(v.entries), v.dirs, v.prefix))
 
 
 def _nations(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,4 +361,4 @@ def placement(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("search_stats", f"WITH {vfs.SQL} SELECT count(*) AS candidates, count(DISTINCT parent) AS parents FROM entries WHERE {_re('^red_')}")
 def search_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.Query("^red_").hits(vfs.entries(spark, sf)).agg(F.count("*").alias("candidates"), F.countDistinct("parent").alias("parents"))
+    return ops.Query("^red_").hits(_whole(spark, sf).entries).agg(F.count("*").alias("candidates"), F.countDistinct("parent").alias("parents"))

@@ -121,7 +121,8 @@ def read_objects(visit: DataFrame, store: Store, tasks: int, page: int = PAGE, m
                 while more:
                     pace.wait()
                     began = time.monotonic()
-                    note = {"oid": oid, "nonempty": nonempty, "pages": 0, "missing": False, "problem": None}
+                    # an object that vanishes after its first page has been seen; it isn't a directory that was missed
+                    note = {"oid": oid, "nonempty": nonempty and not after, "pages": 0, "missing": False, "problem": None}
                     rows: list = []
                     try:
                         rows, more = store.omap_page(oid, after, page)

@@ -103,6 +103,15 @@ class Files:
         finally:
             stream.close()
 
+    def move(self, source: str, target: str) -> bool:
+        """Renames a file that is there; False if it isn't, as where another was faster."""
+        try:
+            return self.fs.rename(self.path(source), self.path(target))
+        except Exception:  # noqa: BLE001  file systems differ in whether a missing file is an error
+            if self.exists(source):
+                raise
+            return False
+
     def replace(self, source: str, target: str) -> None:
         """Renames over ``target`` in one step."""
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(target).toUri() if "://" in target else self.jvm.java.net.URI("file:///"), self.conf)

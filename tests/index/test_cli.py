@@ -4,7 +4,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import encoder as enc  # noqa: E402
+from pathloom.functions import encoder as enc  # noqa: E402
 import pytest  # noqa: E402
 
 from pathloom import cli  # noqa: E402
@@ -58,6 +58,20 @@ def test_probe(spark, dump, capsys):
     assert sorted(capsys.readouterr().out.splitlines()) == ["42\t<ino 0x100>/a.php", "43\t<ino 0x100>/sub/a.php"]
 
 
+def test_pool_is_looked_up(spark, tmp_path, capsys):
+    report = {"filesystems": [{"mdsmap": {"fs_name": n, "metadata_pool": p, "in": [0, 1]}} for n, p in (("v", 4), ("w", 5))]}
+    for name, what in (("fs", report), ("pools", [{"pool_id": 4, "pool": "v_meta"}]), ("rule", {"steps": [{"op": "take", "item_name": "east"}]})):
+        (tmp_path / name).write_text(json.dumps(what))
+    given = ["--fs-dump", f"{tmp_path}/fs", "--pools", f"{tmp_path}/pools", "--rule", f"{tmp_path}/rule", "--location", "datacenter=west"]
+    # the pool is found, but the cluster's binding isn't installed
+    assert cli.main(["probe", "--fs", "v", *given], spark) == 1
+    out = capsys.readouterr().err
+    assert "pool v_meta, ranks 0,1" in out and "primaries are in east" in out
+    for name in ("w", "x"):
+        assert cli.main(["probe", "--fs", name, *given], spark) == 1
+        assert "v_meta" not in capsys.readouterr().err
+
+
 def test_decode(tmp_path, capsys):
     (tmp_path / "v").write_bytes(enc.plain(0x77, uid=5, size=9))
     assert cli.main(["decode", "f_head", str(tmp_path / "v")]) == 0

@@ -4,7 +4,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import encoder as enc  # noqa: E402
+from pathloom.functions import encoder as enc  # noqa: E402
 import pytest  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -13,38 +13,43 @@ from pathloom.plans import walk  # noqa: E402
 from pathloom.sources import admin, store  # noqa: E402
 
 
-def tree():
+def test_walk_of_a_store(spark, made):
+    """Page by page as from the dump, with one directory that can't be read and one that goes away behind its first page."""
+    for tree in made:
+        entries, counters = tree.walked(page=5)
+        done = walk.walk_store(spark, store.MemoryStore(tree.pages(), {"1.00000000.inode": enc.root({0: 2})}), tasks=3, page=5)
+        assert done.complete
+        assert sorted((r["parent"], r["name"], r["ino"], r["type"], r["uid"]) for r in done.entries.collect()) == entries
+        c = done.counters.first().asDict()
+        assert {k: c[k] for k in counters} == counters and c["op_errors"] == 0
+        dump = walk.walk(spark.createDataFrame(tree.rows(), "oid string, key string, value binary"), tree.roots)
+        assert sorted(map(tuple, done.entries.collect())) == sorted(map(tuple, dump.entries.collect()))
+
+
+def test_reads_that_fail(spark):
     class Flaky(store.MemoryStore):  # a local class is pickled whole
         def omap_page(self, oid, after, most):
-            if oid.startswith("105."):
+            if oid.startswith("b0."):
                 raise OSError("no answer")
+            if oid.startswith("b1.") and after:
+                raise store.NotFound(oid)
             return super().omap_page(oid, after, most)
 
-    left, right = codec.leaves({0: 1})
-    omap = {
-        f"1.{left:08x}": {"home_head": enc.folder(0x100, rfiles=2501, rsubdirs=1), "stale_head": enc.folder(0x104, rfiles=5, rsubdirs=1), "gone_head": enc.folder(0x106, rsubdirs=1), "deaf_head": enc.folder(0x105, rfiles=3, rsubdirs=1), "bad_head": b"abc"},
-        f"1.{right:08x}": {"big_head": enc.folder(0x102, rfiles=40, rsubdirs=1, tree={0: 2}), "old_10": enc.plain(1)},
-        "100.00000000": {f"f{i:04d}_head": enc.plain(0x1000 + i) for i in range(2500)},
-        "999.00000000": {"stray_head": enc.plain(0x9001)},
-        **{f"102.{f:08x}": {f"g{k}_{i}_head": enc.plain(0xA000 + 10 * k + i) for i in range(10)} for k, f in enumerate(codec.leaves({0: 2}))},
-    }
-    return Flaky(omap, {"1.00000000.inode": enc.root({0: 1})})
-
-
-def test_walk_of_a_store(spark):
-    done = walk.walk_store(spark, tree(), tasks=3, page=1000)
+    full = {"rfiles": 9, "rsubdirs": 1}
+    pages = {"1.00000000": {f"n{i}_head": enc.folder(0xB0 + i, **full) for i in range(4)}, "b3.00000000": {}}
+    pages |= {f"b{i}.00000000": {f"f{k}_head": enc.plain(0x900 + 10 * i + k) for k in range(9)} for i in (0, 1)}
+    flaky = Flaky(pages, {"1.00000000.inode": enc.root({})})
+    heard = []
+    done = walk.walk_store(spark, flaky, tasks=2, page=4, note=lambda *x: heard.append(x))
     c = done.counters.first().asDict()
-    assert done.complete
-    assert {k: c[k] for k in ("entries", "dirs", "objects", "pages", "enoent", "missed_dirs", "op_errors", "decode_errors", "snap_skipped")} == {"entries": 2545, "dirs": 5, "objects": 7, "pages": 9, "enoent": 1, "missed_dirs": 1, "op_errors": 1, "decode_errors": 1, "snap_skipped": 1}
-    rows = [(o, k, v) for o, page in tree().omap.items() for k, v in page.items()]
-    dump = walk.walk(spark.createDataFrame(rows, "oid string, key string, value binary"), walk.root_fragments(tree()))
-    assert sorted(map(tuple, done.entries.collect())) == sorted(map(tuple, dump.entries.collect()))
+    # b0 can't be read, b1 goes away after a page, b2 isn't there, b3 is empty
+    assert {k: c[k] for k in ("objects", "entries", "op_errors", "enoent", "missed_dirs", "pages")} == {"objects": 2, "entries": 8, "op_errors": 1, "enoent": 1, "missed_dirs": 1, "pages": 3}
     assert [r["problem"] for r in done.reads.filter("problem is not null").collect()] == ["OSError: no answer"]
-    early = walk.walk_store(spark, tree(), tasks=2, seconds=0)
-    assert not early.complete
-    assert early.entries.count() == 5
-    below = walk.walk_store(spark, tree(), start=0x100, tasks=2)
-    assert (below.complete, below.entries.count()) == (True, 2500)
+    assert heard == [(0, 4), (1, 8)]
+    early = walk.walk_store(spark, flaky, tasks=2, seconds=0)
+    assert not early.complete and early.entries.count() == 4
+    below = walk.walk_store(spark, flaky, start=0xB1, tasks=2)
+    assert (below.complete, below.entries.count()) == (True, 9)
 
 
 def test_pace():
