@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .. import storage
 from ..storage import new_path, shared_dir, stage  # noqa: F401
+from . import bloom
 
 #: Rows and bytes that a task turns into Python values at a time. Spark itself bounds the bytes of a batch.
 SLICE_ROWS = 512
@@ -100,22 +101,28 @@ def frame(columns: dict[str, tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns.values()], names=list(columns))
 
 
-def join_skewed(rows: DataFrame, lookup: DataFrame, key: str, weight: str, most: int | None = None) -> DataFrame:
+def join_skewed(rows: DataFrame, lookup: DataFrame, key: str, weight: str, most: int | None = None, sparse: bool = False) -> DataFrame:
     """``rows`` left-joined with ``lookup``, which has a key once and in ``weight`` the number of rows that have it.
 
     The ``most`` heaviest keys are broadcast, so no task gets all rows of a hot key. Only if there are more
-    keys do rows of the others meet theirs over a shuffle, and a key then has at most 1 / most of all rows.
-    ``rows`` is read twice in that case, and should be staged or cheap.
+    keys do rows of the others meet theirs over a shuffle, and a key then has at most 1 / most of all rows. Rows with a null
+    key stay out of that shuffle, and with ``sparse`` those that a Bloom filter of the keys rejects. ``rows``
+    is read several times in that case, and should be staged or cheap.
     """
     most = MOST_HOT if most is None else most
     lookup = stage(lookup, "lookup")
-    if lookup.count() <= most:
+    count = lookup.count()
+    if count <= most:
         return rows.join(F.broadcast(lookup.drop(weight)), key, "left")
-    heavy = stage(lookup.orderBy(F.desc(weight), key).limit(most).drop(weight), "heavy")
-    mark = heavy.withColumn("__heavy", F.lit(True))
-    first = rows.join(F.broadcast(mark), key, "left").filter("__heavy").drop("__heavy")
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(lookup.drop(weight), key, "left")
-    return first.unionByName(rest)
+    heavy = stage(lookup.orderBy(F.desc(weight), key).limit(most), "heavy").drop(weight)
+    first = rows.join(F.broadcast(heavy), key)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    asked = F.col(key).isNotNull()
+    if sparse:
+        asked &= bloom.tester(lookup, F.col(key), count)(F.col(key))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in lookup.schema.fields if f.name not in (key, weight)]
+    joined = light.filter(asked).join(lookup.drop(weight), key, "left")
+    return first.unionByName(joined).unionByName(light.filter(~asked).select("*", *none))
 
 
 def share(column, salt: str):

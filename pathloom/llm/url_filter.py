@@ -3,22 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import bloom, common
 
-#: A block is one 512-bit cache line of eight 64-bit words; a key sets one bit in each word.
-WORDS = 8
-BITS_PER_KEY = 16
-#: The filter's size has this bound in bytes; with more keys it lets more pass, and the join still decides.
-MAX_BYTES = 8 << 20
-#: Rules are broadcast up to this count and joined over a shuffle beyond it.
-BROADCAST_RULES = 10_000
-SALTS = 16
 RULES = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("verdict", T.StringType())])
+ADDED = ["host", "path", "rule", "verdict"]
 
 
 def parse_rules(lines: list[str]) -> list[tuple[str, str, str]]:
@@ -31,120 +23,116 @@ def parse_rules(lines: list[str]) -> list[tuple[str, str, str]]:
     return out
 
 
-def split_url(url):
+def _lowered(host: Column) -> Column:
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def split_url(url: Column) -> tuple[Column, Column]:
     """(host, path) columns. Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased."""
     there = F.coalesce(F.instr(url, "://") > 0, F.lit(False))
-    rest = F.expr("substring({0}, instr({0}, '://') + 3)".format("`__url`"))
+    rest = F.substring(url, F.instr(url, "://") + 3, F.length(url))
     host = F.regexp_extract(rest, r"(?s)\A([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"(?s)\A[^/?#]*([^?#]*)", 1)
-    lowered = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(there, lowered).otherwise(F.lit("")), F.when(there, path).otherwise(F.lit(""))
+    return F.when(there, _lowered(host)).otherwise(F.lit("")), F.when(there, path).otherwise(F.lit(""))
+
 
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    return spark.createDataFrame(rules, RULES)
 
-def _set_bits(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each hashed key its block, and the bit in each of the block's words."""
-    h = keys.view(np.uint64)
-    block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    odd = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint64)
-    low = h & np.uint64(0xFFFFFFFF)
-    bit = ((low[:, None] * odd) & np.uint64(0xFFFFFFFF)) >> np.uint64(26)
-    return block.astype(np.int64), np.uint64(1) << bit
 
+def _key(host: str, path: str) -> str:
+    return f"{len(host)}:{host}{path}"
 
-def build_bloom(keys: DataFrame, count: int) -> np.ndarray:
-    """The filter of a column ``h`` of 64-bit hashes: tasks fill parts, Spark ors the words of each block.
 
-    Its size follows ``count`` up to MAX_BYTES, so what the driver gets and broadcasts is bounded.
-    """
-    blocks = max(1, min(MAX_BYTES // (WORDS * 8), -(-count * BITS_PER_KEY // (WORDS * 64))))
-
-    def run(batches):
-        words = np.zeros((blocks, WORDS), np.uint64)
-        for batch in batches:
-            block, bits = _set_bits(batch.column(0).to_numpy(), blocks)
-            np.bitwise_or.at(words, block, bits)
-        used = np.flatnonzero(words.any(axis=1))
-        for at in range(0, len(used), 4096):
-            some = used[at : at + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(words[some, w].view(np.int64)) for w in range(WORDS)]], names=["block", *[f"w{w}" for w in range(WORDS)]])
-
-    schema = "block long, " + ", ".join(f"w{w} long" for w in range(WORDS))
-    merged = keys.select("h").mapInArrow(run, schema).groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)])
-    out = np.zeros((blocks, WORDS), np.uint64)
-    for row in merged.toLocalIterator():
-        out[row["block"]] = np.array(row[1:], np.int64).view(np.uint64)
+def suffixes(host: str) -> list[str]:
+    """The host, and what is left of it behind each of its dots."""
+    out = [host]
+    while (at := host.find(".")) >= 0:
+        host = host[at + 1 :]
+        out.append(host)
     return out
 
 
-def may_hold(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    block, bits = _set_bits(np.ascontiguousarray(keys), len(bloom))
-    return ((bloom[block] & bits) == bits).all(axis=1)
+def _hashes(texts: list[str]) -> np.ndarray:
+    """Spark's xxhash64 of each text."""
+    import xxhash
 
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(t.encode("utf-8", "surrogatepass"), 42) for t in texts], np.uint64).view(np.int64)
 
-def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, RULES)
+
+def _prober(listed: DataFrame, count: int, hosts: DataFrame, host_count: int, lengths: list[int]):
+    """A function from host and path columns to the keys that the list may hold.
+
+    The hosts' filter goes first, so that path prefixes, of the lengths that rules' paths have, are formed only under suffixes of
+    the host that some rule may name.
+    """
+    spark = listed.sparkSession
+    some_hosts = spark.sparkContext.broadcast(bloom.build(hosts.select(F.xxhash64("rh").alias("h")), host_count).tobytes())
+    some_keys = spark.sparkContext.broadcast(bloom.build(listed.select(F.xxhash64("key").alias("h")), count).tobytes())
+
+    @F.pandas_udf("array<string>")
+    def possible(host, path):
+        import pandas as pd
+
+        view = lambda held: np.frombuffer(held.value, np.uint64).reshape(-1, bloom.WORDS)
+        out: list[list[str]] = [[] for _ in range(len(host))]
+        each = [(i, s) for i, h in enumerate(host) for s in suffixes(h)]
+        listed_host = bloom.may_hold(view(some_hosts), _hashes([s for _, s in each])) if each else []
+        paths = path.tolist()
+        keys = [(i, _key(s, paths[i][:n])) for (i, s), hit in zip(each, listed_host, strict=True) if hit for n in lengths if n <= len(paths[i])]
+        if keys:
+            for (i, key), hit in zip(keys, bloom.may_hold(view(some_keys), _hashes([k for _, k in keys])), strict=True):
+                if hit:
+                    out[i].append(key)
+        return pd.Series(out)
+
+    return possible
 
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict to every row.
 
     A rule (host, path, verdict) fits its host and the host's subdomains where the url's path starts with
-    the rule's; the longest wins (host and path together, then the longer host, then the smaller verdict).
-    Where none fits, rule is null and verdict is ``default``. A null url, or one without ``://``, has an
-    empty host and path. An empty list lets all pass with the default. Columns that clash are replaced.
-
-    A url is looked up by its canonical keys: each host suffix that starts a label, with each path prefix
-    as long as some rule's path. Keys go through the blocked Bloom filter, and only possible hits go on
-    to the exact join with the rules, where salts spread a rule that very many rows hit.
+    the rule's; the longest wins (host and path together, then the longer host; of one rule's verdicts the smaller). A rule's host is
+    lower-cased as a url's is, and a rule without host or verdict isn't one. Where none fits, rule is null and
+    verdict is ``default``. A null url, or one without ``://``, has an empty host and path. An empty list lets all
+    pass with the default, an empty table stays empty, and repeated rows come back as often as they went in.
+    Columns that clash are replaced; others may have any names.
+
+    A url is looked up by its canonical keys: each host suffix that starts a label, with each path prefix as long as some
+    rule's path. Keys go through blocked Bloom filters. Rows without a possible hit are done; the others' keys meet
+    the rules in an exact hash join, in which the rules that most rows hit are broadcast, and their rows alone
+    are grouped again.
     """
     spark = pages.sparkSession
     common.ship(spark)
-    listed = rules.select(F.col("host").alias("__rh"), F.coalesce("path", F.lit("")).alias("__rp"), F.col("verdict").alias("__rv")).filter("__rh is not null and __rv is not null")
-    key = F.concat(F.length("__rh").cast("string"), F.lit(":"), F.col("__rh"), F.col("__rp"))
-    listed = listed.groupBy("__rh", "__rp").agg(F.min("__rv").alias("__rv")).withColumn("__key", key)
-    count = listed.count()
-    shape = listed.agg(F.collect_set(F.length("__rp")), F.collect_set(F.size(F.split("__rh", r"\.")))).first()
-    lengths, labels = sorted(shape[0]), sorted(shape[1])  # distinct lengths, not rules
-
-    taken = ("host", "path", "rule", "verdict")
-    base = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in taken], F.col(url_col).alias("__url"), common.row_key().alias("__row"))
-    host, path = split_url(F.col("__url"))
-    rows = base.withColumns({"host": host, "path": path}).drop("__url")
-    kept = [c for c in rows.columns if c != "__row"]
+    host, path = _lowered(F.col("host")).alias("rh"), F.coalesce("path", F.lit("")).alias("rp")
+    listed = rules.select(host, path, F.col("verdict").alias("rv")).filter("rh is not null and rv is not null")
+    key = F.concat(F.length("rh").cast("string"), F.lit(":"), F.col("rh"), F.col("rp"))
+    listed = common.stage(listed.groupBy("rh", "rp").agg(F.min("rv").alias("rv")).withColumn("key", key), "rules")
+    count, hosts = listed.count(), listed.select("rh").distinct()
+    lengths = sorted(listed.agg(F.collect_set(F.length("rp"))).first()[0])  # distinct lengths, not rules
+
+    kept = common.others(pages, ADDED).columns
+    host, path = split_url(F.col(f"`{url_col}`"))
+    rows = common.numbered(pages.select(*[F.col(f"`{c}`") for c in kept], host, path))
+    rows = rows.withColumnsRenamed({f"c{len(kept)}_": "host_", f"c{len(kept) + 1}_": "path_"})
+
+    def named(df: DataFrame, rule: Column, verdict: Column) -> DataFrame:
+        return common.renamed(df, kept, F.col("host_").alias("host"), F.col("path_").alias("path"), rule.alias("rule"), verdict.alias("verdict"))
+
+    none = (F.lit(None).cast("string"), F.lit(default))
     if not count:
-        return rows.drop("__row").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-
-    # canonical keys: only label counts and path lengths that the list has
-    depth = F.size(F.split("host", r"\."))
-    suffixes = F.filter(F.array(*[F.when(depth >= n, F.substring_index("host", ".", -n)) for n in labels]), lambda x: x.isNotNull())
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull())
-    pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(F.length(s).cast("string"), F.lit(":"), s, p))))
-    rows = rows.withColumn("__keys", pairs).withColumn("__hashes", F.transform("__keys", lambda k: F.xxhash64(k)))
-
-    words = spark.sparkContext.broadcast(build_bloom(listed.select(F.xxhash64("__key").alias("h")), count).tobytes())
-
-    @F.pandas_udf("array<boolean>")
-    def probe(column):
-        import pandas as pd
-
-        bloom = np.frombuffer(words.value, np.uint64).reshape(-1, WORDS)
-        sizes = column.map(len).to_numpy()
-        flat = np.concatenate([*column, np.zeros(0, np.int64)]).astype(np.int64)
-        hit = may_hold(bloom, flat) if len(flat) else np.zeros(0, bool)
-        return pd.Series(np.split(hit, np.cumsum(sizes)[:-1])) if len(sizes) else pd.Series([], dtype=object)
-
-    passed = rows.withColumn("__hit", probe("__hashes"))
-    possible = F.filter(F.arrays_zip(F.col("__keys").alias("key"), F.col("__hit").alias("hit")), lambda x: x["hit"])
-    # a row without a possible hit keeps one null key: it takes part in no join, and stays
-    spread = passed.select(*kept, "__row", F.explode_outer(F.transform(possible, lambda x: x["key"])).alias("__key"))
-    exact = listed.select("__key", "__rh", "__rp", "__rv")
-    if count <= BROADCAST_RULES:
-        found = spread.join(F.broadcast(exact), "__key", "left")
-    else:
-        salted = exact.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("shuffle_hash")
-        # null keys are dealt by row as well, so that they don't meet in one task
-        own = F.when(F.col("__key").isNull(), F.concat(F.lit("?"), F.col("__row").cast("string"))).otherwise(F.col("__key"))
-        found = spread.withColumns({"__key": own, "__salt": F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int")}).join(salted, ["__key", "__salt"], "left")
-    order = F.struct((F.length("__rh") + F.length("__rp")).alias("n"), F.length("__rh").alias("h"), F.concat("__rh", "__rp").alias("rule"), F.col("__rv").alias("v"))
-    best = found.groupBy("__row").agg(*[F.first(f"`{c}`").alias(c) for c in kept], F.max(F.when(F.col("__rh").isNotNull(), order)).alias("__best"))
-    return best.select(*[f"`{c}`" for c in kept], F.col("__best.rule").alias("rule"), F.coalesce("__best.v", F.lit(default)).alias("verdict"))
+        return named(rows, *none)
+    possible = _prober(listed, count, hosts, hosts.count(), lengths)
+    # staged, as a row's number must stay the same if a task runs again
+    rows = common.stage(rows.withColumns({"row_": common.row_key(), "keys_": possible("host_", "path_")}), "probed")
+    clear, hits = rows.filter(F.size("keys_") == 0), rows.filter(F.size("keys_") > 0)
+    keys = hits.select("row_", F.explode("keys_").alias("key"))
+    asked = keys.groupBy("key").agg(F.count("*").alias("n")).join(listed, "key")  # the keys that are listed indeed
+    found = common.join_skewed(keys, asked, "key", "n").filter("rh is not null")
+    order = F.struct((F.length("rh") + F.length("rp")).alias("n"), F.length("rh").alias("h"), F.concat("rh", "rp").alias("rule"), F.col("rv").alias("v"))
+    best = found.groupBy("row_").agg(F.max(order).alias("best"))
+    judged = hits.join(best, "row_", "left")
+    return named(clear, *none).unionByName(named(judged, F.col("best.rule"), F.coalesce("best.v", F.lit(default))))

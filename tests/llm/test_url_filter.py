@@ -1,6 +1,6 @@
 import numpy as np
 
-from pathloom.llm import queries, url_filter
+from pathloom.llm import bloom, common, queries, url_filter
 
 URLS = [None, "", "no scheme", "http://", "http://EXAMPLE.com/en/x?y#z", "http://www.Example.com/en/", "https://a.b.example.com/en/", "http://example.com/fr/", "http://notexample.com/en/", "x://net/es/1", "x://a.net/fr/?q", "x://a.net/fr", "http://com", "http://com/", "http://a.com?x/en/", "http://a.org/en/", "http://a.org://b.com/en/", "http://é.com/\n/x", "http://example.com./en/", "http://.com/x"]
 
@@ -27,13 +27,32 @@ def test_rules(spark):
 
 
 def test_many_rules_join_over_a_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 10)
-    rules = [(f"h{i}.example.com", "/" + "x" * (i % 3), "block" if i % 2 else "allow") for i in range(200)]
-    urls = [f"http://w.h{i}.example.com/{'x' * (i % 4)}y" for i in range(400)] + [None] * 50
+    rules = [(f"h{i}.Example.com", "/" + "x" * (i % 3), "block" if i % 2 else "allow") for i in range(200)]
+    urls = [f"http://w.h{i}.example.com/{'x' * (i % 4)}y" for i in range(400)] + [None] * 50 + ["http://h3.example.com/"] * 99
+    lowered = [(h.lower(), p, v) for h, p, v in rules]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    rows = url_filter.judge(pages, url_filter.rule_table(spark, rules)).collect()
-    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in rows if r["rule"]) == sorted((i, *brute(u, rules)[2:]) for i, u in enumerate(urls) if brute(u, rules)[2])
-    assert len(rows) == 450
+    want = sorted((i, *brute(u, lowered)[2:]) for i, u in enumerate(urls) if brute(u, lowered)[2])
+    for most in (100_000, 10):
+        monkeypatch.setattr(common, "MOST_HOT", most)
+        rows = url_filter.judge(pages, url_filter.rule_table(spark, rules)).collect()
+        assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in rows if r["rule"]) == want
+        assert len(rows) == len(urls)
+
+
+def test_odd_columns(spark):
+    columns = "page_id long, url string, __url string, row_ int, keys_ string, c0_ map<string,int>, Verdict int"
+    pages = spark.createDataFrame([(i, u, "x", 1, "k", {"a": i}, 5) for i, u in enumerate(["http://a.com/x", None, "http://b.org/"])], columns)
+    rules = url_filter.rule_table(spark, [("com", "", "block"), ("com", "", "allow"), (None, "/", "block"), ("org", "/", None)])
+    out = url_filter.judge(pages, rules)
+    assert out.columns == ["page_id", "url", "__url", "row_", "keys_", "c0_", "host", "path", "rule", "verdict"]
+    got = sorted((r["page_id"], r["c0_"]["a"], r["rule"], r["verdict"]) for r in out.collect())
+    assert got == [(0, 0, "com", "allow"), (1, 1, None, "allow"), (2, 2, None, "allow")]
+
+
+def test_hashes_are_sparks(spark):
+    texts = ["", "a", "7:example", "é漢", "x" * 100]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").selectExpr("i", "xxhash64(t) AS h").collect()
+    assert url_filter._hashes(texts).tolist() == [r["h"] for r in sorted(rows)]
 
 
 def test_empty(spark):
@@ -46,8 +65,8 @@ def test_empty(spark):
 
 def test_bloom_holds_all_keys_and_few_others(spark):
     keys = spark.range(5000).selectExpr("xxhash64(id) AS h")
-    bloom = url_filter.build_bloom(keys, 5000)
+    filled = bloom.build(keys, 5000)
     mine = np.array([r["h"] for r in keys.collect()])
-    assert url_filter.may_hold(bloom, mine).all()
+    assert bloom.may_hold(filled, mine).all()
     others = np.array([r["h"] for r in spark.range(10**6, 10**6 + 20000).selectExpr("xxhash64(id) AS h").collect()])
-    assert url_filter.may_hold(bloom, others).mean() < 0.02
+    assert bloom.may_hold(filled, others).mean() < 0.02
