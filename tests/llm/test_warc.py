@@ -77,3 +77,54 @@ def test_ranges_and_false_magics(spark):
     finally:
         for k, v in keep:
             spark.conf.set(k, v)
+
+
+def test_archives_whatever_they_are_called(spark):
+    """Names of compressed files change nothing, and such files are split."""
+    path = common.new_path(spark, "named").removeprefix("file:")
+    os.makedirs(path)
+    names, rows = ["a.warc.gz", "b.gz", "c.warc", "d", "e!.gz", "f.tar.gz"], []
+    for k, name in enumerate(names):
+        with open(f"{path}/{name}", "wb") as f:
+            for i in range(50):
+                payload = os.urandom(700)
+                rows.append((100 * k + i, hashlib.sha1(payload).hexdigest()))
+                f.write(warc.member(warc.record(100 * k + i, "u", payload, "00" * 20, None)))
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        found = warc.read(spark, path)
+        assert sorted((r["page_id"], r["payload_digest"]) for r in found.collect()) == sorted(rows)
+        assert warc._raw_lines(spark, f"{path}/a.warc.gz").rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+
+
+def foreign(kind, mime, block, record_id="<urn:uuid:12345678-0000-0000-0000-000000000042>"):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {record_id}\r\nWARC-Target-URI: dns:x\r\nContent-Type: {mime}\r\nContent-Length: {len(block)}"
+    return head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers(spark):
+    blocks = [
+        ("warcinfo", "application/warc-fields", b"a: b\r\n\r\nc: d", b"a: b\r\n\r\nc: d"),
+        ("response", "text/dns", b"five!", b"five!"),
+        ("response", "application/http; msgtype=response", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody\r\n\r\nmore", b"body\r\n\r\nmore"),
+        ("resource", "application/octet-stream", b"", b""),
+    ]
+    path = common.new_path(spark, "others").removeprefix("file:")
+    os.makedirs(path)
+    with open(f"{path}/x.warc.gz", "wb") as f:
+        f.write(b"".join(gzip.compress(foreign(*b[:3])) for b in blocks) + gzip.compress(b"no record"))
+    rows = warc.read(spark, path).collect()
+    assert sorted((r["record_type"], bytes(r["payload"])) for r in rows) == sorted((b[0], b[3]) for b in blocks)
+    assert {(r["page_id"], r["record_id"], r["url"]) for r in rows} == {(None, "<urn:uuid:12345678-0000-0000-0000-000000000042>", "dns:x")}
+
+
+def test_more_digests_than_are_broadcast(spark):
+    rows = [(i, f"u{i}", "same " * 300 + str(i % 7 if i % 2 else i)) for i in range(200)] + [(500 + i, "u", None) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (0, 3):
+        path = common.new_path(spark, "warc")
+        warc.write(pages, path, most=most)
+        assert got(warc.read(spark, path)) == brute([(a, c) for a, _, c in rows])
