@@ -32,7 +32,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = common.stage(topk.quantised(table(spark, sf_dir, "embeddings"), every=True), "quantised")
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     return topk.topk(vectors, vectors.filter("vec_id % 20 = 0"), 20)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -9,10 +11,20 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors in one data block, each with a cover tree of its own, and queries that meet it at a time.
+#: Vectors in one data block, which has a cover tree of its own, queries that meet it in a task, and queries in one tree.
 BLOCK = 16_384
+MEET = 16_384
 GROUP = 2_048
-LEAF = 256
+#: Sampled vectors around which data, and queries, are dealt into cells.
+PIVOTS = 1_024
+#: Points of a leaf, queries of a leaf, and points that queries are scored with at a time, at least.
+LEAF = 64
+QUERY_LEAF = 8
+WIDE = 512
+#: Queries of a node go on one by one, down to its leaves, only where their bounds leave no more than this share of the points;
+#: else all of up to TOGETHER queries are scored at once, which costs less a pair.
+WORTH = 0.25
+TOGETHER = 1_024
 BRANCH = 32
 #: Whole numbers below it are exact as floats.
 FLOAT_EXACT = float(1 << 52)
@@ -101,12 +113,13 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in row] for row in wide], np.int64).reshape(len(a), len(b))
 
 
-def dual_search(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k: int, worst: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dual_search(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k: int, worst: np.ndarray | None = None, counts: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's position, vec_id, score) of each query's k best rows of one block, its own id left out.
 
     Equal vectors share a tree point. A pair of nodes is left out where even the largest inner product that the
     two covering radii allow is below every kth score that the query node's queries have so far. ``worst``
-    may give kth scores known from elsewhere.
+    may give kth scores known from elsewhere: rows below them may be left out. ``counts`` gets the pairs of different vectors
+    that were scored, of all there are.
     """
     none = np.zeros(0, np.int64)
     if not len(q_ids) or not len(d_ids):
@@ -119,7 +132,7 @@ def dual_search(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarr
     by_group = np.argsort(group, kind="stable")  # ids of a point come in order
     qpoints, qgroup = np.unique(q, axis=0, return_inverse=True)
     qgroup = qgroup.reshape(-1)
-    data, queries = CoverTree(points), CoverTree(qpoints)
+    data, queries = CoverTree(points), CoverTree(qpoints, QUERY_LEAF)
     asked = np.split(np.argsort(qgroup, kind="stable"), np.cumsum(np.bincount(qgroup))[:-1])
     # of equal vectors 2k rows of the smallest ids can matter, k of each, as k of them may have the query's own id
     fresh = np.r_[True, (np.diff(group[by_group]) != 0) | (np.diff(d_ids[by_group]) != 0)][: len(by_group)]
@@ -135,28 +148,24 @@ def dual_search(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarr
     kth = np.full(len(q_ids), -np.inf) if worst is None else worst.astype(np.float64).copy()
     dc, dr, dn = points[data.centre], np.array(data.radius), np.sqrt(data.norm2[data.centre])
 
-    def base(qnode: int, dnodes: list[int]) -> None:
-        rows = queries_of(qnode)
-        cols = np.concatenate([data.members[n] for n in dnodes])
-        cols = cols[np.argsort(-(points[cols] @ qpoints[queries.centre[qnode]]), kind="stable")]
-        for at in range(0, len(cols), 1024):
-            some = cols[at : at + 1024]
-            s = _scores(q[rows], points[some])
-            take = s >= kth[rows][:, None]
-            mine, some = rows[take.any(axis=1)], some[take.any(axis=0)]
-            if not len(mine):
-                continue
-            s = s[take.any(axis=1)][:, take.any(axis=0)]
-            count = first[some + 1] - first[some]
-            which = np.repeat(np.arange(len(some)), count)
-            entry = entries[np.repeat(first[some], count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)]
-            order = np.argsort(entry)  # entries are numbered by id
-            entry, s = entry[order], s[:, which[order]]
-            _best(best_i, best_s, mine, d_ids[entry], s, q_ids[mine], k)
-            full = best_i[mine, -1] != np.iinfo(np.int64).max
-            kth[mine[full]] = np.maximum(kth[mine[full]], best_s[mine[full], -1].astype(np.float64))
-
-    # own rows may take a place above, so a pruned pair needs a bound strictly below the kth score
+    def base(rows: np.ndarray, some: np.ndarray) -> None:
+        if counts is not None:
+            counts["scored"] = counts.get("scored", 0) + len(rows) * len(some)
+        s = _scores(q[rows], points[some])
+        take = s >= kth[rows][:, None]
+        mine, some = rows[take.any(axis=1)], some[take.any(axis=0)]
+        if not len(mine):
+            return
+        s = s[take.any(axis=1)][:, take.any(axis=0)]
+        count = first[some + 1] - first[some]
+        which = np.repeat(np.arange(len(some)), count)
+        entry = entries[np.repeat(first[some], count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)]
+        order = np.argsort(entry)  # entries are numbered by id
+        entry, s = entry[order], s[:, which[order]]
+        _best(best_i, best_s, mine, d_ids[entry], s, q_ids[mine], k)
+        full = best_i[mine, -1] != np.iinfo(np.int64).max
+        kth[mine[full]] = np.maximum(kth[mine[full]], best_s[mine[full], -1].astype(np.float64))
+
     slack = 1e-9
     for_node: dict[int, np.ndarray] = {}
 
@@ -165,30 +174,66 @@ def dual_search(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarr
             for_node[node] = np.concatenate([asked[p] for p in queries.below(node)])
         return for_node[node]
 
-    waiting = [(queries.root, [data.root])]
-    while waiting:
-        qn, dns = waiting.pop()
+    def bounds(qn: int, nodes: np.ndarray) -> np.ndarray:
+        """The largest inner product that each data node may hold for a query below ``qn``, or a little more."""
         c, r = qpoints[queries.centre[qn]], queries.radius[qn]
-        cn = np.sqrt(queries.norm2[queries.centre[qn]])
-        nodes = np.array(dns)
-        bound = dc[nodes] @ c + r * dn[nodes] + dr[nodes] * cn + r * dr[nodes]
-        bound = bound + slack * (np.abs(bound) + 1)
-        nodes = nodes[bound >= kth[queries_of(qn)].min()]
+        bound = dc[nodes] @ c + r * dn[nodes] + dr[nodes] * np.sqrt(c @ c) + r * dr[nodes]
+        return bound + slack * (np.abs(bound) + 1)
+
+    def finish(qn: int, nodes: np.ndarray, once: bool = False) -> None:
+        """Searches for the queries of one node: data nodes by falling bound, until none can reach the worst kth score (or ``once``, a few of them)."""
+        rows = queries_of(qn)
+        heap = [(-b, int(n)) for n, b in zip(nodes, bounds(qn, nodes), strict=True)]
+        heapify(heap)
+        held: list[np.ndarray] = []
+        size = 0
+        while heap or held:
+            # own rows may take a place above, so what is left out has a bound strictly below the kth score
+            if heap and -heap[0][0] >= kth[rows].min():
+                node = heappop(heap)[1]
+                if data.children[node]:
+                    inner = np.array(data.children[node])
+                    for n, b in zip(inner, bounds(qn, inner), strict=True):
+                        heappush(heap, (-b, int(n)))
+                    continue
+                held.append(data.members[node])
+                size += len(held[-1])
+                if size < WIDE and heap:
+                    continue
+            elif not held:
+                return
+            base(rows, np.concatenate(held))
+            held, size = [], 0
+            if once:
+                return
+
+    if worst is None:  # a first kth score for each query, from the points that promise most
+        for qn in [n for n, c in enumerate(queries.children) if not c]:
+            finish(qn, np.array([data.root]), once=True)
+        best_s[:], best_i[:] = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    # the points that the bounds of a query node's leaves leave, summed up over its queries; children come behind their parents
+    leaves = np.array([n for n, c in enumerate(data.children) if not c])
+    sizes = np.array([data.size[n] for n in leaves])
+    left = np.zeros(len(queries.children))
+    for qn in range(len(left) - 1, -1, -1):
+        below = queries.children[qn]
+        left[qn] = left[below].sum() if below else queries.size[qn] * sizes[bounds(qn, leaves) >= kth[queries_of(qn)].min()].sum()
+    if counts is not None:
+        counts["pairs"] = counts.get("pairs", 0) + len(q_ids) * len(points)
+    waiting = [(queries.root, np.array([data.root]))]
+    while waiting:
+        qn, nodes = waiting.pop()
+        nodes = nodes[bounds(qn, nodes) >= kth[queries_of(qn)].min()]
         if not len(nodes):
             continue
-        inner = [n for n in nodes if data.children[n]]
-        if not inner and (not queries.children[qn] or queries.size[qn] <= LEAF):
-            base(qn, list(nodes))
+        if not queries.children[qn] or queries.size[qn] <= TOGETHER and left[qn] > WORTH * queries.size[qn] * len(points):
+            finish(qn, nodes)
             continue
-        # split the side with the larger radius; the better half of a split is searched first
-        if queries.children[qn] and (not inner or r >= dr[inner].max() or queries.size[qn] > 512):
-            for child in sorted(queries.children[qn], key=lambda x: queries.size[x]):
-                waiting.append((child, list(nodes)))
-        else:
-            finer = []
-            for n in nodes:
-                finer += data.children[n] or [n]
-            waiting.append((qn, finer))
+        # data nodes that are wider than the query node are opened, then the query node is
+        wide = {n for n in nodes.tolist() if data.children[n] and data.radius[n] > queries.radius[qn]}
+        nodes = np.array([n for n in nodes.tolist() if n not in wide] + [c for n in wide for c in data.children[n]])
+        for child in queries.children[qn]:
+            waiting.append((child, nodes))
     found = best_i != np.iinfo(np.int64).max
     where = np.nonzero(found)[0]
     return where, best_i[found], best_s[found]
@@ -212,55 +257,175 @@ def _best(best_i: np.ndarray, best_s: np.ndarray, rows: np.ndarray, ids: np.ndar
     best_i[rows], best_s[rows] = np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
 
 
-def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64, every: bool = False) -> DataFrame:
-    """(vec_id, v): each vector as floor(scale * component), of rows whose id and components are finite numbers.
+def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
+    """(vec_id, v): each vector as floor(scale * component), of every row whose id and components are finite numbers.
 
-    Rows that share an id count as one, with the smallest vector, or ``every`` row stays.
+    Rows that share an id all stay. Null ids, vectors and components, and those that aren't finite, take a row out.
     """
     v = F.col(vec_col)
     fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     doubles = F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
-    rows = df.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), doubles.alias("v"))
-    return rows if every else rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return df.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), doubles.alias("v"))
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, group: int = GROUP) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k largest inner products over all rows of other ids, ties to the smaller id.
+def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0))
+
+
+class Cells:
+    """Pivots of each length of vectors; a vector belongs to the cell of the nearest one. Without a pivot of its length, the origin is one."""
+
+    def __init__(self, sampled: list[list[float]]):
+        self.pivots: dict[int, np.ndarray] = {}
+        for v in sampled:
+            known = self.pivots.get(len(v), np.zeros((0, len(v))))
+            self.pivots[len(v)] = np.unique(np.vstack([known, np.array(v, np.float64)[None]]), axis=0)
+
+    def pivot(self, dim: int) -> np.ndarray:
+        return self.pivots.get(dim, np.zeros((1, dim)))
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, distance to its pivot), the distance a little too large rather than too small."""
+        p = self.pivot(x.shape[1])
+        far2 = (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1) - 2 * (x @ p.T)
+        cell = far2.argmin(axis=1)
+        return cell, np.sqrt(((x - p[cell]) ** 2).sum(axis=1)) * (1 + 1e-12)
+
+
+def _dealt(df: DataFrame, cells: dict[str, "Cells"]) -> DataFrame:
+    """Adds, for each entry of ``cells``, the row's cell and its distance to the pivot."""
+    extra = [f"{n}_cell int, {n}_far double" for n in cells]
+    schema = "vec_id long, v array<double>, dim int, row long, " + ", ".join(extra)
+
+    def run(batches):
+        for batch in batches:
+            dims = batch.column(2).to_numpy()
+            for dim in np.unique(dims):
+                some = batch.filter(pa.array(dims == dim))
+                x = _matrix(some.column(1), some.num_rows)
+                out = list(some.columns)
+                for c in cells.values():
+                    cell, far = c.nearest(x)
+                    out += [pa.array(cell, pa.int32()), pa.array(far)]
+                yield pa.RecordBatch.from_arrays(out, names=["vec_id", "v", "dim", "row", *[f"{n}_{w}" for n in cells for w in ("cell", "far")]])
+
+    return df.select("vec_id", "v", "dim", "row").mapInArrow(run, schema)
 
-    Rows of ``queries`` that share an id are ranked together.
 
-    Both tables are (vec_id, v). Data are dealt by a hash of the id into blocks, each indexed by a cover tree in
-    the task that holds it; every query visits every block, in groups with a cover tree each, and the k
-    best of each block meet in a last ranking. Only vectors of the query's length are compared. Scores beyond a
+def _counted(df: DataFrame, name: str, size: int) -> dict[tuple[int, int], tuple[float, int]]:
+    """(dim, cell) -> (radius, parts of about ``size`` rows). There are at most PIVOTS cells of each length."""
+    found = df.groupBy("dim", f"{name}_cell").agg(F.count("*").alias("n"), F.max(f"{name}_far").alias("r")).collect()
+    return {(r["dim"], r[f"{name}_cell"]): (r["r"], -(-r["n"] // size)) for r in found}
+
+
+def may_reach(q: np.ndarray, q_radius: float, d: np.ndarray, d_radius: float) -> float:
+    """The largest inner product of a vector within ``q_radius`` of ``q`` and one within ``d_radius`` of ``d``, or a little more."""
+    bound = q @ d + q_radius * np.sqrt(d @ d) + d_radius * np.sqrt(q @ q) + q_radius * d_radius
+    return float(bound + 1e-9 * (abs(bound) + 1))
+
+
+FOUND = "query_row long, query_id long, vec_id long, score long"
+
+
+def _searcher(k: int, group: int):
+    """The function that searches one block for the queries that meet it, in trees of about ``group`` queries."""
+
+    def search(left, right):
+        names = ("query_row", "query_id", "vec_id", "score")
+        out = [pa.table({n: pa.array([], pa.int64()) for n in names})]
+        if left.num_rows and right.num_rows:
+            d_ids, d = left.column("vec_id").to_numpy(), _matrix(left.column("v"), left.num_rows)
+            right = right.sort_by([("query_cell", "ascending")])
+            for at in range(0, right.num_rows, group):
+                some = right.slice(at, group)
+                ids, rows = some.column("vec_id").to_numpy(), some.column("row").to_numpy()
+                worst = some.column("worst").to_numpy()
+                where, found, scores = dual_search(ids, _matrix(some.column("v"), some.num_rows), d_ids, d, k, worst)
+                out.append(pa.table({n: pa.array(x, pa.int64()) for n, x in zip(names, (rows[where], ids[where], found, scores), strict=True)}))
+        return pa.concat_tables(out)
+
+    return search
+
+
+def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, meet: int = MEET, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k largest inner products over all rows of other ids, ties to the smaller id.
+
+    Both tables are (vec_id, v). Rows of ``queries`` that share an id are ranked together, and every row of ``vectors`` is a
+    candidate, also where rows share an id. Only vectors of the query's length are compared. Scores beyond a
     long are held at its ends. An empty table gives an empty result; with fewer candidates than k, all are returned.
+
+    - Data are dealt into cells around sampled vectors, and cells into blocks, each of which gets a cover tree in the task that
+      holds it. Queries are dealt into cells of their own.
+    - Each query first searches one block of the cell that is nearest to it. Its kth score there is a bound that it takes along.
+    - A cell of queries then meets the blocks of those cells that may reach the worst kth score of its queries, by the two covering
+      radii; all other blocks are left out. Inside a task the two trees prune further.
+
+    A task holds at most about ``block`` vectors and ``meet`` queries.
     """
-    common.ship(vectors.sparkSession)
-    rows = common.stage(vectors.select("vec_id", "v", F.size("v").alias("dim")), "vectors")
-    asked = common.stage(queries.select("vec_id", "v", F.size("v").alias("dim")), "queries")
-    count = rows.count()
-    blocks = max(1, -(-count // block))
-    groups = max(1, -(-asked.count() // group))
-    deal = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    left = rows.withColumn("b", deal)
-    right = asked.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table.column("vec_id").to_numpy()
-        flat = table.column("v").combine_chunks()
-        flat = flat.flatten().to_numpy(zero_copy_only=False)
-        return ids, flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
-
-    def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = []
-        if a.num_rows and b.num_rows:
-            d_ids, d = arrays(a)
-            every = b.column("g").to_numpy()
-            for g in np.unique(every):
-                q_ids, q = arrays(b.filter(pa.array(every == g)))
-                where, ids, scores = dual_search(q_ids, q, d_ids, d, k)
-                out.append(pa.table({"query_id": pa.array(q_ids[where], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.int64())}))
-        return pa.concat_tables(out) if out else pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
-
-    found = left.groupBy("b", "dim").cogroup(right.groupBy("b", "dim")).applyInArrow(search, "query_id long, vec_id long, score long")
+    spark = vectors.sparkSession
+    common.ship(spark)
+    shape = lambda df: df.select("vec_id", "v", F.size("v").alias("dim"), common.row_key().alias("row"))
+    rows, asked = common.stage(shape(vectors), "vectors"), common.stage(shape(queries), "queries")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    n, m = rows.count(), asked.count()
+    if not n or not m:
+        return empty
+
+    def sample(df: DataFrame, most: int) -> Cells:
+        return Cells([r["v"] for r in df.orderBy(F.xxhash64("row", F.lit("pivot")), "row").limit(most).select("v").collect()] if most > 1 else [])
+
+    data_cells, query_cells = sample(rows, min(pivots, -(-n // block))), sample(asked, min(pivots, -(-m // meet)))
+    rows = common.stage(_dealt(rows, {"data": data_cells}), "dealt")
+    asked = common.stage(_dealt(asked, {"data": data_cells, "query": query_cells}), "asked")
+    data, query = _counted(rows, "data", block), _counted(asked, "query", meet)
+    home = _counted(asked, "data", meet)
+
+    def numbers(cells: dict, name: str) -> DataFrame:
+        at, out = 0, []
+        for (dim, cell), (_, parts) in sorted(cells.items()):
+            out.append((dim, cell, at, parts))
+            at += parts
+        return F.broadcast(spark.createDataFrame(out, f"dim int, {name}_cell int, {name}_first long, {name}_parts int"))
+
+    def part(name: str, salt: str):
+        return F.pmod(F.xxhash64("row", F.lit(salt)), F.col(f"{name}_parts"))
+
+    blocks = numbers(data, "data")
+    left = rows.join(blocks, ["dim", "data_cell"]).withColumn("block", F.col("data_first") + part("data", "block")).select("vec_id", "v", "dim", "data_cell", "block")
+    right = asked.join(blocks, ["dim", "data_cell"], "left").withColumn("home", F.col("data_first") + part("data", "home"))
+    right = right.select("vec_id", "v", "dim", "row", "data_cell", "query_cell", "home")
+
+    # the first round: each query in one block of the cell nearest to it
+    mine = spark.createDataFrame([(*c, parts) for c, (_, parts) in home.items()], "dim int, data_cell int, home_parts int")
+    once = left.join(F.broadcast(mine), ["dim", "data_cell"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("home_parts") - 1)))
+    first = right.join(F.broadcast(mine), ["dim", "data_cell"]).withColumn("share", part("home", "share").cast("int"))
+    first = first.withColumn("worst", F.lit(float("-inf"))).withColumn("block", F.col("home"))
+    once = once.select("vec_id", "v", "block", "share")
+    first = first.select("vec_id", "v", "row", "query_cell", "worst", "block", "share")
+    near = once.groupBy("block", "share").cogroup(first.groupBy("block", "share")).applyInArrow(_searcher(k, group), FOUND)
+    near = common.stage(near, "near")
+    bounds = near.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("worst"))
+    right = common.stage(right.join(bounds, "row", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf")))), "bounded")
+
+    # the second round: all other blocks that may hold something better
+    least = right.groupBy("dim", "query_cell").agg(F.min("worst").alias("worst")).collect()  # one for each cell
+    pairs = []
+    for r in least:
+        at, (q_radius, parts) = query_cells.pivot(r["dim"])[r["query_cell"]], query[r["dim"], r["query_cell"]]
+        for (dim, cell), (d_radius, _) in data.items():
+            if dim == r["dim"] and may_reach(at, q_radius, data_cells.pivot(dim)[cell], d_radius) >= r["worst"]:
+                pairs.append((dim, r["query_cell"], cell, parts))
+    found = near
+    if pairs:
+        # at most PIVOTS x PIVOTS pairs of cells
+        met = F.broadcast(spark.createDataFrame(pairs, "dim int, query_cell int, data_cell int, query_parts int"))
+        many = left.join(met, ["dim", "data_cell"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
+        visits = right.drop("data_cell").join(met, ["dim", "query_cell"]).withColumn("share", part("query", "share").cast("int")).join(blocks, ["dim", "data_cell"])
+        visits = visits.withColumn("block", F.explode(F.sequence(F.col("data_first"), F.col("data_first") + F.col("data_parts") - 1))).filter("not block <=> home")
+        visits = visits.select("vec_id", "v", "row", "query_cell", "worst", "block", "share")
+        by = ("block", "query_cell", "share")
+        far = many.select("vec_id", "v", *by).groupBy(*by).cogroup(visits.groupBy(*by)).applyInArrow(_searcher(k, group), FOUND)
+        found = near.unionByName(far)
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

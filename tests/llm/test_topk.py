@@ -7,17 +7,13 @@ from pathloom.llm import topk
 
 
 def brute(rows, k=20, every=20):
-    best = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        q = [math.floor(64 * x) for x in v]
-        best[i] = min(best.get(i, q), q)
+    """Every row is a candidate; rows of a query's id are ranked together."""
+    fine = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in best.items():
-        if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in best.items() if j != i and len(v) == len(q))
-            out += [(i, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)]
+    for i in {i for i, _ in fine if i % every == 0}:
+        mine = [v for j, v in fine if j == i]
+        scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for q in mine for j, v in fine if j != i and len(v) == len(q))
+        out += [(i, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)]
     return sorted(out)
 
 
@@ -32,7 +28,8 @@ def test_clusters_copies_and_bad_rows(spark):
     rows = [(i, [c + rng.gauss(0, 0.1) for c in rng.choice(centres)]) for i in range(600)]
     rows += [(1000 + i, rows[0][1]) for i in range(300)]
     rows += [(2000, None), (2020, [None] * 8), (2040, [math.nan] * 8), (2060, [math.inf] + [0.0] * 7), (None, rows[1][1]), (2080, [1.0, 2.0]), (2100, [0.5, 1.0]), (40, rows[3][1]), (60, rows[60][1]), (2120, [])]
-    assert found(spark, rows, block=200, group=16) == brute(rows)
+    for sizes in ({"block": 200, "group": 16}, {"block": 60, "meet": 9, "group": 4, "pivots": 5}, {}):
+        assert found(spark, rows, **sizes) == brute(rows)
 
 
 def test_few_and_none(spark):
@@ -49,6 +46,32 @@ def test_large_numbers_stay_exact():
     assert ids.tolist() == [1, 2]
 
 
+def test_far_cells_are_left_out():
+    """In clusters far apart the search leaves most pairs out, and kth scores from elsewhere leave out more."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 300, (40, 16))
+    d = np.floor(centres[rng.integers(0, 40, 6000)] + rng.normal(0, 4, (6000, 16)))
+    ids = np.arange(6000)
+    counts, again = {}, {}
+    where, _, scores = topk.dual_search(ids[::20], d[::20], ids, d, 20, counts=counts)
+    assert counts["scored"] < 0.5 * counts["pairs"]
+    worst = np.array([scores[where == i].min() for i in range(300)], float)
+    topk.dual_search(ids[::20], d[::20], ids, d, 20, worst, again)
+    assert again["scored"] < counts["scored"]
+
+
+def test_bound_holds():
+    rng = np.random.default_rng(8)
+    cells = topk.Cells([x.tolist() for x in rng.normal(0, 50, (6, 5))])
+    x = np.floor(rng.normal(0, 60, (400, 5)))
+    cell, far = cells.nearest(x)
+    p = cells.pivot(5)
+    for a in range(len(p)):
+        for b in range(len(p)):
+            top = (x[cell == a] @ x[cell == b].T).max(initial=-np.inf)
+            assert top <= topk.may_reach(p[a], far[cell == a].max(initial=0), p[b], far[cell == b].max(initial=0))
+
+
 def test_tree_covers_its_points():
     points = np.unique(np.round(np.random.default_rng(5).normal(0, 30, (500, 6))), axis=0)
     tree = topk.CoverTree(points, leaf=8)
