@@ -10,12 +10,15 @@ def brute(rows, shards=16, seed=42):
     data = []
     for doc, text, source in rows:
         b = (text or "").encode()
-        data.append(("" if source is None else "=" + source, hashlib.md5(f"{seed}:{'' if doc is None else doc}".encode()).hexdigest(), (doc is not None, doc or 0), len(b) + 1, zlib.crc32(b), doc))
+        size, check = len(b) + 1, zlib.crc32(b)
+        mixed = hashlib.md5(f"{seed}:{'' if doc is None else doc}:{size}:{check}".encode()).hexdigest()
+        data.append(("" if source is None else "=" + source, mixed, (doc is not None, doc or 0), size, check, doc))
     data.sort(key=lambda r: r[:5])
     n, seen, keyed = Counter(r[0] for r in data), Counter(), []
     for r in data:
         seen[r[0]] += 1
-        keyed.append(((2 * seen[r[0]] - 1) / (2.0 * n[r[0]]), *r))
+        phase = int(hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest()[:8], 16) / 2**32
+        keyed.append(((seen[r[0]] - phase) / n[r[0]], *r))
     keyed.sort(key=lambda r: r[:6])
     out, slots = [], Counter()
     for place, r in enumerate(keyed):
@@ -47,3 +50,29 @@ def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in odd.collect()]
     assert got(sharding.interleave(odd)) == brute(rows)
     assert sharding.interleave(none).count() == 0
+
+
+def test_repeated_rows_and_many_sources(spark, monkeypatch):
+    """A third of the rows are one row, which fills its bucket, and each other row has a source of its own."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN null ELSE id END AS doc_id", "CASE WHEN id % 3 > 0 THEN concat('t', id) END AS text", "CASE WHEN id % 3 > 0 THEN cast(id AS string) END AS source")
+    rows = sharding.interleave(df).collect()
+    shards = Counter(r["shard"] for r in rows)
+    assert max(shards.values()) - min(shards.values()) <= 1
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n)) for s, n in shards.items())
+    assert Counter(r["doc_id"] for r in rows) == Counter(i if i % 3 else None for i in range(3000))
+    lost = Counter(r["shard"] for r in rows if r["source"] is None)
+    assert all(55 <= lost[s] <= 70 for s in shards)
+
+
+def test_bucket_counts():
+    assert [sharding.bucket_count(n) for n in (0, 1, 1000, 1001, 10**7, 10**9)] == [1, 1, 1, 2, 4096, 10_000]
+
+
+def test_query(spark, sf, docs):
+    from pathloom.llm import queries
+
+    rows = queries.op5_shard(spark, sf).collect()
+    assert {r["law"] for r in rows} == {"rows"} and {r["grown_shard"] for r in rows} == {None}
+    whole = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in rows]
+    assert sorted(whole, key=str) == brute([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()])
