@@ -60,6 +60,24 @@ def chunks(data: bytes):
         at += 12 + size
 
 
+def _by_diagonals(kind: int, part: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Undoes AVERAGE or PAETH for rows below ``above``. A pixel needs those left, above and between, so all pixels of a diagonal go at once."""
+    height, width = part.shape
+    done = np.zeros((height + 1, width + 1), np.int16)
+    done[0, 1:] = above
+    for diagonal in range(height + width - 1):
+        y = np.arange(max(0, diagonal - width + 1), min(height, diagonal + 1))
+        x = diagonal - y
+        left, up, corner = done[y + 1, x], done[y, x + 1], done[y, x]
+        if kind == AVERAGE:
+            guess = (left + up) // 2
+        else:
+            far_left, far_up, far_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+            guess = np.where((far_left <= far_up) & (far_left <= far_corner), left, np.where(far_up <= far_corner, up, corner))
+        done[y + 1, x + 1] = (part[y, x] + guess) & 255
+    return done[1:, 1:].astype(np.uint8)
+
+
 def unfilter(rows: np.ndarray) -> np.ndarray:
     """Undoes the filters of 8-bit grey rows, whose first column is the filter. Runs of rows of a filter go together."""
     kinds, raw = rows[:, 0], rows[:, 1:]
@@ -76,19 +94,7 @@ def unfilter(rows: np.ndarray) -> np.ndarray:
         elif kind == UP:
             out[a:b] = np.cumsum(part, axis=0, dtype=np.uint8) + above
         elif kind in (AVERAGE, PAETH):
-            for y in range(a, b):
-                left = corner = 0
-                line, up = out[y], above.tolist()
-                for x, v in enumerate(raw[y].tolist()):
-                    if kind == AVERAGE:
-                        guess = (left + up[x]) // 2
-                    else:
-                        p = left + up[x] - corner
-                        guess = min((abs(p - left), 0, left), (abs(p - up[x]), 1, up[x]), (abs(p - corner), 2, corner))[2]
-                        corner = up[x]
-                    left = (v + guess) & 255
-                    line[x] = left
-                above = line
+            out[a:b] = _by_diagonals(kind, part, above)
         else:
             raise ValueError(f"unknown filter {kind}")
         above = out[b - 1]

@@ -32,6 +32,40 @@ def test_every_filter(kinds):
     assert np.array_equal(media.decode_png(png_by_hand(image, kinds)), image)
 
 
+@pytest.mark.parametrize("shape", [(1, 1), (1, 64), (64, 1), (3, 5), (200, 64)])
+def test_diagonals_of_all_shapes(shape):
+    rng = np.random.default_rng(sum(shape))
+    for image in (rng.integers(0, 256, shape).astype(np.uint8), np.full(shape, 255, np.uint8), (rng.integers(0, 2, shape) * 255).astype(np.uint8)):
+        for kinds in ([3], [4], [4, 3]):
+            assert np.array_equal(media.decode_png(png_by_hand(image, kinds)), image)
+
+
+def feature_by_hand(image):
+    """Area means on a 32 x 32 grid, then cosine sums, all one by one."""
+    from math import cos, floor, pi, sqrt
+
+    h, w = image.shape
+
+    def weights(n, k):
+        a, b = k * n / 32, (k + 1) * n / 32
+        return [(y, min(b, y + 1) - max(a, y)) for y in range(floor(a), min(n, floor(b) + 1)) if min(b, y + 1) > max(a, y)]
+
+    small = [[sum(int(image[y, x]) * p * q for y, p in weights(h, i) for x, q in weights(w, j)) * 32 * 32 / (h * w) for j in range(32)] for i in range(32)]
+    wave = [[cos(pi * k * (2 * x + 1) / 64) * sqrt((1 if k == 0 else 2) / 32) for x in range(32)] for k in range(8)]
+    half = [[sum(wave[k][i] * small[i][j] for i in range(32)) for j in range(32)] for k in range(8)]
+    low = [round(sum(half[k][j] * wave[m][j] for j in range(32)), 6) for k in range(8) for m in range(8)]
+    middle = sorted(low[1:])[31]
+    return f"{sum(1 << (63 - i) for i, x in enumerate(low) if x > middle):016x}"
+
+
+def test_features_by_hand(docs):
+    for r in docs.limit(12).collect():
+        n, png = media.store(r["text"])
+        image = media.decode_png(png)
+        assert media.features(png)[-1] == feature_by_hand(image)
+        assert image.tobytes()[:n] == (r["text"] or "").encode()
+
+
 def test_own_images_and_broken_ones():
     for image in (np.zeros((1, 64), np.uint8), np.tile(np.arange(64, dtype=np.uint8), (9, 1)), np.arange(6400, dtype=np.int64).reshape(-1, 64).astype(np.uint8)):
         data = media.encode_png(image)
