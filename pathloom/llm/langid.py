@@ -95,11 +95,10 @@ def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
 
     def run(batches):
         total, df = 0, np.zeros(DIMENSIONS, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if (found := grams(text)) is not None:
-                    total += 1
-                    df[found[0]] += 1
+        for text in (t for batch in batches for part in common.slices(batch) for t in part.column(0).to_pylist()):
+            if (found := grams(text)) is not None:
+                total += 1
+                df[found[0]] += 1
         used = np.flatnonzero(df)
         yield common.frame({"slot": (np.r_[used, DIMENSIONS], pa.int64()), "n": (np.r_[df[used], total], pa.int64())})
 
@@ -159,7 +158,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     """Learns from ``docs``; a hash of the id picks about ``sample`` rows of each language. Null languages and texts without a letter aren't learned from.
 
     Document frequencies are those of all rows that can be learned from. Features are counted on the executors; the driver
-    gets at most DIMENSIONS numbers of a sampled row, and of all rows together.
+    gets at most DIMENSIONS numbers of a sampled row, and of all rows together. Repeated rows count as often as they
+    stand there, within the bound. Without a row to learn from the model knows no language. Other columns take no part.
     """
     common.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
@@ -168,22 +168,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
         return train([])
     shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
     some = rows.withColumn("by", common.share(F.col("id"), "langid")).filter(F.col("by") < F.element_at(shares, F.col("lang")))
-    # repeated ids can't make the sample larger than its bound
-    some = some.withColumn("tie", F.xxhash64("text")).orderBy("by", "id", "tie").limit(2 * sample * len(counts))
 
     def run(batches):
-        for batch in batches:
+        names = ("by", "tie", "lang", "slots", "counts")
+        kinds = (pa.float64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        for part in (x for batch in batches for x in common.slices(batch)):
             out = []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for by, tie, lang, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 if (found := grams(text)) is not None:
-                    out.append((lang, found[0].astype(np.int32), found[1].astype(np.int32)))
+                    out.append((by, tie, lang, found[0].astype(np.int32), found[1].astype(np.int32)))
             if out:
-                yield common.frame({"lang": ([x[0] for x in out], pa.string()), "slots": ([x[1] for x in out], pa.list_(pa.int32())), "counts": ([x[2] for x in out], pa.list_(pa.int32()))})
+                yield common.frame({n: (v, k) for n, v, k in zip(names, zip(*out, strict=True), kinds, strict=True)})
 
-    table = some.select("lang", "text").mapInArrow(run, "lang string, slots array<int>, counts array<int>").toArrow()
+    # features, not texts, are sorted; repeated ids can't make the sample larger than its bound
+    features = some.select("by", F.xxhash64("id", "text").alias("tie"), "lang", "text")
+    features = features.mapInArrow(run, "by double, tie long, lang string, slots array<int>, counts array<int>")
+    table = features.orderBy("by", "tie", "lang").limit(2 * sample * len(counts)).select("lang", "slots", "counts").toArrow()
     found = zip(table.column("lang").to_pylist(), table.column("slots").to_pylist(), table.column("counts").to_pylist(), strict=True)
-    idf = inverse_frequency(*document_frequencies(rows))
-    return train(sorted(((a, np.array(b), np.array(c)) for a, b, c in found), key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist())), idf)
+    learned = sorted(((a, np.array(b), np.array(c)) for a, b, c in found), key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist()))
+    return train(learned, inverse_frequency(*document_frequencies(rows)))
 
 
 def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
