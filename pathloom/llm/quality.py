@@ -16,9 +16,10 @@ FILTERS, WIDTH, STRIDE = 16, 8, 2
 GRAM, BACK = 4, 64
 #: Windows that are held at a time; longer texts go through in runs, and the pools of runs are joined.
 RUN = 1 << 16
-#: The network is fitted on a sample: about so many labelled rows of each class, of texts up to LONGEST bytes.
+#: The network is fitted on a sample: about so many labelled rows of each class, whole texts of any length, until they come to so
+#: many bytes.
 SAMPLE = 1200
-LONGEST = 32_768
+SAMPLE_BYTES = 48 << 20
 THRESHOLD = 0.3
 
 
@@ -78,8 +79,11 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(rows: list[tuple[int, str]], epochs: int = 8, rate: float = 0.02, batch: int = 16, decay: float = 1e-5, seed: int = 11) -> Network:
-    """Adam on the mean log loss, classes weighed alike. Without both classes the score is the share of class 1."""
+def train(rows: list[tuple[int, str]], epochs: int = 8, rate: float = 0.02, batch: int = 16, decay: float = 1e-5, seed: int = 11, odds: float | None = None) -> Network:
+    """Adam on the mean log loss, classes weighed alike; then the bias is shifted to ``odds`` of class 1 to class 0, by default those of ``rows``.
+
+    Without both classes the score is close to that of the only one, and 0.5 without rows.
+    """
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.1, (WIDTH, 512, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.5, FILTERS).astype(np.float32), 0.0)
     labels = np.array([r[0] for r in rows], np.int64)
@@ -117,27 +121,39 @@ def train(rows: list[tuple[int, str]], epochs: int = 8, rate: float = 0.02, batc
                 m, v = state[k][0] / (1 - 0.9**step), state[k][1] / (1 - 0.999**step)
                 setattr(net, k, getattr(net, k) - now * m / (np.sqrt(v) + 1e-8))
     net.taps = net.taps.astype(np.float32)
-    # scores as probabilities of the sample's true shares: classes were weighed alike
-    net.out_bias = float(net.out_bias + np.log(share[1] / share[0]) * 0.5)
+    net.out_bias = float(net.out_bias + np.log(share[1] / share[0] if odds is None else odds))  # classes were weighed alike
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """Learns from the labelled rows of ``docs``; a hash of the id picks about ``sample`` rows of each class.
 
-    Sampled texts are whole, and of at most ``longest`` bytes, so what the driver gets is bounded. An id with
-    several labels counts with the smallest; null labels and ids aren't learned from.
+    Rows are taken whole in the hash's order until they come to ``most`` bytes, the row that reaches it included, so what the driver
+    gets is bounded, and texts of any length are learned from. The odds that scores are calibrated to are those of
+    all labels given. An id with several labels counts with the smallest; null labels and ids, and labelled rows
+    with a null text, aren't learned from. Repeated rows count as often as they stand there, within the bounds.
     """
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
+    marked = marked.groupBy("id").agg(F.min("label").alias("label"))
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     if not counts:
         return train([])
+    limit = 2 * sample * len(counts)
     shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
     picked = marked.withColumn("by", common.share(F.col("id"), "quality")).filter(F.col("by") < F.element_at(shares, F.col("label")))
-    picked = F.broadcast(picked.orderBy("by", "id").limit(2 * sample * len(counts)))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= longest)
-    some = texts.join(picked, "id").withColumn("tie", F.xxhash64("text")).orderBy("by", "id", "tie").limit(2 * sample * len(counts)).select("label", "text").toArrow()
-    return train(list(zip(some.column("label").to_pylist(), some.column("text").to_pylist(), strict=True)))
+    picked = F.broadcast(picked.orderBy("by", "id").limit(limit))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("text is not null")
+    some = texts.join(picked, "id").withColumn("tie", F.xxhash64("text"))
+    order = F.struct("by", "id", "tie")
+    sizes = some.select(order.alias("key"), F.octet_length("text").alias("bytes")).orderBy("key").limit(limit).collect()
+    before = np.cumsum([0, *[r["bytes"] for r in sizes]])[:-1]
+    taken = int((before < most).sum())
+    if not taken:
+        return train([])
+    last = F.struct(*[F.lit(x).cast(t.dataType).alias(t.name) for x, t in zip(sizes[taken - 1]["key"], some.select("by", "id", "tie").schema, strict=True)])
+    table = some.filter(order <= last).orderBy("by", "id", "tie").limit(taken).select("label", "text").toArrow()
+    rows = list(zip(table.column("label").to_pylist(), table.column("text").to_pylist(), strict=True))
+    return train(rows, odds=counts[1] / counts[0] if len(counts) == 2 else None)
 
 
 FIELDS = [("score", T.DoubleType()), ("predicted", T.IntegerType())]

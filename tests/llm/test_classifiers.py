@@ -93,3 +93,106 @@ def test_document_frequencies_are_those_of_all_rows(spark):
     for slots, _ in texts:
         df[slots] += 1
     assert np.allclose(model.idf, np.log((1 + len(texts)) / (1 + df)) + 1)
+
+
+def test_grams_by_hand():
+    """Slots and counts of all 1- to 3-grams, hashed one by one in whole numbers."""
+    from collections import Counter
+
+    for text in ("Ab c", "é1x--Yß", "漢字 a", "a" * 50, "  x ", "ÄÖ. z"):
+        letters = "".join(c.lower()[0] if ord(c) < langid._TABLE and c.isalpha() else c if c.isalpha() else " " for c in text)
+        while "  " in letters:
+            letters = letters.replace("  ", " ")
+        a, cut = [ord(c) for c in f" {letters} "], 0xFFFFFFFF
+        two = lambda i: ((a[i] * 0x85EBCA6B + a[i + 1]) * 0xC2B2AE35 + 1) & cut
+        hashes = [a[i] * 0x9E3779B1 & cut for i in range(1, len(a) - 1)] + [two(i) for i in range(len(a) - 1)]
+        hashes += [((two(i) + a[i + 2]) * 0x27D4EB2F + 2) & cut for i in range(len(a) - 2)]
+        slots = Counter(((h ^ h >> 15) * 0x2C1B3C6D & cut) >> 17 for h in hashes)
+        found = langid.grams(text)
+        assert dict(zip(*[x.tolist() for x in found], strict=True)) == slots, text
+
+
+def test_regression_by_hand():
+    """Follow-the-regularised-leader with both penalties, a coordinate at a time."""
+    from math import exp, sqrt
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(lang, np.array(sorted(rng.choice(20, 4, replace=False) + 5 * k)), rng.integers(1, 4, 4)) for k, lang in enumerate("abc") for _ in range(12)]
+    alpha, beta, l1, l2, seed = 0.5, 1.0, 0.02, 0.05, 7
+    model = langid.train(rows, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2, seed=seed)
+    fit = np.random.default_rng(seed).permutation(len(rows))[len(rows) // 5 :]
+    z, n = {}, {}
+
+    def weight(key):
+        if abs(z.get(key, 0)) <= l1:
+            return 0.0
+        return ((l1 if z[key] > 0 else -l1) - z[key]) / ((beta + sqrt(n[key])) / alpha + l2)
+
+    for epoch in range(2):
+        for i in np.random.default_rng(seed + epoch).permutation(fit):
+            slots, x = model.vector(rows[i][1:])
+            w = {(s, k): weight((s, k)) for s in slots for k in range(3)}
+            sums = [sum(v * w[s, k] for s, v in zip(slots, x)) for k in range(3)]
+            p = [exp(t - max(sums)) for t in sums]
+            for k in range(3):
+                error = p[k] / sum(p) - ("abc"[k] == rows[i][0])
+                for s, v in zip(slots, x):
+                    g, old = error * v, n.get((s, k), 0.0)
+                    z[s, k] = z.get((s, k), 0.0) + g - (sqrt(old + g * g) - sqrt(old)) / alpha * w[s, k]
+                    n[s, k] = old + g * g
+    for s in [*range(32), langid.DIMENSIONS]:
+        for k in range(3):
+            assert abs(model.weights[s, k] - weight((s, k))) < 1e-9
+    assert (model.weights == 0).mean() > 0.9
+
+
+def test_network_by_hand():
+    """Each filter's largest sum over all windows, then the logistic layer."""
+    from math import exp, tanh
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    net = quality.Network(rng.normal(0, 1, (quality.WIDTH, 512, quality.FILTERS)).astype(np.float32), rng.normal(0, 1, quality.FILTERS).astype(np.float32), rng.normal(0, 1, quality.FILTERS), 0.3)
+    for text in ("", "abc", "some words, some words and é", "x" * 41):
+        data = quality.windows(text).tolist()
+        z = 0.3
+        for f in range(quality.FILTERS):
+            best = max(sum(float(net.taps[j, data[at + j], f]) for j in range(quality.WIDTH)) for at in range(0, len(data) - quality.WIDTH + 1, quality.STRIDE))
+            z += tanh(max(best + float(net.bias[f]), 0)) * float(net.out[f])
+        assert abs(net.score(text) - 1 / (1 + exp(-z))) < 1e-4
+
+
+def error_of(scores, truth, bins=10):
+    """The expected calibration error: how far scores and hits are apart, by bins of the score."""
+    groups = {}
+    for s, t in zip(scores, truth):
+        groups.setdefault(min(bins - 1, int(s * bins)), []).append((s, t))
+    return sum(abs(sum(s for s, _ in g) - sum(t for _, t in g)) for g in groups.values()) / len(scores)
+
+
+def test_scores_are_calibrated(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = [r for r in queries.op8_langid(spark, sf).join(docs, "doc_id").collect() if r["held_out"] and r["lang"] and r["lang_pred"] != "und"]
+    lang = error_of([r["score"] for r in rows], [r["lang"] == r["lang_pred"] for r in rows])
+    rows = queries.op9_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    good = error_of([r["score"] for r in rows], [r["quality"] for r in rows])
+    print("calibration errors:", lang, good)
+    assert lang < 0.03 and good < 0.03
+
+
+def test_long_texts_are_learned_from(spark, monkeypatch):
+    """A labelled text of any length is in the sample, whole; the sample ends where its bytes do."""
+    learned = []
+    monkeypatch.setattr(quality, "train", lambda rows, **more: learned.append((rows, more)))
+    long = "long text " * 20_000
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, None), (4, "other"), (4, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 1)], "doc_id long, quality int")
+    quality.fit(docs, labels)
+    assert sorted(learned[0][0]) == sorted([(0, long), (1, "short"), (1, "other"), (1, "other")])
+    assert learned[0][1] == {"odds": 3.0}
+    quality.fit(docs, labels, most=1)
+    assert len(learned[1][0]) == 1
