@@ -2,6 +2,8 @@ import random
 import zlib
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pathloom.llm import packing
 
@@ -79,6 +81,43 @@ def test_local_search_beats_best_fit():
     assert better
 
 
+ENCODER = packing.WordEncoder(packing.default_tokenizer())
+
+
+def same_ids(text):
+    ids = ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids, text
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=30))
+def test_any_text(text):
+    same_ids(text)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("aBİıßẞſKΩΣςéÉñ日ﬁǅⅧ２\u0301\u0307\u00a0\u1680\u2028\x0b\x0c\x1c\x85.,!'st 're<|>\n\t", max_size=30))
+def test_letters_that_change_when_lowered(text):
+    same_ids(text)
+
+
+def test_special_tokens_and_capitals():
+    for text in ("İ.", "İstanbul, Ǆ! ﬁn", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|>", "don't DON'T we'll", "K\u212a k", "\u00a0 x\u00a0y"):
+        same_ids(text)
+
+
+def test_texts_learned_together():
+    texts = ["one Two", "", "three, four. Five!", "x" * 300_000, "one two", "ß İ é", "many " * 90_000]
+    other = packing.WordEncoder(packing.default_tokenizer(), 3)
+    assert other.encode_all(texts) == [ENCODER.encode(t) for t in texts]
+
+
+def test_words_that_the_splitter_cuts_go_one_by_one():
+    """Were a word's pieces to end elsewhere than the word, all words are encoded alone; here the tokenizer is told two words in one."""
+    words = ["good", "two words", "more"]
+    assert ENCODER._together(words) == ENCODER._each(words)
+
+
 def test_forgetting():
     small, large = (packing.WordEncoder(packing.default_tokenizer(), n) for n in (4, 1000))
     for text in ("one two three", "three four, five! six", "one one seven", "a b c d e f g h a"):

@@ -25,11 +25,10 @@ def learn(sf, spark, docs):
 
 
 def keep_one_by_hand(table):
-    """table: rows as tuples, id and text first; one of each component stays, of its rows the smallest."""
-    ids = [(r[0], print_by_hand(r[1])) for r in table]
-    gone = {d for d, _, c in components_by_hand(ids) if d is not None and d != c}
-    left = [r for r in table if r[0] not in gone]
-    return sorted([r for r in left if r[0] is None or r == min((x for x in left if x[0] == r[0]), key=lambda x: str(x))], key=str)
+    """table: rows as tuples, id and text first; of each component the row with the smallest id stays."""
+    order = sorted(range(len(table)), key=lambda k: (table[k][0] is None, table[k][0] or 0, k))
+    found = components_by_hand([(place, print_by_hand(table[k][1])) for place, k in enumerate(order)])
+    return sorted([table[order[place]] for place, _, least in found if place == least], key=str)
 
 
 def test_stages_and_run(spark, sf, docs):
