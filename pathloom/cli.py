@@ -41,6 +41,7 @@ def _parser() -> argparse.ArgumentParser:
     source.add_argument("--id", default="admin", help="the cluster's user")
     source.add_argument("--max-inflight", type=int, default=32, help="reads under way at a time")
     source.add_argument("--max-ops", type=float, default=0, help="reads a second, 0 for no limit")
+    source.add_argument("--latency-ceiling", type=float, default=50, help="p99 in ms over which fewer reads are under way, 0 for none")
     source.add_argument("--page-size", type=int, default=PAGE)
     source.add_argument("--duration", type=float, help="seconds after which no further level is begun")
     source.add_argument("--prefix")
@@ -101,7 +102,17 @@ def _walk(spark: SparkSession, a, start: int, note=None) -> walk.Walk:
     if (a.omap is None) == (pool is None) or a.omap is not None and a.pool is not None:
         raise SystemExit(2)
     if pool is not None:
-        return walk.walk_store(spark, RadosStore(pool, a.conf, a.id), start, a.max_inflight, a.page_size, a.max_ops, seconds=a.duration, note=note)
+        return walk.walk_store(
+            spark,
+            RadosStore(pool, a.conf, a.id),
+            start,
+            a.max_inflight,
+            a.page_size,
+            a.max_ops,
+            seconds=a.duration,
+            note=note,
+            ceiling=a.latency_ceiling / 1000 or None,
+        )
     roots = [0]
     if start == ROOT and a.root_object:
         with open(a.root_object, "rb") as f:
@@ -134,7 +145,12 @@ def build(spark: SparkSession, a) -> int:
     took = time.monotonic() - clock
     say(progress_line(counters, took))
     index.guard(spark, a.index, a.min_free_pct)
-    meta = {"pool": a.pool or "", "started_at": f"{began:%Y-%m-%dT%H:%M:%SZ}", "scan_seconds": f"{took:.0f}", "journal_flushed": str(a.journal_flushed).lower()}
+    meta = {
+        "pool": a.pool or "",
+        "started_at": f"{began:%Y-%m-%dT%H:%M:%SZ}",
+        "scan_seconds": f"{took:.0f}",
+        "journal_flushed": str(a.journal_flushed).lower(),
+    }
     meta |= {k: str(counters[k]) for k in ("missed_dirs", "enoent", "decode_errors", "op_errors") if k in counters}
     version = index.publish(entries, a.index, a.fs, a.prefix, index.parse_names(a.names), meta, complete=done.complete)
     say(f"published {a.fs}{'' if done.complete else '_partial'} {version}")
@@ -155,7 +171,10 @@ def probe(spark: SparkSession, a) -> int:
             print(r["line"])
     counters = done.counters.first().asDict()
     if done.reads is not None:
-        for r in telemetry.percentiles(done.reads.select(F.timestamp_seconds(F.lit(0)).alias("ts"), F.col("seconds").alias("value"))).collect():  # one window
+        for r in telemetry.percentiles(done.reads.select(
+            F.timestamp_seconds(F.lit(0)).alias("ts"),
+            F.col("seconds").alias("value"),
+        )).collect():  # one window
             say(f"p50={r['p50'] * 1000:.2f}ms p99={r['p99'] * 1000:.2f}ms")
     say(" ".join(f"{k}={v}" for k, v in counters.items()))
     return int(_bad(counters))

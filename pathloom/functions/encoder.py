@@ -23,7 +23,11 @@ def block(version, compat, body):
 def inode(ino, mode, uid=0, gid=0, size=0, mtime=0, ctime=0, rctime=0, rfiles=0, rsubdirs=0, clients=0, old_layout=False, **_):
     layout = num("I", 4 << 20) + bytes(24) if old_layout else block(2, 2, num("IIIQ", 4 << 20, 1, 4 << 20, (1 << 64) - 1) + text(""))
     out = num("QIIIIIIi", ino, 0, ctime, 0, mode, uid, gid, 1) + b"\0" + bytes(8) + layout + num("Q", size) + num("IQQI", 1, 0, 0, 0)
-    out += num("II", mtime, 0) + num("III", 1, 0, 0) + num("I", clients) + b"".join(num("Q", 4000 + i) + block(2, 2, num("QQQ", 0, 1, 1)) for i in range(clients))
+    out += num("II", mtime, 0) + num("III", 1, 0, 0) + num("I", clients) + b"".join(num("Q", 4000 + i) + block(
+        2,
+        2,
+        num("QQQ", 0, 1, 1),
+    ) for i in range(clients))
     out += block(3, 2, num("QIIQQQ", 1, 0, 0, 3, 4, 0)) + block(3, 2, num("QqqqQQII", 2, 0, rfiles, rsubdirs, 0, 0, rctime, 0))
     return block(19, 6, out + b"fields that come later")
 

@@ -27,7 +27,22 @@ class Node:
 
 WORD = "[0-9A-Za-z_]"
 PERL = {"d": "0-9", "w": "0-9A-Za-z_", "s": r"\t\n\f\r\x20"}
-POSIX = {"alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t\x20", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z", "print": r"\x20-~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r\x20", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f"}
+POSIX = {
+    "alnum": "0-9A-Za-z",
+    "alpha": "A-Za-z",
+    "ascii": r"\x00-\x7F",
+    "blank": r"\t\x20",
+    "cntrl": r"\x00-\x1F\x7F",
+    "digit": "0-9",
+    "graph": "!-~",
+    "lower": "a-z",
+    "print": r"\x20-~",
+    "punct": r"!-/:-@\[-`{-~",
+    "space": r"\t\n\x0B\f\r\x20",
+    "upper": "A-Z",
+    "word": "0-9A-Za-z_",
+    "xdigit": "0-9A-Fa-f",
+}
 CONTROLS = {"a": 7, "f": 12, "t": 9, "n": 10, "r": 13, "v": 11}
 
 
@@ -360,7 +375,11 @@ def matches(name: Column, pattern: str) -> Column:
         filters.append(name.startswith(prefix))
     filters += [name.contains(x) for x in dict.fromkeys(required_literals(pattern)) if x != prefix]
     plain = parse(pattern)
-    exact = plain.kind == "cat" and [s.kind for s in plain.subs] == ["begin", "lit", "end"] and plain.subs[2].text == r"\z" and plain.subs[0].text == r"\A" and not plain.subs[1].fold
+    exact = plain.kind == "cat" and [s.kind for s in plain.subs] == [
+        "begin",
+        "lit",
+        "end",
+    ] and plain.subs[2].text == r"\z" and plain.subs[0].text == r"\A" and not plain.subs[1].fold
     filters.append(name == prefix if exact else name.rlike(to_java(pattern)))
     return reduce(lambda a, b: a & b, filters)
 

@@ -55,7 +55,11 @@ def search_volumes(query: Query, volumes: dict[str, tuple[DataFrame, DataFrame,
 
 def named_paths(names: list[str], entries: DataFrame, dirs: DataFrame, prefix: str) -> DataFrame:
     """Paths of all entries with one of the names, for names that are asked for again and again."""
-    return tree.with_paths(entries.filter(F.col("name").isin(names)), dirs, prefix).select("name", "type", "uid", "size", "mtime", "ctime", "path")
+    return tree.with_paths(
+        entries.filter(F.col("name").isin(names)),
+        dirs,
+        prefix,
+    ).select("name", "type", "uid", "size", "mtime", "ctime", "path")
 
 
 def tsv(results: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import threading
 import time
 import uuid
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +84,16 @@ class Lock:
         self.files.delete(self.path)
 
 
-def publish(entries: DataFrame, root: str, volume: str, prefix: str | None = None, names: list[str] | None = None, meta: dict[str, str] | None = None, partitions: int | None = None, complete: bool = True) -> str:
+def publish(
+    entries: DataFrame,
+    root: str,
+    volume: str,
+    prefix: str | None = None,
+    names: list[str] | None = None,
+    meta: dict[str, str] | None = None,
+    partitions: int | None = None,
+    complete: bool = True,
+) -> str:
     """Writes a version of a volume and points to it in one step; readers see the old or the new one, never half.
 
     Entries are dealt by ranges of name, parent and number, so that a name that very many have is spread, and sorted by them, so that
@@ -109,7 +119,13 @@ def publish(entries: DataFrame, root: str, volume: str, prefix: str | None = Non
             counts = tree.type_counts(stored).first().asDict()
             values = {k: str(v) for k, v in counts.items()}
             values |= {"dup_dirs": str(counts["dirs"] - dirs.count()), "names": str(spark.read.parquet(f"{base}/names").count())}
-            values |= {"fs": volume, "prefix": prefix, "layout": LAYOUT, "complete": str(complete).lower(), "named_paths": ",".join(names or [])}
+            values |= {
+                "fs": volume,
+                "prefix": prefix,
+                "layout": LAYOUT,
+                "complete": str(complete).lower(),
+                "named_paths": ",".join(names or []),
+            }
             if names:
                 found = ops.named_paths(names, stored, dirs, prefix)
                 found.sortWithinPartitions("name", "path").write.parquet(f"{base}/named_paths")
@@ -211,7 +227,9 @@ class Volume:
     def describe(self) -> str:
         """How old and how whole the index is."""
         m = self.meta
-        notes = [f"{m.get('entries', '?')} entries", f"walk took {m.get('scan_seconds', '?')} s"]
+        notes = [f"{m.get('entries', '?')} entries", f"{m.get('bytes_per_entry', '?')} bytes each", f"walk took {m.get('scan_seconds', '?')} s"]
+        if "started_at" in m:
+            notes.append(f"{(datetime.now(UTC) - datetime.fromisoformat(m['started_at'])).total_seconds():.0f} s old")
         notes += ["partial walk"] * (m.get("complete") != "true") + ["journal not flushed"] * (m.get("journal_flushed") != "true")
         notes += [f"{k} {m[k]}" for k in ("missed_dirs", "op_errors") if m.get(k, "0") not in ("", "0")]
         return f"{self.name}: {m.get('prefix', '')}, index of {m.get('started_at', '?')} ({', '.join(notes)})"

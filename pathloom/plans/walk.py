@@ -15,6 +15,7 @@ from ..functions import codec
 from ..operators import tree
 from ..schema import ROOT
 from ..sources import store as stores
+from ..streaming import telemetry
 
 
 @dataclass
@@ -32,7 +33,14 @@ CHILDREN = "dir long, oid string, nonempty boolean"
 MERGE = 16
 
 
-def walk(omap: DataFrame, roots: list[int], start: int = ROOT, max_levels: int | None = None, seconds: float | None = None, page: int = stores.PAGE) -> Walk:
+def walk(
+    omap: DataFrame,
+    roots: list[int],
+    start: int = ROOT,
+    max_levels: int | None = None,
+    seconds: float | None = None,
+    page: int = stores.PAGE,
+) -> Walk:
     """Follows directories from the fragments ``roots`` of ``start``.
 
     ``omap`` is (oid, key, value); an object without rows but there is a row with a null key. Values are decoded
@@ -75,20 +83,37 @@ def root_fragments(store: stores.Store, start: int = ROOT) -> list[int]:
     return codec.leaves(codec.decode_root(store.read_all("1.00000000.inode"))["fragtree"]) if start == ROOT else [0]
 
 
-def walk_store(spark: SparkSession, store: stores.Store, start: int = ROOT, tasks: int = 32, page: int = stores.PAGE, max_ops: float = 0, max_levels: int | None = None, seconds: float | None = None, note: Callable[[int, int], None] | None = None) -> Walk:
+def walk_store(
+    spark: SparkSession,
+    store: stores.Store,
+    start: int = ROOT,
+    tasks: int = 32,
+    page: int = stores.PAGE,
+    max_ops: float = 0,
+    max_levels: int | None = None,
+    seconds: float | None = None,
+    note: Callable[[int, int], None] | None = None,
+    ceiling: float | None = None,
+) -> Walk:
     """The same walk over a store that is read as it goes, level by level; only what can be reached is read.
 
-    ``reads`` has a row for each page. ``note`` is called after each level with its number and the entries so far.
+    ``reads`` has a row for each page, with the limit of reads under way. That limit is ``tasks`` at first; with a ``ceiling``, in
+    seconds, it is halved after a level whose p99 was over it, and else raised again. ``note`` is called after
+    each level with its number and the entries so far.
     """
     levels: list[DataFrame] = []
-    total = 0
+    total, limit = 0, tasks
 
     def leads_to(visit: DataFrame) -> DataFrame:
-        nonlocal total
-        read = storage.stage(stores.read_objects(visit, store, tasks, page, max_ops), "read")
+        nonlocal total, limit
+        read = storage.stage(stores.read_objects(visit, store, limit, page, max_ops), "read").withColumn("limit", F.lit(limit))
+        if ceiling is not None:
+            took = read.filter("pages > 0").select(F.timestamp_seconds(F.lit(0)).alias("ts"), F.col("seconds").alias("value"))
+            one = telemetry.percentiles(took).first()  # one window
+            limit = telemetry.next_limit(limit, one["p99"] if one else None, ceiling, tasks)
         level = storage.stage(codec.decoded(read.filter("key is not null")), "level")
         levels.append(level.join(visit.select("oid", "dir", "level"), "oid"))
-        reads.append(read.filter("key is null").select("oid", "nonempty", "pages", "missing", "problem", "seconds"))
+        reads.append(read.filter("key is null").select("oid", "nonempty", "pages", "missing", "problem", "seconds", "limit"))
         if note is not None:
             total += level.count()
             note(len(levels) - 1, total)
@@ -109,7 +134,14 @@ def walk_store(spark: SparkSession, store: stores.Store, start: int = ROOT, task
     return _walk(reduce(DataFrame.unionByName, levels), counted, complete, start, pages)
 
 
-def _follow(spark: SparkSession, leads_to: Callable[[DataFrame], DataFrame], roots: list[int], start: int, max_levels: int | None, seconds: float | None) -> tuple[DataFrame, bool]:
+def _follow(
+    spark: SparkSession,
+    leads_to: Callable[[DataFrame], DataFrame],
+    roots: list[int],
+    start: int,
+    max_levels: int | None,
+    seconds: float | None,
+) -> tuple[DataFrame, bool]:
     """(oid, dir, nonempty, level) of every object that is visited, once each, and whether no other is left.
 
     ``leads_to`` gives the objects that those of a level lead to. There is no bound on levels: each must bring an
@@ -138,10 +170,41 @@ def _follow(spark: SparkSession, leads_to: Callable[[DataFrame], DataFrame], roo
 
 def _walk(seen: DataFrame, reads: DataFrame, complete: bool, start: int, pages: DataFrame | None = None) -> Walk:
     """Entries and counters from the decoded rows of the visited objects, with dir and level."""
-    wanted = ["oid", "key", "level", "dir", "name", "head", "error", "type", "ino", "uid", "gid", "size", "mtime", "ctime", "rctime", "rfiles", "rsubdirs", "frags"]
+    wanted = [
+        "oid",
+        "key",
+        "level",
+        "dir",
+        "name",
+        "head",
+        "error",
+        "type",
+        "ino",
+        "uid",
+        "gid",
+        "size",
+        "mtime",
+        "ctime",
+        "rctime",
+        "rfiles",
+        "rsubdirs",
+        "frags",
+    ]
     seen = tree.numbered(seen.select(*wanted), ["level", "oid", "key"], "seq")
     live = F.col("error").isNull() & F.col("head")
-    entries = seen.filter(live).select("seq", F.col("dir").alias("parent"), "name", "ino", "type", "uid", "gid", "size", "mtime", "ctime", "rctime")
+    entries = seen.filter(live).select(
+        "seq",
+        F.col("dir").alias("parent"),
+        "name",
+        "ino",
+        "type",
+        "uid",
+        "gid",
+        "size",
+        "mtime",
+        "ctime",
+        "rctime",
+    )
     inside = F.when(F.col("type") == "d", F.col("rfiles") + F.col("rsubdirs")).otherwise(1)
     expected = F.sum(F.when(live & (F.col("dir") == start), inside))
     counted = seen.agg(

@@ -105,14 +105,32 @@ _search("search_uid", ops.Query(r"\.o$", uid=7), _re(r"\.o$") + " AND uid = 7 AN
 _search("search_uid_no_hardlink", ops.Query(r"^red", uid=0), _re("^red") + " AND uid = 0 AND type <> 'h'")
 
 
-@_add("type_counts", f"WITH {vfs.SQL} SELECT count(*) AS entries, count(*) FILTER (type = 'f') AS files, count(*) FILTER (type = 'd') AS dirs, count(*) FILTER (type = 'l') AS symlinks, count(*) FILTER (type = 'h') AS hardlinks, count(*) FILTER (type NOT IN ('f','d','l','h')) AS special FROM entries")
+@_add(
+    "type_counts",
+    f"""
+        WITH {vfs.SQL} SELECT count(*) AS entries, count(*) FILTER (type = 'f') AS files, count(*) FILTER (type = 'd') AS dirs,
+            count(*) FILTER (type = 'l') AS symlinks, count(*) FILTER (type = 'h') AS hardlinks, count(*) FILTER (type NOT IN ('f','d','l','h')) AS special
+        FROM entries
+    """,
+)
 def type_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tree.type_counts(vfs.entries(spark, sf))
 
 
-@_add("meta_counts", f"WITH {vfs.SQL} SELECT count(*) AS entries, count(DISTINCT name) AS names, count(DISTINCT name) / CAST(count(*) AS DOUBLE) AS name_ratio, coalesce(max(ino), 0) AS max_ino FROM entries")
+@_add(
+    "meta_counts",
+    f"""
+        WITH {vfs.SQL} SELECT count(*) AS entries, count(DISTINCT name) AS names, count(DISTINCT name) / CAST(count(*) AS DOUBLE) AS name_ratio,
+            coalesce(max(ino), 0) AS max_ino
+        FROM entries
+    """,
+)
 def meta_counts(spark: SparkSession, sf: str) -> DataFrame:
-    n = vfs.entries(spark, sf).agg(F.count("*").alias("entries"), F.countDistinct("name").alias("names"), F.coalesce(F.max("ino"), F.lit(0)).alias("max_ino"))
+    n = vfs.entries(spark, sf).agg(
+        F.count("*").alias("entries"),
+        F.countDistinct("name").alias("names"),
+        F.coalesce(F.max("ino"), F.lit(0)).alias("max_ino"),
+    )
     return n.withColumn("name_ratio", F.col("names") / F.col("entries"))
 
 
@@ -148,7 +166,14 @@ def names_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(spark, sf).names.select("name", "n")
 
 
-@_add("name_ids", f"WITH {vfs.SQL} SELECT name, row_number() OVER (ORDER BY CAST(name AS BLOB)) - 1 AS id FROM (SELECT DISTINCT name FROM entries)")
+@_add(
+    "name_ids",
+    f"""
+        WITH {vfs.SQL} SELECT name, row_number() OVER (ORDER BY CAST(name AS BLOB)) - 1 AS id
+        FROM (SELECT DISTINCT name
+        FROM entries)
+    """,
+)
 def name_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The numbers of the distinct names of a published volume, in order of their bytes."""
     return _whole(spark, sf).names.select("name", "id")
@@ -177,43 +202,82 @@ def named_path_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(spark, sf).search(ops.Query(r"^red_widget-1\.o$"))
 
 
-@_add("multi_volume_search", _sql(_re("^order-1"), f"SELECT replace(volume, ' ', '_') AS volume, {_RESULT} FROM hits JOIN full_path USING (id)"))
+@_add(
+    "multi_volume_search",
+    _sql(_re("^order-1"), f"SELECT replace(volume, ' ', '_') AS volume, {_RESULT} FROM hits JOIN full_path USING (id)"),
+)
 def multi_volume_search(spark: SparkSession, sf: str) -> DataFrame:
     """All published volumes of a folder, staging and partial ones left out."""
     return index.search_all(spark, _regions(spark, sf), ops.Query("^order-1")).select("volume", *ops.RESULT)
 
 
-@_add("tsv_output", _sql(_re("^blue_"), "SELECT CASE WHEN type = 'h' THEN '-' ELSE CAST(uid AS VARCHAR) END || chr(9) || size || chr(9) || mtime || chr(9) || path AS line FROM hits JOIN full_path USING (id)"))
+@_add(
+    "tsv_output",
+    _sql(
+        _re("^blue_"),
+        "SELECT CASE WHEN type = 'h' THEN '-' ELSE CAST(uid AS VARCHAR) END || chr(9) || size || chr(9) || mtime || chr(9) || path AS line FROM hits JOIN full_path USING (id)",
+    ),
+)
 def tsv_output(spark: SparkSession, sf: str) -> DataFrame:
     return ops.tsv(_whole(spark, sf).search(ops.Query("^blue_")))
 
 
-@_add("frag_object_names", "SELECT o_orderkey, printf('%x.%08x', 1000000000 + o_orderkey, o_orderkey * 16777216 % 4294967296) AS oid FROM orders")
+@_add(
+    "frag_object_names",
+    """
+        SELECT o_orderkey, printf('%x.%08x', 1000000000 + o_orderkey, o_orderkey * 16777216 % 4294967296) AS oid
+        FROM orders
+    """,
+)
 def frag_object_names(spark: SparkSession, sf: str) -> DataFrame:
     frag = F.col("o_orderkey") * (1 << 24) % (1 << 32)
-    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", codec.object_name(F.col("o_orderkey") + 10**9, frag).alias("oid"))
+    return spark.read.parquet(f"{sf}/orders.parquet").select(
+        "o_orderkey",
+        codec.object_name(F.col("o_orderkey") + 10**9, frag).alias("oid"),
+    )
 
 
 @_add("key_parse", r"""
-    WITH k AS (SELECT p_partkey, replace(p_name, ' ', '_') || CASE p_partkey % 4 WHEN 0 THEN '_head' WHEN 1 THEN '_' || printf('%x', p_partkey) WHEN 2 THEN '_zz' ELSE '' END AS key FROM part),
+    WITH k AS (SELECT p_partkey, replace(p_name, ' ', '_') || CASE p_partkey % 4 WHEN 0 THEN '_head' WHEN 1 THEN '_' || printf('%x',
+        p_partkey) WHEN 2 THEN '_zz' ELSE '' END AS key FROM part),
     s AS (SELECT *, regexp_extract(key, '^(.*)_([^_]*)$', 1, 's') AS n, regexp_extract(key, '^(.*)_([^_]*)$', 2, 's') AS x FROM k)
-    SELECT p_partkey, key, CASE WHEN ok THEN n END AS name, CASE WHEN ok THEN CASE x WHEN 'head' THEN 'fffffffffffffffe' ELSE lower(x) END END AS snap, ok AS good
+    SELECT p_partkey, key, CASE WHEN ok THEN n END AS name, CASE WHEN ok THEN CASE x WHEN 'head' THEN 'fffffffffffffffe' ELSE lower(x) END END AS snap,
+        ok AS good
     FROM (SELECT *, contains(key, '_') AND (x = 'head' OR regexp_full_match(x, '[0-9a-fA-F]+')) AS ok FROM s)""")
 def key_parse(spark: SparkSession, sf: str) -> DataFrame:
     k, part = F.col("p_partkey"), spark.read.parquet(f"{sf}/part.parquet")
-    tail = F.when(k % 4 == 0, "_head").when(k % 4 == 1, F.concat(F.lit("_"), F.format_string("%x", k))).when(k % 4 == 2, "_zz").otherwise("")
+    tail = F.when(k % 4 == 0, "_head").when(
+        k % 4 == 1,
+        F.concat(F.lit("_"), F.format_string("%x", k)),
+    ).when(k % 4 == 2, "_zz").otherwise("")
     keys = part.select("p_partkey", F.concat(F.translate("p_name", " ", "_"), tail).alias("key"))
     name, snap, good = codec.key_columns(F.col("key"))
     return keys.select("p_partkey", "key", name.alias("name"), snap.alias("snap"), good.alias("good"))
 
 
-@_add("mode_types", "WITH m AS (SELECT o_orderkey, CAST(o_orderkey * 4096 % 65536 + 420 AS BIGINT) AS mode FROM orders) SELECT o_orderkey, mode, CASE mode & 61440 WHEN 16384 THEN 'd' WHEN 32768 THEN 'f' WHEN 40960 THEN 'l' ELSE 'o' END AS type FROM m")
+@_add(
+    "mode_types",
+    """
+        WITH m AS (SELECT o_orderkey, CAST(o_orderkey * 4096 % 65536 + 420 AS BIGINT) AS mode
+        FROM orders) SELECT o_orderkey, mode, CASE mode & 61440 WHEN 16384 THEN 'd' WHEN 32768 THEN 'f' WHEN 40960 THEN 'l' ELSE 'o' END AS type
+        FROM m
+    """,
+)
 def mode_types(spark: SparkSession, sf: str) -> DataFrame:
     modes = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") * 4096 % 65536 + 420).alias("mode"))
     return modes.withColumn("type", codec.mode_type(F.col("mode")))
 
 
-@_add("latency_percentiles", "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, count(*) AS n, list_sort(list(value))[count(*) // 2 + 1] AS p50, list_sort(list(value))[count(*) * 99 // 100 + 1] AS p99 FROM events WHERE value IS NOT NULL GROUP BY 1")
+@_add(
+    "latency_percentiles",
+    """
+        SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, count(*) AS n, list_sort(list(value))[count(*) // 2 + 1] AS p50,
+            list_sort(list(value))[count(*) * 99 // 100 + 1] AS p99
+        FROM events
+        WHERE value IS NOT NULL
+        GROUP BY 1
+    """,
+)
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.percentiles(spark.read.parquet(f"{sf}/events.parquet"), seconds=3600)
 
@@ -228,14 +292,29 @@ def aimd_limit(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.controller(latency_percentiles(spark, sf), 400.0, 64).select("window_start", "p99", "limit")
 
 
-@_add("progress_pct", "SELECT event_type, count(*) / 60.0::DOUBLE AS rate, least(100.0, 100.0 * count(*) / 2000)::DOUBLE AS pct, CASE WHEN 2000 > count(*) THEN (2000 - count(*)) / (count(*) / 60.0::DOUBLE) END AS seconds_left FROM events GROUP BY event_type")
+@_add(
+    "progress_pct",
+    """
+        SELECT event_type, count(*) / 60.0::DOUBLE AS rate, least(100.0, 100.0 * count(*) / 2000)::DOUBLE AS pct,
+            CASE WHEN 2000 > count(*) THEN (2000 - count(*)) / (count(*) / 60.0::DOUBLE) END AS seconds_left
+        FROM events
+        GROUP BY event_type
+    """,
+)
 def progress_pct(spark: SparkSession, sf: str) -> DataFrame:
     n = spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
     rate, pct, left = telemetry.progress(F.col("n"), F.lit(2000), F.lit(60.0))
     return n.select("event_type", rate.alias("rate"), pct.alias("pct"), left.alias("seconds_left"))
 
 
-@_add("parse_names", "SELECT DISTINCT trim(u) AS name FROM (SELECT unnest(string_split('plugins, ,cache,  index.php ,plugins', ',')) AS u) WHERE trim(u) <> ''")
+@_add(
+    "parse_names",
+    """
+        SELECT DISTINCT trim(u) AS name
+        FROM (SELECT unnest(string_split('plugins, ,cache,  index.php ,plugins', ',')) AS u)
+        WHERE trim(u) <> ''
+    """,
+)
 def parse_names(spark: SparkSession, sf: str) -> DataFrame:
     split = F.filter(F.transform(F.split(F.lit("plugins, ,cache,  index.php ,plugins"), ","), lambda x: F.trim(x)), lambda x: x != "")
     return spark.range(1).select(F.explode(split).alias("name")).distinct()
@@ -249,17 +328,35 @@ def volume_discovery(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("decode_dentries", f"""
     WITH {vfs.SQL}, {dump.SQL}
-    SELECT parent, CASE WHEN type <> '?' THEN name END AS name, CASE WHEN type <> '?' THEN snap = 'head' END AS head, CASE WHEN type <> '?' THEN type END AS type,
+    SELECT parent, CASE WHEN type <> '?' THEN name END AS name, CASE WHEN type <> '?' THEN snap = 'head' END AS head,
+        CASE WHEN type <> '?' THEN type END AS type,
            CASE WHEN type <> '?' THEN ino END AS ino, CASE WHEN type <> '?' THEN uid END AS uid, CASE WHEN type <> '?' THEN size END AS size,
-           CASE WHEN type <> '?' THEN mtime END AS mtime, CASE type WHEN '?' THEN NULL WHEN 'h' THEN 0 ELSE ctime END AS ctime, CASE WHEN type <> '?' THEN rctime END AS rctime,
+           CASE WHEN type <> '?' THEN mtime END AS mtime, CASE type WHEN '?' THEN NULL WHEN 'h' THEN 0 ELSE ctime END AS ctime,
+               CASE WHEN type <> '?' THEN rctime END AS rctime,
            CASE WHEN type NOT IN ('?', 'h') THEN rfiles END AS rfiles, CASE WHEN type NOT IN ('?', 'h') THEN rsubdirs END AS rsubdirs,
-           CASE WHEN type = 'd' THEN CASE WHEN ino % {dump.SPLIT} = 0 THEN 2 ELSE 1 END END AS fragments, type = '?' AS failed FROM records""")
+           CASE WHEN type = 'd' THEN CASE WHEN ino % {dump.SPLIT} = 0 THEN 2 ELSE 1 END END AS fragments,
+               type = '?' AS failed FROM records""")
 def decode_dentries(spark: SparkSession, sf: str) -> DataFrame:
     """Every record of a dump decoded from its bytes, with those that can't be."""
     rows = codec.decoded(dump.omap(spark, sf))
     parent = F.conv(F.substring_index("oid", ".", 1), 16, -10).cast("long")
     fragments = F.when(F.col("frags").isNotNull(), F.size("frags"))
-    return rows.select(parent.alias("parent"), "name", "head", "type", "ino", "uid", "size", "mtime", "ctime", "rctime", "rfiles", "rsubdirs", fragments.alias("fragments"), F.col("error").isNotNull().alias("failed"))
+    return rows.select(
+        parent.alias("parent"),
+        "name",
+        "head",
+        "type",
+        "ino",
+        "uid",
+        "size",
+        "mtime",
+        "ctime",
+        "rctime",
+        "rfiles",
+        "rsubdirs",
+        fragments.alias("fragments"),
+        F.col("error").isNotNull().alias("failed"),
+    )
 
 
 _REACHED = f"""WITH RECURSIVE {vfs.SQL}, {dump.SQL},
@@ -279,13 +376,17 @@ def tree_walk(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("scan_counters", f"""{_REACHED},
     live AS (SELECT * FROM seen WHERE type <> '?' AND snap = 'head'),
-    asked AS (SELECT ino AS dir, rfiles + rsubdirs > 1 AS nonempty, unnest(CASE WHEN ino % {dump.SPLIT} = 0 THEN [0, 1] ELSE [0] END) AS half FROM live WHERE type = 'd' UNION ALL SELECT 1, true, 0),
-    held AS (SELECT parent AS dir, CASE WHEN parent <> 1 AND parent % {dump.SPLIT} = 0 THEN length(name) % 2 ELSE 0 END AS half, count(*) AS keys FROM records GROUP BY 1, 2),
+    asked AS (SELECT ino AS dir, rfiles + rsubdirs > 1 AS nonempty, unnest(CASE WHEN ino % {dump.SPLIT} = 0 THEN [0,
+        1] ELSE [0] END) AS half FROM live WHERE type = 'd' UNION ALL SELECT 1, true, 0),
+    held AS (SELECT parent AS dir, CASE WHEN parent <> 1 AND parent % {dump.SPLIT} = 0 THEN length(name) % 2 ELSE 0 END AS half,
+        count(*) AS keys FROM records GROUP BY 1, 2),
     found AS (SELECT a.*, h.keys FROM asked a LEFT JOIN held h USING (dir, half))
-    SELECT (SELECT count(*) FROM live) AS entries, (SELECT count(*) FROM live WHERE type = 'd') AS dirs, (SELECT count(*) FROM live WHERE type = 'd' AND ino % {dump.SPLIT} = 0) AS fragmented,
+    SELECT (SELECT count(*) FROM live) AS entries, (SELECT count(*) FROM live WHERE type = 'd') AS dirs,
+        (SELECT count(*) FROM live WHERE type = 'd' AND ino % {dump.SPLIT} = 0) AS fragmented,
            (SELECT count(*) FROM seen WHERE type = '?') AS decode_errors, (SELECT count(*) FROM seen WHERE type <> '?' AND snap <> 'head') AS snap_skipped,
            (SELECT CAST(sum(CASE WHEN type = 'd' THEN rfiles + rsubdirs ELSE 1 END) AS BIGINT) FROM live WHERE parent = 1) AS expected,
-           (SELECT count(keys) FROM found) AS objects, (SELECT CAST(coalesce(sum(greatest(1, ceil(keys / 1024.0))), 0) AS BIGINT) FROM found WHERE keys IS NOT NULL) AS pages,
+           (SELECT count(keys) FROM found) AS objects, (SELECT CAST(coalesce(sum(greatest(1, ceil(keys / 1024.0))),
+               0) AS BIGINT) FROM found WHERE keys IS NOT NULL) AS pages,
            (SELECT count(*) FROM found WHERE keys IS NULL AND NOT nonempty) AS enoent, (SELECT count(*) FROM found WHERE keys IS NULL AND nonempty) AS missed_dirs""")
 def scan_counters(spark: SparkSession, sf: str) -> DataFrame:
     """All counters of a walk over a dump."""
@@ -317,7 +418,16 @@ def crash_check(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(out, "volume string, refused boolean")
 
 
-@_add("exists_probe", f"WITH {vfs.SQL} SELECT EXISTS (SELECT 1 FROM entries WHERE name = 'ASIA') AS found, EXISTS (SELECT 1 FROM entries WHERE name = 'nobody') AS lost")
+@_add(
+    "exists_probe",
+    f"""
+        WITH {vfs.SQL} SELECT EXISTS (SELECT 1
+        FROM entries
+        WHERE name = 'ASIA') AS found, EXISTS (SELECT 1
+        FROM entries
+        WHERE name = 'nobody') AS lost
+    """,
+)
 def exists_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a name is there at all: a probe stops at the first row, and skips row groups by bounds and Bloom filter."""
     entries = _whole(spark, sf).entries
@@ -325,10 +435,26 @@ def exists_probe(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(has("ASIA"), has("nobody"))], "found boolean, lost boolean")
 
 
-@_add("stats_left_join", "SELECT c_custkey, coalesce(n, 0) AS n, coalesce(last, 0) AS last FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+@_add(
+    "stats_left_join",
+    """
+        SELECT c_custkey, coalesce(n, 0) AS n, coalesce(last, 0) AS last
+        FROM customer
+        LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last
+        FROM orders
+        GROUP BY o_custkey) ON o_custkey = c_custkey
+    """,
+)
 def stats_left_join(spark: SparkSession, sf: str) -> DataFrame:
-    busy = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
-    return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").join(busy, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("last", F.lit(0)).alias("last"))
+    busy = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("*").alias("n"),
+        F.max("o_orderkey").alias("last"),
+    )
+    return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").join(busy, "c_custkey", "left").select(
+        "c_custkey",
+        F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce("last", F.lit(0)).alias("last"),
+    )
 
 
 @_add("probe_lines", _sql(_re("^order-2") + " AND type = 'd'", "SELECT uid || chr(9) || path AS line FROM hits JOIN full_path USING (id)"))
@@ -339,26 +465,61 @@ def probe_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def _nations(spark: SparkSession, sf: str) -> DataFrame:
     """A cluster's report for each region, its nations the volumes."""
-    volume = F.struct(F.struct(F.lower("n_name").alias("fs_name"), F.col("n_nationkey").alias("metadata_pool"), F.array(F.lit(0), F.col("n_nationkey").cast("int")).alias("in")).alias("mdsmap"))
+    volume = F.struct(F.struct(
+        F.lower("n_name").alias("fs_name"),
+        F.col("n_nationkey").alias("metadata_pool"),
+        F.array(F.lit(0), F.col("n_nationkey").cast("int")).alias("in"),
+    ).alias("mdsmap"))
     return spark.read.parquet(f"{sf}/nation.parquet").groupBy("n_regionkey").agg(F.to_json(F.struct(F.collect_list(volume).alias("filesystems"))).alias("dump"))
 
 
-@_add("fs_dump", "SELECT lower(n_name) AS fs, CASE WHEN n_nationkey < 20 THEN n_name || '_meta' END AS metadata_pool, '0,' || n_nationkey AS ranks FROM nation")
+@_add(
+    "fs_dump",
+    """
+        SELECT lower(n_name) AS fs, CASE WHEN n_nationkey < 20 THEN n_name || '_meta' END AS metadata_pool, '0,' || n_nationkey AS ranks
+        FROM nation
+    """,
+)
 def fs_dump(spark: SparkSession, sf: str) -> DataFrame:
-    pools = spark.read.parquet(f"{sf}/nation.parquet").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("pool_id"), F.concat("n_name", F.lit("_meta")).alias("pool"))
+    pools = spark.read.parquet(f"{sf}/nation.parquet").filter("n_nationkey < 20").select(
+        F.col("n_nationkey").alias("pool_id"),
+        F.concat("n_name", F.lit("_meta")).alias("pool"),
+    )
     return admin.filesystems(_nations(spark, sf), pools).withColumn("ranks", F.concat_ws(",", F.col("ranks").cast("array<string>")))
 
 
-@_add("placement", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN 'dc' || s_nationkey END AS bucket, CASE WHEN s_suppkey % 2 = 0 THEN 'dc1' ELSE '' END AS client, (s_suppkey % 3 > 0 AND s_suppkey % 2 = 0 AND s_nationkey <> 1) AS crosses FROM supplier")
+@_add(
+    "placement",
+    """
+        SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN 'dc' || s_nationkey END AS bucket, CASE WHEN s_suppkey % 2 = 0 THEN 'dc1' ELSE '' END AS client,
+            (s_suppkey % 3 > 0 AND s_suppkey % 2 = 0 AND s_nationkey <> 1) AS crosses
+        FROM supplier
+    """,
+)
 def placement(spark: SparkSession, sf: str) -> DataFrame:
     step = lambda op, item: F.struct(F.lit(op).alias("op"), item.alias("item_name"))
     take = F.concat(F.lit("dc"), F.col("s_nationkey").cast("string"))
-    steps = F.when(F.col("s_suppkey") % 3 > 0, F.array(step("set_tries", F.lit("")), step("take", F.concat(take, F.lit("~ssd"))), step("take", F.lit("other")))).otherwise(F.array(step("emit", F.lit(""))))
-    rules = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.to_json(F.struct(steps.alias("steps"))).alias("rule"), F.when(F.col("s_suppkey") % 2 == 0, "host=h datacenter=dc1").otherwise("host=h").alias("location"))
+    steps = F.when(
+        F.col("s_suppkey") % 3 > 0,
+        F.array(step("set_tries", F.lit("")), step("take", F.concat(take, F.lit("~ssd"))), step("take", F.lit("other"))),
+    ).otherwise(F.array(step("emit", F.lit(""))))
+    rules = spark.read.parquet(f"{sf}/supplier.parquet").select(
+        "s_suppkey",
+        F.to_json(F.struct(steps.alias("steps"))).alias("rule"),
+        F.when(F.col("s_suppkey") % 2 == 0, "host=h datacenter=dc1").otherwise("host=h").alias("location"),
+    )
     bucket, place = admin.primary_bucket(F.col("rule")), F.col("location")
-    return rules.select("s_suppkey", bucket.alias("bucket"), admin.datacenter(place).alias("client"), admin.reads_cross(bucket, place).alias("crosses"))
+    return rules.select(
+        "s_suppkey",
+        bucket.alias("bucket"),
+        admin.datacenter(place).alias("client"),
+        admin.reads_cross(bucket, place).alias("crosses"),
+    )
 
 
 @_add("search_stats", f"WITH {vfs.SQL} SELECT count(*) AS candidates, count(DISTINCT parent) AS parents FROM entries WHERE {_re('^red_')}")
 def search_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.Query("^red_").hits(_whole(spark, sf).entries).agg(F.count("*").alias("candidates"), F.countDistinct("parent").alias("parents"))
+    return ops.Query("^red_").hits(_whole(spark, sf).entries).agg(
+        F.count("*").alias("candidates"),
+        F.countDistinct("parent").alias("parents"),
+    )

@@ -18,8 +18,14 @@ FILE, DIR, SYMLINK, HARDLINK, OTHER = "f", "d", "l", "h", "o"
 SELECTABLE = {"file": FILE, "dir": DIR, "symlink": SYMLINK, "hardlink": HARDLINK}
 
 ENTRIES = T.StructType([
-    T.StructField("seq", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("name", T.StringType()), T.StructField("ino", T.LongType()),
-    T.StructField("type", T.StringType()), T.StructField("uid", T.LongType()), T.StructField("gid", T.LongType()), T.StructField("size", T.LongType()),
+    T.StructField("seq", T.LongType()), T.StructField(
+        "parent",
+        T.LongType(),
+    ), T.StructField("name", T.StringType()), T.StructField("ino", T.LongType()),
+    T.StructField(
+        "type",
+        T.StringType(),
+    ), T.StructField("uid", T.LongType()), T.StructField("gid", T.LongType()), T.StructField("size", T.LongType()),
     T.StructField("mtime", T.LongType()), T.StructField("ctime", T.LongType()), T.StructField("rctime", T.LongType()),
 ])
 META = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])

@@ -15,8 +15,16 @@ class ReportError(RuntimeError):
 
 def filesystems(dumps: DataFrame, pools: DataFrame, text: str = "dump") -> DataFrame:
     """fs, metadata_pool (its name; null where ``pools`` (pool_id, pool) lacks it) and ranks of each volume, by name."""
-    each = dumps.select(F.explode(F.from_json(text, DUMP)["filesystems"]).alias("f")).select(F.col("f.mdsmap.fs_name").alias("fs"), F.col("f.mdsmap.metadata_pool").alias("pool_id"), F.col("f.mdsmap.in").alias("ranks"))
-    return each.join(pools.select("pool_id", F.col("pool").alias("metadata_pool")), "pool_id", "left").select("fs", "metadata_pool", "ranks").orderBy("fs")
+    each = dumps.select(F.explode(F.from_json(text, DUMP)["filesystems"]).alias("f")).select(
+        F.col("f.mdsmap.fs_name").alias("fs"),
+        F.col("f.mdsmap.metadata_pool").alias("pool_id"),
+        F.col("f.mdsmap.in").alias("ranks"),
+    )
+    return each.join(
+        pools.select("pool_id", F.col("pool").alias("metadata_pool")),
+        "pool_id",
+        "left",
+    ).select("fs", "metadata_pool", "ranks").orderBy("fs")
 
 
 def lookup(volumes: DataFrame, name: str) -> dict:

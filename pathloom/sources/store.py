@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PAGE = 1024
 
@@ -43,6 +45,15 @@ class MemoryStore:
         return self.data[oid]
 
 
+class JsonStore(MemoryStore):
+    """Objects in a JSON file that all tasks can read: object name to keys, and to hex values."""
+
+    def __init__(self, path: str):
+        with open(path) as f:
+            held = json.load(f)
+        super().__init__({oid: {k: bytes.fromhex(v) for k, v in page.items()} for oid, page in held.items()})
+
+
 class RadosStore:
     """A pool read through the cluster's own Python binding, where that is installed."""
 
@@ -102,8 +113,62 @@ class Pace:
             self.next = max(self.next, now) + self.gap
 
 
+class StoreSource(DataSource):
+    """``spark.read.format("omap")``: the rows (oid, key, value) of a store's objects, read page by page in the tasks.
+
+    Options: ``objects``, names with commas between them; ``pool``, ``conf`` and ``user`` of a cluster, or ``json``, the path of a
+    JsonStore; ``page`` and ``tasks``. An object that isn't there has no rows. A read that fails ends the query.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "omap"
+
+    def schema(self) -> str:
+        return "oid string, key string, value binary"
+
+    def reader(self, schema) -> "StoreReader":
+        return StoreReader(dict(self.options))
+
+
+class StoreReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+        self.objects = [x for x in options.get("objects", "").split(",") if x]
+
+    def partitions(self) -> list[InputPartition]:
+        tasks = max(1, min(len(self.objects), int(self.options.get("tasks", "32"))))
+        return [InputPartition(self.objects[k::tasks]) for k in range(tasks)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        o, page = self.options, int(self.options.get("page", PAGE))
+        store = JsonStore(o["json"]) if "json" in o else RadosStore(o["pool"], o.get("conf", ""), o.get("user", "admin"))
+        kinds = pa.schema([("oid", pa.string()), ("key", pa.string()), ("value", pa.binary())])
+        for oid in partition.value:
+            after, more = "", True
+            while more:
+                try:
+                    rows, more = store.omap_page(oid, after, page)
+                except NotFound:
+                    break
+                if not rows:
+                    break
+                after = rows[-1][0]
+                columns = [[oid] * len(rows), [k for k, _ in rows], [v for _, v in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+
 PAGES = "oid string, nonempty boolean, key string, value binary, pages long, missing boolean, problem string, seconds double"
-_SCHEMA = pa.schema([("oid", pa.string()), ("nonempty", pa.bool_()), ("key", pa.string()), ("value", pa.binary()), ("pages", pa.int64()), ("missing", pa.bool_()), ("problem", pa.string()), ("seconds", pa.float64())])
+_SCHEMA = pa.schema([
+    ("oid", pa.string()),
+    ("nonempty", pa.bool_()),
+    ("key", pa.string()),
+    ("value", pa.binary()),
+    ("pages", pa.int64()),
+    ("missing", pa.bool_()),
+    ("problem", pa.string()),
+    ("seconds", pa.float64()),
+])
 
 
 def read_objects(visit: DataFrame, store: Store, tasks: int, page: int = PAGE, max_ops: float = 0) -> DataFrame:

@@ -114,7 +114,10 @@ class Files:
 
     def replace(self, source: str, target: str) -> None:
         """Renames over ``target`` in one step."""
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(target).toUri() if "://" in target else self.jvm.java.net.URI("file:///"), self.conf)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            self.path(target).toUri() if "://" in target else self.jvm.java.net.URI("file:///"),
+            self.conf,
+        )
         options = self.jvm.org.apache.hadoop.fs.Options
         rename = spark_array(self.jvm, "org.apache.hadoop.fs.Options$Rename", [getattr(options, "Rename").OVERWRITE])
         context.rename(self.path(source), self.path(target), rename)
@@ -128,6 +131,10 @@ class Files:
         whole = status.getCapacity()
         return 100.0 * status.getRemaining() / whole if 0 < whole < (1 << 63) - 1 else 100.0
 
+    def size(self, name: str) -> int:
+        """Bytes of all files below a folder."""
+        return self.fs.getContentSummary(self.path(name)).getLength()
+
     def private_folder(self, name: str) -> str:
         """Creates a folder that only its owner may enter; returns the mode of one that is there already, in octal."""
         folder = self.path(name)

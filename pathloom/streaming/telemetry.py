@@ -14,12 +14,19 @@ def percentiles(samples: DataFrame, ts: str = "ts", value: str = "value", second
     Equal samples are counted before they are sorted, and no window's samples are held in memory.
     """
     start = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds) * seconds
-    counts = samples.filter(F.col(value).isNotNull()).groupBy(start.cast("long").alias("window_start"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    counts = samples.filter(F.col(value).isNotNull()).groupBy(
+        start.cast("long").alias("window_start"),
+        F.col(value).alias("v"),
+    ).agg(F.count("*").alias("c"))
     whole = Window.partitionBy("window_start")
     up_to = F.sum("c").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = counts.select("window_start", "v", F.sum("c").over(whole).alias("n"), up_to.alias("up_to"))
     at = lambda k: F.min(F.when(F.col("up_to") > k, F.col("v")))
-    found = placed.groupBy("window_start").agg(F.first("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.floor(F.col("n") * 99 / 100)).alias("p99"))
+    found = placed.groupBy("window_start").agg(
+        F.first("n").alias("n"),
+        at(F.floor(F.col("n") / 2)).alias("p50"),
+        at(F.floor(F.col("n") * 99 / 100)).alias("p99"),
+    )
     return found.select("window_start", "n", "p50", "p99")
 
 
@@ -30,7 +37,14 @@ def next_limit(limit: int, p99: float | None, ceiling: float, most: int) -> int:
     return min(most, limit + max(1, most // 16))
 
 
-def controller(windows: DataFrame, ceiling: float, most: int, order: str = "window_start", p99: str = "p99", key: str | None = None) -> DataFrame:
+def controller(
+    windows: DataFrame,
+    ceiling: float,
+    most: int,
+    order: str = "window_start",
+    p99: str = "p99",
+    key: str | None = None,
+) -> DataFrame:
     """The limit after each window of a scan, from ``most`` on, by ``next_limit``. ``key`` keeps several scans apart.
 
     A limit depends on the one before, so the windows of one scan, one for each two seconds, go through one task in order.
@@ -52,13 +66,19 @@ def controller(windows: DataFrame, ceiling: float, most: int, order: str = "wind
 def progress(done, expected, seconds):
     """(rate, percent, seconds left) as columns; null where they can't be told."""
     rate = F.when(seconds > 0, done / seconds)
-    return rate, F.when(expected > 0, F.least(F.lit(100.0), 100.0 * done / expected)), F.when((rate > 0) & (expected > done), (expected - done) / rate)
+    return rate, F.when(
+        expected > 0,
+        F.least(F.lit(100.0), 100.0 * done / expected),
+    ), F.when((rate > 0) & (expected > done), (expected - done) / rate)
 
 
 def merge_dirs(known: DataFrame, batch: DataFrame) -> DataFrame:
     """Directories after a further batch of sightings: the one with the largest seq wins."""
     both = known.select("ino", "parent", "name", "seq").unionByName(batch.select("ino", "parent", "name", "seq"))
-    return both.groupBy("ino").agg(F.max_by(F.struct("parent", "name"), "seq").alias("last"), F.max("seq").alias("seq")).select("ino", "last.parent", "last.name", "seq")
+    return both.groupBy("ino").agg(
+        F.max_by(F.struct("parent", "name"), "seq").alias("last"),
+        F.max("seq").alias("seq"),
+    ).select("ino", "last.parent", "last.name", "seq")
 
 
 def keep_dirs(stream: DataFrame, path: str, checkpoint: str):

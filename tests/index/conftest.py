@@ -32,7 +32,15 @@ class Record:
             return encoder.remote(self.ino)
         mode = {"d": 0o040700, "f": 0o100600, "l": 0o120777, "o": 0o020600}[self.kind]
         folder = self.kind == "d"
-        return encoder.primary(ino=self.ino, mode=mode, uid=self.uid, symlink="x" if self.kind == "l" else "", tree=self.tree, rfiles=self.inside, rsubdirs=int(folder))
+        return encoder.primary(
+            ino=self.ino,
+            mode=mode,
+            uid=self.uid,
+            symlink="x" if self.kind == "l" else "",
+            tree=self.tree,
+            rfiles=self.inside,
+            rsubdirs=int(folder),
+        )
 
 
 class Made:
@@ -58,7 +66,17 @@ class Made:
                 known.append(ino)
                 for k in range(rng.randrange(1, 12)):
                     free += 1
-                    self.put(rng, ino, Record(f"{rng.choice('abc')}{k}_{ino}", rng.choice("fffflho?"), free, rng.randrange(9), snap=rng.choice(["head"] * 8 + ["2b"])))
+                    self.put(
+                        rng,
+                        ino,
+                        Record(
+                            f"{rng.choice('abc')}{k}_{ino}",
+                            rng.choice("fffflho?"),
+                            free,
+                            rng.randrange(9),
+                            snap=rng.choice(["head"] * 8 + ["2b"]),
+                        ),
+                    )
         # seen a second time, from another place, and a way back up
         self.put(rng, known[-1], Record("again", "d", known[2], 1, 3, self.trees[known[2]]))
         self.put(rng, known[-1], Record("up", "d", known[1], 1, 3, self.trees[known[1]]))

@@ -14,7 +14,13 @@ from pathloom.plans import index  # noqa: E402
 @pytest.fixture(scope="module")
 def dump(spark, tmp_path_factory):
     base = tmp_path_factory.mktemp("dump")
-    rows = [("1.00000000", "home_head", enc.folder(0x100, uid=7, rfiles=2, rsubdirs=2)), ("1.00000000", "hl_head", enc.remote(0x9001)), ("100.00000000", "sub_head", enc.folder(0x101, rfiles=1, rsubdirs=1)), ("100.00000000", "a.php_head", enc.plain(0x9001, uid=42, size=3, mtime=5)), ("101.00000000", "a.php_head", enc.plain(0x9002, uid=43))]
+    rows = [
+        ("1.00000000", "home_head", enc.folder(0x100, uid=7, rfiles=2, rsubdirs=2)),
+        ("1.00000000", "hl_head", enc.remote(0x9001)),
+        ("100.00000000", "sub_head", enc.folder(0x101, rfiles=1, rsubdirs=1)),
+        ("100.00000000", "a.php_head", enc.plain(0x9001, uid=42, size=3, mtime=5)),
+        ("101.00000000", "a.php_head", enc.plain(0x9002, uid=43)),
+    ]
     spark.createDataFrame(rows, "oid string, key string, value binary").write.parquet(f"{base}/omap")
     (base / "root").write_bytes(enc.root({}))
     return base
@@ -60,7 +66,11 @@ def test_probe(spark, dump, capsys):
 
 def test_pool_is_looked_up(spark, tmp_path, capsys):
     report = {"filesystems": [{"mdsmap": {"fs_name": n, "metadata_pool": p, "in": [0, 1]}} for n, p in (("v", 4), ("w", 5))]}
-    for name, what in (("fs", report), ("pools", [{"pool_id": 4, "pool": "v_meta"}]), ("rule", {"steps": [{"op": "take", "item_name": "east"}]})):
+    for name, what in (
+        ("fs", report),
+        ("pools", [{"pool_id": 4, "pool": "v_meta"}]),
+        ("rule", {"steps": [{"op": "take", "item_name": "east"}]}),
+    ):
         (tmp_path / name).write_text(json.dumps(what))
     given = ["--fs-dump", f"{tmp_path}/fs", "--pools", f"{tmp_path}/pools", "--rule", f"{tmp_path}/rule", "--location", "datacenter=west"]
     # the pool is found, but the cluster's binding isn't installed

@@ -62,9 +62,26 @@ def test_keys_and_broken_values():
 
 
 def test_key_columns(spark):
-    keys = ["r_head", "r_s_2d", "plain", "r_xyz", "r_", "_head", "p\nq_head", "r_00000000000000000000ab", "r_" + "e" * 17, "r_head\n", "r_2d\n"]
+    keys = [
+        "r_head",
+        "r_s_2d",
+        "plain",
+        "r_xyz",
+        "r_",
+        "_head",
+        "p\nq_head",
+        "r_00000000000000000000ab",
+        "r_" + "e" * 17,
+        "r_head\n",
+        "r_2d\n",
+    ]
     name, snap, good = codec.key_columns(F.col("key"))
-    for r in spark.createDataFrame([(k,) for k in keys], "key string").select("key", name.alias("n"), snap.alias("s"), good.alias("g")).collect():
+    for r in spark.createDataFrame([(k,) for k in keys], "key string").select(
+        "key",
+        name.alias("n"),
+        snap.alias("s"),
+        good.alias("g"),
+    ).collect():
         try:
             expected = codec.parse_key(r["key"])
         except codec.DecodeError:
@@ -78,9 +95,23 @@ def test_batches_decode_as_single_values_do():
     for i in range(6000):
         kind = rng.randrange(5)
         if kind == 0:
-            value = enc.plain(i, uid=rng.getrandbits(32), size=rng.getrandbits(63), mtime=rng.getrandbits(32), clients=rng.choice([0, 0, 0, 2]), old_layout=rng.random() < 0.2)
+            value = enc.plain(
+                i,
+                uid=rng.getrandbits(32),
+                size=rng.getrandbits(63),
+                mtime=rng.getrandbits(32),
+                clients=rng.choice([0, 0, 0, 2]),
+                old_layout=rng.random() < 0.2,
+            )
         elif kind == 1:
-            value = enc.folder(i, rfiles=rng.randrange(9), rsubdirs=1, rctime=7, tree=rng.choice([None, None, {0: 1}]), alternate=rng.choice(["", "other"]))
+            value = enc.folder(
+                i,
+                rfiles=rng.randrange(9),
+                rsubdirs=1,
+                rctime=7,
+                tree=rng.choice([None, None, {0: 1}]),
+                alternate=rng.choice(["", "other"]),
+            )
         elif kind == 2:
             value = enc.remote(rng.getrandbits(64))
         elif kind == 3:
@@ -91,9 +122,16 @@ def test_batches_decode_as_single_values_do():
             value = value[: rng.randrange(len(value))]
         if rng.random() < 0.1:
             value = bytes(rng.randrange(256) if rng.random() < 0.05 else b for b in value)
-        rows.append(("1.0", rng.choice(["n%d_head", "é_%d_head", "n%d_1f", "n%d", "%d_head_head"]) % i, None if rng.random() < 0.01 else value))
+        rows.append((
+            "1.0",
+            rng.choice(["n%d_head", "é_%d_head", "n%d_1f", "n%d", "%d_head_head"]) % i,
+            None if rng.random() < 0.01 else value,
+        ))
     rows.append(("1.0", None, b""))
-    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], names=["oid", "key", "value"])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))],
+        names=["oid", "key", "value"],
+    )
     got = codec.decode_batch(batch).to_pylist()
     assert got == [codec._one(*r) for r in rows]
     assert sum(r["error"] is None for r in got) > 3000

@@ -73,7 +73,13 @@ def test_published_volume(spark, tmp_path):
     volume = index.open_volume(spark, root, "shelf")
     kinds = [r[4] for r in rows]
     wanted = {"entries": len(rows), "names": len({r[2] for r in rows}), "dup_dirs": 1}
-    wanted |= {"dirs": kinds.count("d"), "files": kinds.count("f"), "symlinks": kinds.count("l"), "hardlinks": kinds.count("h"), "special": kinds.count("o")}
+    wanted |= {
+        "dirs": kinds.count("d"),
+        "files": kinds.count("f"),
+        "symlinks": kinds.count("l"),
+        "hardlinks": kinds.count("h"),
+        "special": kinds.count("o"),
+    }
     assert {k: int(volume.meta[k]) for k in wanted} == wanted
     for q in QUERIES:
         assert sorted(r["path"] for r in volume.search(q).collect()) == hits_by_hand(rows, q, "/store/shelf"), q

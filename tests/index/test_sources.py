@@ -1,6 +1,7 @@
 import json
 import os
 import sys
+import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -43,7 +44,14 @@ def test_reads_that_fail(spark):
     done = walk.walk_store(spark, flaky, tasks=2, page=4, note=lambda *x: heard.append(x))
     c = done.counters.first().asDict()
     # b0 can't be read, b1 goes away after a page, b2 isn't there, b3 is empty
-    assert {k: c[k] for k in ("objects", "entries", "op_errors", "enoent", "missed_dirs", "pages")} == {"objects": 2, "entries": 8, "op_errors": 1, "enoent": 1, "missed_dirs": 1, "pages": 3}
+    assert {k: c[k] for k in ("objects", "entries", "op_errors", "enoent", "missed_dirs", "pages")} == {
+        "objects": 2,
+        "entries": 8,
+        "op_errors": 1,
+        "enoent": 1,
+        "missed_dirs": 1,
+        "pages": 3,
+    }
     assert [r["problem"] for r in done.reads.filter("problem is not null").collect()] == ["OSError: no answer"]
     assert heard == [(0, 4), (1, 8)]
     early = walk.walk_store(spark, flaky, tasks=2, seconds=0)
@@ -72,7 +80,10 @@ def test_pace():
 
 
 def test_cluster_reports(spark):
-    dump = json.dumps({"epoch": 3, "filesystems": [{"mdsmap": {"fs_name": n, "metadata_pool": p, "in": [0, p]}} for n, p in (("b", 7), ("a", 5), ("c", 9))]})
+    dump = json.dumps({
+        "epoch": 3,
+        "filesystems": [{"mdsmap": {"fs_name": n, "metadata_pool": p, "in": [0, p]}} for n, p in (("b", 7), ("a", 5), ("c", 9))],
+    })
     pools = spark.createDataFrame([(5, "a_meta"), (7, "b_meta")], "pool_id long, pool string")
     volumes = admin.filesystems(spark.createDataFrame([(dump,), ("not json",), (None,)], "dump string"), pools)
     assert [tuple(r) for r in volumes.collect()] == [("a", "a_meta", [0, 5]), ("b", "b_meta", [0, 7]), ("c", None, [0, 9])]
@@ -80,19 +91,88 @@ def test_cluster_reports(spark):
     for name in ("c", "nobody"):
         with pytest.raises(admin.ReportError):
             admin.lookup(volumes, name)
-    rules = [json.dumps({"steps": s}) for s in ([{"op": "set"}, {"op": "take", "item_name": "dc1~ssd"}, {"op": "take", "item_name": "dc2"}], [{"op": "emit"}], [])]
-    assert [r[0] for r in spark.createDataFrame([(r,) for r in rules], "rule string").select(admin.primary_bucket(F.col("rule"))).collect()] == ["dc1", None, None]
+    rules = [json.dumps({"steps": s}) for s in (
+        [{"op": "set"}, {"op": "take", "item_name": "dc1~ssd"}, {"op": "take", "item_name": "dc2"}],
+        [{"op": "emit"}],
+        [],
+    )]
+    assert [r[0] for r in spark.createDataFrame(
+        [(r,) for r in rules],
+        "rule string",
+    ).select(admin.primary_bucket(F.col("rule"))).collect()] == ["dc1", None, None]
     places = ["datacenter=dc1", "host=x datacenter=dc2", "host=x,rack=r;datacenter=dc1", "", None, "mydatacenter=z"]
-    got = spark.createDataFrame([(p,) for p in places], "p string").select(admin.datacenter(F.col("p")), admin.reads_cross(F.lit("dc1"), F.col("p"))).collect()
+    got = spark.createDataFrame([(p,) for p in places], "p string").select(
+        admin.datacenter(F.col("p")),
+        admin.reads_cross(F.lit("dc1"), F.col("p")),
+    ).collect()
     assert [tuple(r) for r in got] == [("dc1", False), ("dc2", True), ("dc1", False), ("", False), ("", False), ("", False)]
 
 
 def test_reports_of_entries(spark):
-    rows = [("1.0", "d_head", enc.folder(7, uid=5, rctime=9, rfiles=3, rsubdirs=1, alternate="alt", tree={0: 1})), ("1.0", "s_1f", enc.link(8, "../t")), ("1.0", "h_head", enc.remote(0x42)), ("1.0", "bad_head", b"x"), ("2.0", None, None)]
+    rows = [
+        ("1.0", "d_head", enc.folder(7, uid=5, rctime=9, rfiles=3, rsubdirs=1, alternate="alt", tree={0: 1})),
+        ("1.0", "s_1f", enc.link(8, "../t")),
+        ("1.0", "h_head", enc.remote(0x42)),
+        ("1.0", "bad_head", b"x"),
+        ("2.0", None, None),
+    ]
     got = {r["key"]: r for r in codec.reports(spark.createDataFrame(rows, "oid string, key string, value binary")).collect()}
-    assert json.loads(got["d_head"]["json"]) == {"name": "d", "snap": "head", "marker": "i", "ino": "0x7", "type": "dir", "mode": "40755", "uid": 5, "gid": 0, "nlink": 1, "size": 0, "mtime": "1970-01-01T00:00:00Z", "ctime": "1970-01-01T00:00:00Z", "rctime": "1970-01-01T00:00:09Z", "rfiles": 3, "rsubdirs": 1, "frag_objects": ["7.01000000", "7.01800000"], "alternate_name": "alt"}
+    assert json.loads(got["d_head"]["json"]) == {
+        "name": "d",
+        "snap": "head",
+        "marker": "i",
+        "ino": "0x7",
+        "type": "dir",
+        "mode": "40755",
+        "uid": 5,
+        "gid": 0,
+        "nlink": 1,
+        "size": 0,
+        "mtime": "1970-01-01T00:00:00Z",
+        "ctime": "1970-01-01T00:00:00Z",
+        "rctime": "1970-01-01T00:00:09Z",
+        "rfiles": 3,
+        "rsubdirs": 1,
+        "frag_objects": ["7.01000000", "7.01800000"],
+        "alternate_name": "alt",
+    }
     s = json.loads(got["s_1f"]["json"])
     assert (s["snap"], s["type"], s["symlink"]) == ("0x1f", "symlink", "../t")
-    assert json.loads(got["h_head"]["json"]) == {"name": "h", "snap": "head", "marker": "l", "type": "hardlink", "uid": 0, "gid": 0, "size": 0, "remote_ino": "0x42", "remote_d_type": 8}
+    assert json.loads(got["h_head"]["json"]) == {
+        "name": "h",
+        "snap": "head",
+        "marker": "l",
+        "type": "hardlink",
+        "uid": 0,
+        "gid": 0,
+        "size": 0,
+        "remote_ino": "0x42",
+        "remote_d_type": 8,
+    }
     assert got["bad_head"]["json"] is None and got["bad_head"]["error"]
     assert codec.report(None, enc.root({}))["frag_objects"] == ["1.00000000"]
+
+
+def test_fewer_reads_where_they_are_slow(spark):
+    class Slow(store.MemoryStore):
+        def omap_page(self, oid, after, most):
+            time.sleep(0.02)
+            return super().omap_page(oid, after, most)
+
+    pages = {f"{ino:x}.00000000": {"n_head": enc.folder(ino + 1, rfiles=1, rsubdirs=1)} for ino in range(1, 4)}
+    slow = Slow(pages, {"1.00000000.inode": enc.root({})})
+    limits = lambda ceiling: [r["limit"] for r in walk.walk_store(spark, slow, tasks=8, ceiling=ceiling).reads.orderBy("oid").collect()]
+    assert limits(0.001) == [8, 4, 2, 1]
+    assert limits(5.0) == limits(None) == [8, 8, 8, 8]
+
+
+def test_data_source(spark, made, tmp_path):
+    pages = made[0].pages()
+    (tmp_path / "objects.json").write_text(json.dumps({o: {k: v.hex() for k, v in p.items()} for o, p in pages.items()}))
+    spark.dataSource.register(store.StoreSource)
+    asked = [*list(pages)[:9], "absent.00000000"]
+    source = spark.read.format("omap").option("json", f"{tmp_path}/objects.json").option("objects", ",".join(asked))
+    rows = source.option("page", 3).option("tasks", 4).load()
+    assert sorted((r["oid"], r["key"], bytes(r["value"])) for r in rows.collect()) == sorted((o, k, v) for o in asked for k, v in pages.get(o, {}).items())
+    assert codec.decoded(rows).filter("error is null").count() > 0
+    assert spark.read.format("omap").option("json", f"{tmp_path}/objects.json").load().count() == 0
