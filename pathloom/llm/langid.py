@@ -108,7 +108,16 @@ def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
     return int(counts[-1]), counts[:-1]
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray | None = None, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, seed: int = 7) -> Model:
+def train(
+    rows: list[tuple[str, np.ndarray, np.ndarray]],
+    idf: np.ndarray | None = None,
+    epochs: int = 3,
+    alpha: float = 0.5,
+    beta: float = 1.0,
+    l1: float = 0.02,
+    l2: float = 0.05,
+    seed: int = 7,
+) -> Model:
     """Fits by follow-the-regularised-leader with both penalties; a fifth of the rows calibrates the temperature. Without ``idf`` it is that of ``rows``."""
     languages = sorted({r[0] for r in rows})
     if idf is None:
@@ -162,7 +171,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     stand there, within the bound. Without a row to learn from the model knows no language. Other columns take no part.
     """
     common.ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        F.col(lang_col).cast("string").alias("lang"),
+        F.col(text_col).alias("text"),
+    ).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return train([])
@@ -191,7 +204,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 
 def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``lettered``: whether a text has a letter; false for a null text."""
-    return common.extend(docs, [("lettered", T.BooleanType())], [text_col], lambda: lambda texts: [[any(map(str.isalpha, t or "")) for t in texts]])
+    return common.extend(
+        docs,
+        [("lettered", T.BooleanType())],
+        [text_col],
+        lambda: lambda texts: [[any(map(str.isalpha, t or "")) for t in texts]],
+    )
 
 
 FIELDS = [("lang_pred", T.StringType()), ("score", T.DoubleType())]

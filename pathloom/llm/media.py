@@ -41,7 +41,10 @@ def encode_png(image: np.ndarray) -> bytes:
     rows[:, 0], rows[:, 1:] = kind, tries[kind]
     data = zlib.compress(rows.tobytes(), LEVEL)
     head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 0, 0, 0, 0)
-    return SIGNATURE + chunk(b"IHDR", head) + b"".join(chunk(b"IDAT", data[at : at + IDAT_BYTES]) for at in range(0, len(data), IDAT_BYTES)) + chunk(b"IEND", b"")
+    return SIGNATURE + chunk(b"IHDR", head) + b"".join(chunk(
+        b"IDAT",
+        data[at : at + IDAT_BYTES],
+    ) for at in range(0, len(data), IDAT_BYTES)) + chunk(b"IEND", b"")
 
 
 def chunks(data: bytes):
@@ -145,7 +148,15 @@ def pad(data: bytes, unit: int = WIDTH) -> bytes:
     return data + bytes(max(unit, -(-len(data) // unit) * unit) - len(data))
 
 
-FIELDS = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+FIELDS = [
+    ("n_bytes", T.LongType()),
+    ("payload_bytes", T.LongType()),
+    ("payload_sha256", T.StringType()),
+    ("tail_crc32", T.LongType()),
+    ("media_bytes", T.LongType()),
+    ("media_sha256", T.StringType()),
+    ("feature", T.StringType()),
+]
 
 
 def store(text: str | None) -> tuple[int, bytes]:
@@ -158,7 +169,14 @@ def features(png: bytes) -> tuple:
     """What is read back from a stored image: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
     image = decode_png(png)
     payload = image.tobytes()
-    return (len(payload), hashlib.sha256(payload).hexdigest(), common.unsigned_crc(payload[-64:]), len(png), hashlib.sha256(png).hexdigest(), dct_hash(image))
+    return (
+        len(payload),
+        hashlib.sha256(payload).hexdigest(),
+        common.unsigned_crc(payload[-64:]),
+        len(png),
+        hashlib.sha256(png).hexdigest(),
+        dct_hash(image),
+    )
 
 
 def _each(text_of):

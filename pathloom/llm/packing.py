@@ -267,7 +267,10 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list
         """(gift, kind, sum) that leaves the least room, of equal ones the largest gift; None where no step is left."""
         one, two = known[a]
         left, best = capacity - fills[a], None
-        for s, kinds, gift in sorted([(s, (0, 1), g) for s, g in one.items()] + [(s, (0,), g) for s, g in two.items()], key=lambda g: -g[0]):
+        for s, kinds, gift in sorted(
+            [(s, (0, 1), g) for s, g in one.items()] + [(s, (0,), g) for s, g in two.items()],
+            key=lambda g: -g[0],
+        ):
             for kind in kinds:
                 fits = lowest[kind, s : s + left] < s
                 if fits.any():
@@ -364,7 +367,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, handed
     taken = ("sequence_id", "offset")
     left = common.stage(pieces.select(*[c for c in pieces.columns if c.lower() not in taken]), "pieces")
     columns, out, level = left.columns, None, 0
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields] + ["sequence_id long", "offset long", "__again boolean"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields] + [
+        "sequence_id long",
+        "offset long",
+        "__again boolean",
+    ])
     while True:
         rows = left.count()
         blocks = max(1, -(-rows // block))

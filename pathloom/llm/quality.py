@@ -79,13 +79,26 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(rows: list[tuple[int, str]], epochs: int = 8, rate: float = 0.02, batch: int = 16, decay: float = 1e-5, seed: int = 11, odds: float | None = None) -> Network:
+def train(
+    rows: list[tuple[int, str]],
+    epochs: int = 8,
+    rate: float = 0.02,
+    batch: int = 16,
+    decay: float = 1e-5,
+    seed: int = 11,
+    odds: float | None = None,
+) -> Network:
     """Adam on the mean log loss, classes weighed alike; then the bias is shifted to ``odds`` of class 1 to class 0, by default those of ``rows``.
 
     Without both classes the score is close to that of the only one, and 0.5 without rows.
     """
     rng = np.random.default_rng(seed)
-    net = Network(rng.normal(0, 0.1, (WIDTH, 512, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.5, FILTERS).astype(np.float32), 0.0)
+    net = Network(
+        rng.normal(0, 0.1, (WIDTH, 512, FILTERS)).astype(np.float32),
+        np.zeros(FILTERS, np.float32),
+        rng.normal(0, 0.5, FILTERS).astype(np.float32),
+        0.0,
+    )
     labels = np.array([r[0] for r in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         net.out[:] = 0
@@ -125,7 +138,15 @@ def train(rows: list[tuple[int, str]], epochs: int = 8, rate: float = 0.02, batc
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample: int = SAMPLE,
+    most: int = SAMPLE_BYTES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+) -> Network:
     """Learns from the labelled rows of ``docs``; a hash of the id picks about ``sample`` rows of each class.
 
     Rows are taken whole in the hash's order until they come to ``most`` bytes, the row that reaches it included, so what the driver
@@ -133,7 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SA
     all labels given. An id with several labels counts with the smallest; null labels and ids, and labelled rows
     with a null text, aren't learned from. Repeated rows count as often as they stand there, within the bounds.
     """
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
+    marked = labels.select(
+        F.col(id_col).alias("id"),
+        F.col(label_col).cast("int").alias("label"),
+    ).filter("id is not null and label in (0, 1)")
     marked = marked.groupBy("id").agg(F.min("label").alias("label"))
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     if not counts:

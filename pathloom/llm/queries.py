@@ -28,7 +28,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, url_filter.rule_table(spark, url_filter.parse_rules(RULES))).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(
+        pages,
+        url_filter.rule_table(spark, url_filter.parse_rules(RULES)),
+    ).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +41,15 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.interleave(table(spark, sf_dir, "documents"), 16)
-    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,14 +88,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_sentencepiece, op3_url_filter, op4_topk, op5_shard, op6_warc, op7_media, op8_langid, op9_quality, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_pack,
+    op2_sentencepiece,
+    op3_url_filter,
+    op4_topk,
+    op5_shard,
+    op6_warc,
+    op7_media,
+    op8_langid,
+    op9_quality,
+    op10_simhash,
+)}
 
 _HOST = "CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 _PATH = "CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1, 's') ELSE '' END"
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": f"""
-        WITH r(host, path, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        WITH r(host, path, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com',
+            '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
         p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages)
         SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.v, 'allow') AS verdict
         FROM p LEFT JOIN LATERAL (
@@ -97,7 +120,8 @@ ORACLES: dict[str, str] = {
                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
               FROM v q JOIN v d ON q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id),
-        n AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        n AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+            vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 20""",
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),

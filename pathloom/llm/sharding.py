@@ -37,7 +37,14 @@ def _rank(df: DataFrame, group: list[str], order: list, even: int) -> DataFrame:
     return ranked.drop("__before", "__in", "bucket", "__part")
 
 
-def interleave(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", strata: str = "source") -> DataFrame:
+def interleave(
+    docs: DataFrame,
+    shards: int = 16,
+    seed: int = 42,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    strata: str = "source",
+) -> DataFrame:
     """doc_id, source, size, text_crc32, shard, slot for every row of ``docs``.
 
     Rows of a source are ranked in the order of a seeded hash of their id, size and checksum; (rank - u) / (rows of the
@@ -51,7 +58,10 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str =
     """
     data = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
     size, check = (F.octet_length(data) + 1).cast("long"), F.crc32(data)
-    mixed = F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), size.cast("string"), check.cast("string")), "UTF-8"))
+    mixed = F.md5(F.encode(
+        F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), size.cast("string"), check.cast("string")),
+        "UTF-8",
+    ))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.concat(F.lit("="), F.col(strata).cast("string")), F.lit("")).alias("source"),
@@ -68,10 +78,24 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str =
     # the hash is even, so equal ranges of its first 32 bits hold about as many rows of any source
     first = F.conv(F.substring("mixed", 1, 8), 16, 10).cast("long")
     ranked = _rank(rows.withColumn("bucket", F.floor(first * buckets / F.lit(1 << 32)).cast("long")), ["source"], whole, even)
-    phase = F.conv(F.substring(F.md5(F.encode(F.concat(F.lit(f"{seed}:"), "source"), "UTF-8")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    phase = F.conv(
+        F.substring(F.md5(F.encode(F.concat(F.lit(f"{seed}:"), "source"), "UTF-8")), 1, 8),
+        16,
+        10,
+    ).cast("long") / F.lit(float(1 << 32))
     fraction = (F.col("rank") - phase) / F.col("n")
-    dealt = ranked.withColumn("fraction", fraction).withColumn("bucket", F.least(F.floor(F.col("fraction") * buckets).cast("long"), F.lit(buckets - 1)))
+    dealt = ranked.withColumn("fraction", fraction).withColumn(
+        "bucket",
+        F.least(F.floor(F.col("fraction") * buckets).cast("long"), F.lit(buckets - 1)),
+    )
     placed = _rank(dealt.drop("rank", "n").withColumn("all", F.lit(0)), ["all"], ["fraction", "source", *whole], even)
     cut = placed.withColumn("shard", F.expr(f"cast(((rank - 1) * {shards}L) div {total}L as int)"))
     start = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")  # the first place of the shard
-    return cut.select("doc_id", F.when(F.col("source") != "", F.expr("substring(source, 2)")).alias("source"), "size", "text_crc32", "shard", (F.col("rank") - 1 - start).cast("long").alias("slot"))
+    return cut.select(
+        "doc_id",
+        F.when(F.col("source") != "", F.expr("substring(source, 2)")).alias("source"),
+        "size",
+        "text_crc32",
+        "shard",
+        (F.col("rank") - 1 - start).cast("long").alias("slot"),
+    )

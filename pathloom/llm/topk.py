@@ -113,7 +113,15 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in row] for row in wide], np.int64).reshape(len(a), len(b))
 
 
-def dual_search(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k: int, worst: np.ndarray | None = None, counts: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dual_search(
+    q_ids: np.ndarray,
+    q: np.ndarray,
+    d_ids: np.ndarray,
+    d: np.ndarray,
+    k: int,
+    worst: np.ndarray | None = None,
+    counts: dict | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's position, vec_id, score) of each query's k best rows of one block, its own id left out.
 
     Equal vectors share a tree point. A pair of nodes is left out where even the largest inner product that the
@@ -308,7 +316,10 @@ def _dealt(df: DataFrame, cells: dict[str, "Cells"]) -> DataFrame:
                 for c in cells.values():
                     cell, far = c.nearest(x)
                     out += [pa.array(cell, pa.int32()), pa.array(far)]
-                yield pa.RecordBatch.from_arrays(out, names=["vec_id", "v", "dim", "row", *[f"{n}_{w}" for n in cells for w in ("cell", "far")]])
+                yield pa.RecordBatch.from_arrays(
+                    out,
+                    names=["vec_id", "v", "dim", "row", *[f"{n}_{w}" for n in cells for w in ("cell", "far")]],
+                )
 
     return df.select("vec_id", "v", "dim", "row").mapInArrow(run, schema)
 
@@ -348,7 +359,15 @@ def _searcher(k: int, group: int):
     return search
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, meet: int = MEET, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
+def topk(
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int = 20,
+    block: int = BLOCK,
+    meet: int = MEET,
+    group: int = GROUP,
+    pivots: int = PIVOTS,
+) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest inner products over all rows of other ids, ties to the smaller id.
 
     Both tables are (vec_id, v). Rows of ``queries`` that share an id are ranked together, and every row of ``vectors`` is a
@@ -373,7 +392,10 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK
         return empty
 
     def sample(df: DataFrame, most: int) -> Cells:
-        return Cells([r["v"] for r in df.orderBy(F.xxhash64("row", F.lit("pivot")), "row").limit(most).select("v").collect()] if most > 1 else [])
+        return Cells([r["v"] for r in df.orderBy(
+            F.xxhash64("row", F.lit("pivot")),
+            "row",
+        ).limit(most).select("v").collect()] if most > 1 else [])
 
     data_cells, query_cells = sample(rows, min(pivots, -(-n // block))), sample(asked, min(pivots, -(-m // meet)))
     rows = common.stage(_dealt(rows, {"data": data_cells}), "dealt")
@@ -392,7 +414,10 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK
         return F.pmod(F.xxhash64("row", F.lit(salt)), F.col(f"{name}_parts"))
 
     blocks = numbers(data, "data")
-    left = rows.join(blocks, ["dim", "data_cell"]).withColumn("block", F.col("data_first") + part("data", "block")).select("vec_id", "v", "dim", "data_cell", "block")
+    left = rows.join(blocks, ["dim", "data_cell"]).withColumn(
+        "block",
+        F.col("data_first") + part("data", "block"),
+    ).select("vec_id", "v", "dim", "data_cell", "block")
     right = asked.join(blocks, ["dim", "data_cell"], "left").withColumn("home", F.col("data_first") + part("data", "home"))
     right = right.select("vec_id", "v", "dim", "row", "data_cell", "query_cell", "home")
 
@@ -421,8 +446,14 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK
         # at most PIVOTS x PIVOTS pairs of cells
         met = F.broadcast(spark.createDataFrame(pairs, "dim int, query_cell int, data_cell int, query_parts int"))
         many = left.join(met, ["dim", "data_cell"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
-        visits = right.drop("data_cell").join(met, ["dim", "query_cell"]).withColumn("share", part("query", "share").cast("int")).join(blocks, ["dim", "data_cell"])
-        visits = visits.withColumn("block", F.explode(F.sequence(F.col("data_first"), F.col("data_first") + F.col("data_parts") - 1))).filter("not block <=> home")
+        visits = right.drop("data_cell").join(met, ["dim", "query_cell"]).withColumn(
+            "share",
+            part("query", "share").cast("int"),
+        ).join(blocks, ["dim", "data_cell"])
+        visits = visits.withColumn(
+            "block",
+            F.explode(F.sequence(F.col("data_first"), F.col("data_first") + F.col("data_parts") - 1)),
+        ).filter("not block <=> home")
         visits = visits.select("vec_id", "v", "row", "query_cell", "worst", "block", "share")
         by = ("block", "query_cell", "share")
         far = many.select("vec_id", "v", *by).groupBy(*by).cogroup(visits.groupBy(*by)).applyInArrow(_searcher(k, group), FOUND)

@@ -9,7 +9,11 @@ from pyspark.sql import types as T
 
 from . import bloom, common
 
-RULES = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("verdict", T.StringType())])
+RULES = T.StructType([
+    T.StructField("host", T.StringType()),
+    T.StructField("path", T.StringType()),
+    T.StructField("verdict", T.StringType()),
+])
 ADDED = ["host", "path", "rule", "verdict"]
 
 
@@ -120,7 +124,14 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     rows = rows.withColumnsRenamed({f"c{len(kept)}_": "host_", f"c{len(kept) + 1}_": "path_"})
 
     def named(df: DataFrame, rule: Column, verdict: Column) -> DataFrame:
-        return common.renamed(df, kept, F.col("host_").alias("host"), F.col("path_").alias("path"), rule.alias("rule"), verdict.alias("verdict"))
+        return common.renamed(
+            df,
+            kept,
+            F.col("host_").alias("host"),
+            F.col("path_").alias("path"),
+            rule.alias("rule"),
+            verdict.alias("verdict"),
+        )
 
     none = (F.lit(None).cast("string"), F.lit(default))
     if not count:
@@ -132,7 +143,12 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     keys = hits.select("row_", F.explode("keys_").alias("key"))
     asked = keys.groupBy("key").agg(F.count("*").alias("n")).join(listed, "key")  # the keys that are listed indeed
     found = common.join_skewed(keys, asked, "key", "n").filter("rh is not null")
-    order = F.struct((F.length("rh") + F.length("rp")).alias("n"), F.length("rh").alias("h"), F.concat("rh", "rp").alias("rule"), F.col("rv").alias("v"))
+    order = F.struct(
+        (F.length("rh") + F.length("rp")).alias("n"),
+        F.length("rh").alias("h"),
+        F.concat("rh", "rp").alias("rule"),
+        F.col("rv").alias("v"),
+    )
     best = found.groupBy("row_").agg(F.max(order).alias("best"))
     judged = hits.join(best, "row_", "left")
     return named(clear, *none).unionByName(named(judged, F.col("best.rule"), F.coalesce("best.v", F.lit(default))))

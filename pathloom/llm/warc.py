@@ -64,7 +64,14 @@ def with_responses(pages: DataFrame, id_col: str, html_col: str, least: int = LE
     return joined.withColumn("__response", F.when(revisit, F.col("__largest"))).drop("__largest", "__key")
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int | None = None) -> None:
+def write(
+    pages: DataFrame,
+    path: str,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    most: int | None = None,
+) -> None:
     """Writes a record for each row into gzip archives below ``path``, through Spark's own file writer.
 
     Of records with equal payloads of at least LEAST_REVISIT bytes, that with the largest id is the response
@@ -73,7 +80,11 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     stored. An empty table gives a folder without records.
     """
     common.ship(pages.sparkSession)
-    named = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
+    named = pages.select(
+        F.col(f"`{id_col}`").cast("long").alias("page_id"),
+        F.col(f"`{url_col}`").alias("url"),
+        F.col(f"`{html_col}`").alias("html"),
+    )
     rows = with_responses(named, "page_id", "html", most=most)
 
     def run(batches):
@@ -90,7 +101,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     packed = rows.select("page_id", "url", "__payload", "__digest", "__response").mapInArrow(run, "data binary")
     # the text writer copies a string's bytes as they are
-    packed.select(F.col("data").cast("string").alias("value")).write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    packed.select(F.col("data").cast("string").alias("value")).write.option(
+        "lineSep",
+        EMPTY.decode("latin-1"),
+    ).option("encoding", "ISO-8859-1").text(path)
 
 
 def parse(data: bytes) -> dict | None:
@@ -168,7 +182,16 @@ def _row(data: bytes, payloads: bool = True):
     else:
         digest = hashlib.sha1(r["payload"]).hexdigest()
     page, response = _id(f.get(b"warc-record-id")), _id(f.get(b"warc-refers-to"))
-    return (page, r["payload"] if payloads else None, r["full"], digest, kind, response, f.get(b"warc-record-id"), f.get(b"warc-target-uri"))
+    return (
+        page,
+        r["payload"] if payloads else None,
+        r["full"],
+        digest,
+        kind,
+        response,
+        f.get(b"warc-record-id"),
+        f.get(b"warc-target-uri"),
+    )
 
 
 def _sha1(value: str | None) -> str | None:
@@ -260,7 +283,11 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """
     common.ship(spark)
     lines = _raw_lines(spark, path)
-    chunks = lines.select(F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("start"), F.col("value").cast("binary").alias("chunk"))
+    chunks = lines.select(
+        F.input_file_name().alias("file"),
+        F.expr("input_file_block_start()").alias("start"),
+        F.col("value").cast("binary").alias("chunk"),
+    )
     found = common.stage(chunks.mapInArrow(_decode(payloads, False), FOUND + PLACE), "warc-read")
     doubt = found.filter("open").groupBy("file").agg(F.min("start").alias("first"))
     sure = found.filter("not open")
@@ -268,5 +295,8 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         return sure.select(*_KINDS)
     whole = sure.join(doubt, "file", "left").filter("first is null or start < first")
     again = chunks.withColumn("at", common.row_key()).join(doubt, "file").filter("start >= first").select("file", "start", "chunk", "at")
-    again = again.repartition("file").sortWithinPartitions("file", "start", "at").mapInArrow(_decode(payloads, True), FOUND + PLACE).filter("not open")
+    again = again.repartition("file").sortWithinPartitions("file", "start", "at").mapInArrow(
+        _decode(payloads, True),
+        FOUND + PLACE,
+    ).filter("not open")
     return whole.select(*_KINDS).unionByName(again.select(*_KINDS))

@@ -1,7 +1,15 @@
 import pytest
 from pyspark.sql import types as T
 
-DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("score", T.StringType()), T.StructField("shard", T.StringType())])
+DOCS = T.StructType([
+    T.StructField("doc_id", T.LongType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("lang", T.StringType()),
+    T.StructField("source", T.StringType()),
+    T.StructField("n_chars", T.LongType()),
+    T.StructField("score", T.StringType()),
+    T.StructField("shard", T.StringType()),
+])
 
 
 @pytest.fixture(scope="session")

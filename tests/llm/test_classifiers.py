@@ -58,11 +58,24 @@ def test_repeated_words_held_out(spark):
     """Held-out texts of label 0 with less than a tenth of distinct words are rejected; 8 bytes alone don't show them."""
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    rows = queries.op9_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(docs, "doc_id").filter("held_out").collect()
+    rows = queries.op9_quality(spark, sf).join(
+        spark.read.parquet(f"{sf}/labels.parquet"),
+        "doc_id",
+    ).join(docs, "doc_id").filter("held_out").collect()
     words = [(r, (r["text"] or "").split()) for r in rows if r["quality"] == 0]
     repeated = [r for r, w in words if len(set(w)) < 0.1 * len(w)]
     bad, good = [r for r, _ in words], [r for r in rows if r["quality"] == 1]
-    print("kept of label 1:", sum(r["predicted"] for r in good), len(good), "rejected of label 0:", sum(1 - r["predicted"] for r in bad), len(bad), "of repeated:", sum(1 - r["predicted"] for r in repeated), len(repeated))
+    print(
+        "kept of label 1:",
+        sum(r["predicted"] for r in good),
+        len(good),
+        "rejected of label 0:",
+        sum(1 - r["predicted"] for r in bad),
+        len(bad),
+        "of repeated:",
+        sum(1 - r["predicted"] for r in repeated),
+        len(repeated),
+    )
     assert len(repeated) > 20
     assert sum(1 - r["predicted"] for r in repeated) / len(repeated) > 0.95
     assert sum(r["predicted"] for r in good) / len(good) > 0.98
@@ -77,7 +90,10 @@ def test_repeat_marks(monkeypatch):
     for n in (0, 1, 3, 40, 99, 100, 101, 103, 104, 250, 700):
         marked = quality.windows("".join(rng.choice("ab") for _ in range(n)))
         data = bytes((marked & 255).tolist())
-        want = [any(i - 3 >= lag and any(data[i - 3 : i + 1]) and data[i - 3 - lag : i + 1 - lag] == data[i - 3 : i + 1] for lag in range(4, 65)) for i in range(len(data))]
+        want = [any(i - 3 >= lag and any(data[i - 3 : i + 1]) and data[i - 3 - lag : i + 1 - lag] == data[i - 3 : i + 1] for lag in range(
+            4,
+            65,
+        )) for i in range(len(data))]
         assert (marked >= 256).tolist() == want
 
 
@@ -155,12 +171,21 @@ def test_network_by_hand():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    net = quality.Network(rng.normal(0, 1, (quality.WIDTH, 512, quality.FILTERS)).astype(np.float32), rng.normal(0, 1, quality.FILTERS).astype(np.float32), rng.normal(0, 1, quality.FILTERS), 0.3)
+    net = quality.Network(
+        rng.normal(0, 1, (quality.WIDTH, 512, quality.FILTERS)).astype(np.float32),
+        rng.normal(0, 1, quality.FILTERS).astype(np.float32),
+        rng.normal(0, 1, quality.FILTERS),
+        0.3,
+    )
     for text in ("", "abc", "some words, some words and é", "x" * 41):
         data = quality.windows(text).tolist()
         z = 0.3
         for f in range(quality.FILTERS):
-            best = max(sum(float(net.taps[j, data[at + j], f]) for j in range(quality.WIDTH)) for at in range(0, len(data) - quality.WIDTH + 1, quality.STRIDE))
+            best = max(sum(float(net.taps[j, data[at + j], f]) for j in range(quality.WIDTH)) for at in range(
+                0,
+                len(data) - quality.WIDTH + 1,
+                quality.STRIDE,
+            ))
             z += tanh(max(best + float(net.bias[f]), 0)) * float(net.out[f])
         assert abs(net.score(text) - 1 / (1 + exp(-z))) < 1e-4
 
@@ -176,7 +201,10 @@ def error_of(scores, truth, bins=10):
 def test_scores_are_calibrated(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
-    rows = [r for r in queries.op8_langid(spark, sf).join(docs, "doc_id").collect() if r["held_out"] and r["lang"] and r["lang_pred"] != "und"]
+    rows = [r for r in queries.op8_langid(spark, sf).join(
+        docs,
+        "doc_id",
+    ).collect() if r["held_out"] and r["lang"] and r["lang_pred"] != "und"]
     lang = error_of([r["score"] for r in rows], [r["lang"] == r["lang_pred"] for r in rows])
     rows = queries.op9_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
     good = error_of([r["score"] for r in rows], [r["quality"] for r in rows])

@@ -23,7 +23,10 @@ def png_by_hand(image, kinds):
         above = row
     head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 0, 0, 0, 0)
     data = zlib.compress(bytes(out))
-    return media.SIGNATURE + media.chunk(b"IHDR", head) + media.chunk(b"tEXt", b"a") + media.chunk(b"IDAT", data[:9]) + media.chunk(b"IDAT", data[9:]) + media.chunk(b"IEND", b"")
+    return media.SIGNATURE + media.chunk(b"IHDR", head) + media.chunk(b"tEXt", b"a") + media.chunk(
+        b"IDAT",
+        data[:9],
+    ) + media.chunk(b"IDAT", data[9:]) + media.chunk(b"IEND", b"")
 
 
 @pytest.mark.parametrize("kinds", [[0], [1], [2], [3], [4], [0, 1, 2, 3, 4], [4, 4, 3, 2, 2, 1]])
@@ -35,7 +38,11 @@ def test_every_filter(kinds):
 @pytest.mark.parametrize("shape", [(1, 1), (1, 64), (64, 1), (3, 5), (200, 64)])
 def test_diagonals_of_all_shapes(shape):
     rng = np.random.default_rng(sum(shape))
-    for image in (rng.integers(0, 256, shape).astype(np.uint8), np.full(shape, 255, np.uint8), (rng.integers(0, 2, shape) * 255).astype(np.uint8)):
+    for image in (
+        rng.integers(0, 256, shape).astype(np.uint8),
+        np.full(shape, 255, np.uint8),
+        (rng.integers(0, 2, shape) * 255).astype(np.uint8),
+    ):
         for kinds in ([3], [4], [4, 3]):
             assert np.array_equal(media.decode_png(png_by_hand(image, kinds)), image)
 
@@ -67,7 +74,11 @@ def test_features_by_hand(docs):
 
 
 def test_own_images_and_broken_ones():
-    for image in (np.zeros((1, 64), np.uint8), np.tile(np.arange(64, dtype=np.uint8), (9, 1)), np.arange(6400, dtype=np.int64).reshape(-1, 64).astype(np.uint8)):
+    for image in (
+        np.zeros((1, 64), np.uint8),
+        np.tile(np.arange(64, dtype=np.uint8), (9, 1)),
+        np.arange(6400, dtype=np.int64).reshape(-1, 64).astype(np.uint8),
+    ):
         data = media.encode_png(image)
         assert np.array_equal(media.decode_png(data), image)
         for at in (3, 20, len(data) // 2, len(data) - 6):
@@ -87,7 +98,12 @@ def test_columns(odd, none):
     for r in rows:
         raw = (r["text"] or "").encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (
+            len(raw),
+            len(payload),
+            hashlib.sha256(payload).hexdigest(),
+            zlib.crc32(payload[-64:]),
+        )
         assert len(r["feature"]) == 16
     for r in media.with_media(odd).collect():
         assert media.decode_png(bytes(r["media"])).tobytes()[: r["n_bytes"]] == (r["text"] or "").encode()

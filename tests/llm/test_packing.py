@@ -102,7 +102,15 @@ def test_letters_that_change_when_lowered(text):
 
 
 def test_special_tokens_and_capitals():
-    for text in ("İ.", "İstanbul, Ǆ! ﬁn", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|>", "don't DON'T we'll", "K\u212a k", "\u00a0 x\u00a0y"):
+    for text in (
+        "İ.",
+        "İstanbul, Ǆ! ﬁn",
+        "a<|endoftext|>b <|startoftext|>",
+        "<|ENDOFTEXT|>",
+        "don't DON'T we'll",
+        "K\u212a k",
+        "\u00a0 x\u00a0y",
+    ):
         same_ids(text)
 
 

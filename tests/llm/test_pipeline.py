@@ -21,7 +21,10 @@ def learn(sf, spark, docs):
     some = docs.join(spark.createDataFrame(tell(3, 1), "doc_id long"), "doc_id", "left_semi")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     marked = [i for (i,) in {tuple(r) for r in labels.select("doc_id").collect()} if i is not None and zlib.crc32(str(i).encode()) % 5]
-    return langid.fit(some), lambda kept: quality.fit(kept, labels.join(spark.createDataFrame([(i,) for i in marked], "doc_id long"), "doc_id", "left_semi"))
+    return langid.fit(some), lambda kept: quality.fit(
+        kept,
+        labels.join(spark.createDataFrame([(i,) for i in marked], "doc_id long"), "doc_id", "left_semi"),
+    )
 
 
 def keep_one_by_hand(table):

@@ -42,7 +42,11 @@ def test_columns_and_rows(spark, sf, name):
 def test_revisits_against_sql(spark, tmp_path):
     """The given pages have no equal payloads of 1000 bytes and more; these have, also without an id."""
     big = "p" * 1500
-    rows = [(i, f"http://h/{i}", big if i % 3 == 0 else big + "q" if i % 3 == 1 else "s" * (990 + i)) for i in range(60)] + [(99, None, None), (98, "u", "")]
+    rows = [(
+        i,
+        f"http://h/{i}",
+        big if i % 3 == 0 else big + "q" if i % 3 == 1 else "s" * (990 + i),
+    ) for i in range(60)] + [(99, None, None), (98, "u", "")]
     spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(tuple(map(str, r)) for r in queries.op6_warc(spark, str(tmp_path)).collect())
     db = duckdb.connect()

@@ -73,7 +73,10 @@ def test_shortest_path_by_all_paths():
                 found.append((weight, ids))
             for j in range(i + 1, len(text) + 1):
                 piece = text[i:j]
-                if piece in rank and t.neighbours.merge(piece) == [piece] and (last is None or t.neighbours.merge(last + piece) == [last, piece]):
+                if piece in rank and t.neighbours.merge(piece) == [piece] and (last is None or t.neighbours.merge(last + piece) == [
+                    last,
+                    piece,
+                ]):
                     go(j, [*ids, t.names.index(piece)], weight + rank[piece], piece)
             if text[i : i + 1] and text[i] not in rank:
                 go(i + 1, ids + [t.lexicon.byte_ids[b] for b in text[i].encode()], weight + t.lexicon.heavy, None)

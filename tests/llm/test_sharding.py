@@ -39,7 +39,11 @@ def test_against_brute_force(docs, monkeypatch):
 
 
 def test_shards_match_the_mixture(spark):
-    df = spark.range(3200).selectExpr("id AS doc_id", "'t' AS text", "CASE WHEN id % 10 < 6 THEN 'hot' ELSE concat('s', id % 10) END AS source")
+    df = spark.range(3200).selectExpr(
+        "id AS doc_id",
+        "'t' AS text",
+        "CASE WHEN id % 10 < 6 THEN 'hot' ELSE concat('s', id % 10) END AS source",
+    )
     rows = sharding.interleave(df).collect()
     hot = Counter(r["shard"] for r in rows if r["source"] == "hot")
     assert set(Counter(r["shard"] for r in rows).values()) == {200}
@@ -55,7 +59,11 @@ def test_odd_rows(odd, none):
 def test_repeated_rows_and_many_sources(spark, monkeypatch):
     """A third of the rows are one row, which fills its bucket, and each other row has a source of its own."""
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
-    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN null ELSE id END AS doc_id", "CASE WHEN id % 3 > 0 THEN concat('t', id) END AS text", "CASE WHEN id % 3 > 0 THEN cast(id AS string) END AS source")
+    df = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN null ELSE id END AS doc_id",
+        "CASE WHEN id % 3 > 0 THEN concat('t', id) END AS text",
+        "CASE WHEN id % 3 > 0 THEN cast(id AS string) END AS source",
+    )
     rows = sharding.interleave(df).collect()
     shards = Counter(r["shard"] for r in rows)
     assert max(shards.values()) - min(shards.values()) <= 1

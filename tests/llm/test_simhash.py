@@ -180,7 +180,10 @@ def test_keep_one_with_odd_columns(spark):
 
 
 def test_keep_one_without_ids(spark):
-    rows = [(None, "the same words of text stand here")] * 3 + [(7, "the same words of text stand here"), (None, "quite another text than those")]
+    rows = [(None, "the same words of text stand here")] * 3 + [
+        (7, "the same words of text stand here"),
+        (None, "quite another text than those"),
+    ]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"][:5]) for r in kept if r["doc_id"]) == [(7, "the s")] and len(kept) == 2
 

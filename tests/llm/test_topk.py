@@ -27,7 +27,18 @@ def test_clusters_copies_and_bad_rows(spark):
     centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
     rows = [(i, [c + rng.gauss(0, 0.1) for c in rng.choice(centres)]) for i in range(600)]
     rows += [(1000 + i, rows[0][1]) for i in range(300)]
-    rows += [(2000, None), (2020, [None] * 8), (2040, [math.nan] * 8), (2060, [math.inf] + [0.0] * 7), (None, rows[1][1]), (2080, [1.0, 2.0]), (2100, [0.5, 1.0]), (40, rows[3][1]), (60, rows[60][1]), (2120, [])]
+    rows += [
+        (2000, None),
+        (2020, [None] * 8),
+        (2040, [math.nan] * 8),
+        (2060, [math.inf] + [0.0] * 7),
+        (None, rows[1][1]),
+        (2080, [1.0, 2.0]),
+        (2100, [0.5, 1.0]),
+        (40, rows[3][1]),
+        (60, rows[60][1]),
+        (2120, []),
+    ]
     for sizes in ({"block": 200, "group": 16}, {"block": 60, "meet": 9, "group": 4, "pivots": 5}, {}):
         assert found(spark, rows, **sizes) == brute(rows)
 

@@ -2,7 +2,28 @@ import numpy as np
 
 from pathloom.llm import bloom, common, queries, url_filter
 
-URLS = [None, "", "no scheme", "http://", "http://EXAMPLE.com/en/x?y#z", "http://www.Example.com/en/", "https://a.b.example.com/en/", "http://example.com/fr/", "http://notexample.com/en/", "x://net/es/1", "x://a.net/fr/?q", "x://a.net/fr", "http://com", "http://com/", "http://a.com?x/en/", "http://a.org/en/", "http://a.org://b.com/en/", "http://é.com/\n/x", "http://example.com./en/", "http://.com/x"]
+URLS = [
+    None,
+    "",
+    "no scheme",
+    "http://",
+    "http://EXAMPLE.com/en/x?y#z",
+    "http://www.Example.com/en/",
+    "https://a.b.example.com/en/",
+    "http://example.com/fr/",
+    "http://notexample.com/en/",
+    "x://net/es/1",
+    "x://a.net/fr/?q",
+    "x://a.net/fr",
+    "http://com",
+    "http://com/",
+    "http://a.com?x/en/",
+    "http://a.org/en/",
+    "http://a.org://b.com/en/",
+    "http://é.com/\n/x",
+    "http://example.com./en/",
+    "http://.com/x",
+]
 
 
 def brute(url, rules, default="allow"):
@@ -41,7 +62,10 @@ def test_many_rules_join_over_a_shuffle(spark, monkeypatch):
 
 def test_odd_columns(spark):
     columns = "page_id long, url string, __url string, row_ int, keys_ string, c0_ map<string,int>, Verdict int"
-    pages = spark.createDataFrame([(i, u, "x", 1, "k", {"a": i}, 5) for i, u in enumerate(["http://a.com/x", None, "http://b.org/"])], columns)
+    pages = spark.createDataFrame(
+        [(i, u, "x", 1, "k", {"a": i}, 5) for i, u in enumerate(["http://a.com/x", None, "http://b.org/"])],
+        columns,
+    )
     rules = url_filter.rule_table(spark, [("com", "", "block"), ("com", "", "allow"), (None, "/", "block"), ("org", "/", None)])
     out = url_filter.judge(pages, rules)
     assert out.columns == ["page_id", "url", "__url", "row_", "keys_", "c0_", "host", "path", "rule", "verdict"]

@@ -23,12 +23,29 @@ def brute(rows):
 
 
 def got(df):
-    return sorted([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in df.collect()], key=str)
+    return sorted(
+        [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in df.collect()],
+        key=str,
+    )
 
 
 def test_round_trip(spark):
     big, same = "<p>é</p>\r\n\r\n" * 300, "x" * 999
-    rows = [(1, "u", big), (2, "u", big), (7, None, big), (3, "http://a/ b\r\nc", same), (4, "u", same), (5, "u", None), (6, "u", ""), (None, "u", big), (None, None, None), (7, "u", big), (8, "u", "z" * 3_000_000), (-9, "u", "y" * 1000), (-9, "u", "y" * 1000)]
+    rows = [
+        (1, "u", big),
+        (2, "u", big),
+        (7, None, big),
+        (3, "http://a/ b\r\nc", same),
+        (4, "u", same),
+        (5, "u", None),
+        (6, "u", ""),
+        (None, "u", big),
+        (None, None, None),
+        (7, "u", big),
+        (8, "u", "z" * 3_000_000),
+        (-9, "u", "y" * 1000),
+        (-9, "u", "y" * 1000),
+    ]
     pages = spark.createDataFrame([(a, b, c, "clash") for a, b, c in rows], PAGES)
     path = common.new_path(spark, "warc")
     warc.write(pages, path)
