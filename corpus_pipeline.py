@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +13,8 @@ LEAST_SURE = 0.5
 
 def _kept(docs: DataFrame, predict, decision: str) -> DataFrame:
     """The rows whose prediction meets ``decision``, with the columns of ``docs`` as they were, even where a prediction's name clashes."""
-    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
-    found = predict(plain, f"_{docs.columns.index('text')}").filter(decision)
-    return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    found = predict(common.numbered(docs), f"c{docs.columns.index('text')}_").filter(decision)
+    return common.renamed(found, docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +34,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component, that with the smallest id. Repeated rows of it count as one; rows with a null id stay."""
+    """Keeps one row of each near-duplicate component, that with the smallest id; of equal ids or none, the first row."""
     return simhash.keep_one(docs)
 
 
@@ -54,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = common.new_path(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
