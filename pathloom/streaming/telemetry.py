@@ -30,6 +30,19 @@ def percentiles(samples: DataFrame, ts: str = "ts", value: str = "value", second
     return found.select("window_start", "n", "p50", "p99")
 
 
+def watch(stream: DataFrame, ts: str = "ts", value: str = "value", seconds: int = 2, late: str = "10 seconds") -> DataFrame:
+    """The same windows of a stream of samples: each is given out once, when no sample of it may come any more.
+
+    The state holds the samples of open windows, which are those of a few seconds.
+    """
+    samples = stream.filter(F.col(value).isNotNull()).withWatermark(ts, late)
+    windows = samples.groupBy(F.window(ts, f"{seconds} seconds")).agg(F.array_sort(F.collect_list(value)).alias("s"))
+    n = F.size("s")
+    at = lambda k: F.element_at("s", k.cast("int") + 1)
+    start = F.unix_seconds("window.start").alias("window_start")
+    return windows.select(start, n.cast("long").alias("n"), at(F.floor(n / 2)).alias("p50"), at(F.floor(n * 99 / 100)).alias("p99"))
+
+
 def next_limit(limit: int, p99: float | None, ceiling: float, most: int) -> int:
     """Half the limit where p99 is over the ceiling (1 at least), else a 16th of ``most`` (1 at least) more, up to it."""
     if p99 is not None and p99 > ceiling:
