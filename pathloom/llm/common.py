@@ -77,7 +77,8 @@ def extend(df: DataFrame, fields: list[tuple[str, T.DataType]], inputs: list[str
     kept = len(base.columns)
     schema = T.StructType([*base.schema.fields, *[T.StructField(n, t) for n, t in fields]])
     kinds = [_arrow(t) for _, t in fields]
-    source = df.select(*base, *[F.col(f"`{c}`").alias(f"__input{i}") for i, c in enumerate(inputs)])
+    own = [F.col(f"`{c}`") for c in base.columns]
+    source = df.select(*own, *[F.col(f"`{c}`").alias(f"__input{i}") for i, c in enumerate(inputs)])
 
     def run(batches):
         call = task()

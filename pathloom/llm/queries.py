@@ -123,6 +123,23 @@ ORACLES: dict[str, str] = {
         n AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
             vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 20""",
+    # the checksum from its table, a byte at a time
+    "op5_shard": """
+        WITH bits AS (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS v FROM range(256) r(i)),
+        crc AS (SELECT list(CAST(v AS BIGINT) ORDER BY i) AS t FROM bits),
+        d AS (SELECT doc_id, coalesce('=' || source, '') AS src, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+                     xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(
+                             regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+                         lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256))) AS text_crc32
+              FROM documents, crc),
+        m AS (SELECT *, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || text_crc32) AS mixed FROM d),
+        r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY mixed, doc_id NULLS FIRST, size, text_crc32) AS k,
+                     count(*) OVER (PARTITION BY src) AS n, count(*) OVER () AS total FROM m),
+        f AS (SELECT *, (k - CAST('0x' || substr(md5('42:' || src), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) / n AS fraction FROM r),
+        p AS (SELECT *, row_number() OVER (ORDER BY fraction, src, mixed, doc_id NULLS FIRST, size, text_crc32) - 1 AS place FROM f)
+        SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 16 // total AS INTEGER) AS shard,
+               CAST(place - (place * 16 // total * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p""",
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
         d AS (SELECT page_id, strlen(t) AS n, sha1(t) AS h FROM p),
