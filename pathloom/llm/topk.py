@@ -371,7 +371,7 @@ def topk(
     """query_id, rank, vec_id, score: each query's k largest inner products over all rows of other ids, ties to the smaller id.
 
     Both tables are (vec_id, v). Rows of ``queries`` that share an id are ranked together, and every row of ``vectors`` is a
-    candidate, also where rows share an id. Only vectors of the query's length are compared. Scores beyond a
+    candidate, also where rows share an id. Rows with a null id or vector take no part; components must be numbers. Only vectors of the query's length are compared. Scores beyond a
     long are held at its ends. An empty table gives an empty result; with fewer candidates than k, all are returned.
 
     - Data are dealt into cells around sampled vectors, and cells into blocks, each of which gets a cover tree in the task that
@@ -384,7 +384,11 @@ def topk(
     """
     spark = vectors.sparkSession
     common.ship(spark)
-    shape = lambda df: df.select("vec_id", "v", F.size("v").alias("dim"), common.row_key().alias("row"))
+
+    def shape(df: DataFrame) -> DataFrame:
+        fine = df.filter("vec_id is not null and v is not null")
+        return fine.select("vec_id", "v", F.size("v").alias("dim"), common.row_key().alias("row"))
+
     rows, asked = common.stage(shape(vectors), "vectors"), common.stage(shape(queries), "queries")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n, m = rows.count(), asked.count()
