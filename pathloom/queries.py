@@ -71,16 +71,18 @@ def _whole(spark: SparkSession, sf: str) -> index.Volume:
 
 
 def _regions(spark: SparkSession, sf: str) -> str:
-    """A folder with a volume for each region, and for each a staging copy and a partial walk of a few rows."""
+    """A folder with a volume for each region, and for one of them a staging copy and a partial walk of a few rows."""
 
     def build(root: str) -> None:
         entries = storage.stage(vfs.entries(spark, sf), "entries")
-        for r in spark.read.parquet(f"{sf}/region.parquet").select(F.lower("r_name").alias("v")).orderBy("v").collect():  # five by the format
+        regions = spark.read.parquet(f"{sf}/region.parquet").select(F.lower("r_name").alias("v")).orderBy("v").collect()  # five by the format
+        for k, r in enumerate(regions):
             v = r["v"].replace(" ", "_")
             mine = entries.filter(F.col("volume") == r["v"]).drop("volume")
             index.publish(mine, root, v, PREFIX)
-            index.publish(mine.filter("parent = 1"), root, f"{v}_new", PREFIX)
-            index.publish(mine.filter("parent = 1"), root, v, PREFIX, complete=False)
+            if k == 0:
+                index.publish(mine.filter("parent = 1"), root, f"{v}_new", PREFIX)
+                index.publish(mine.filter("parent = 1"), root, v, PREFIX, complete=False)
 
     return _published(spark, sf, "regions", build)
 
