@@ -71,7 +71,8 @@ class Lock:
             self.files.delete(f"{self.path}.{self.owner}")
             if not self.files.create(self.path, self._text()):
                 raise VolumeError(f"{self.path} is held: the volume is being built")
-        threading.Thread(target=self._renew, daemon=True).start()
+        self.thread = threading.Thread(target=self._renew, daemon=True)
+        self.thread.start()
         return self
 
     def _renew(self) -> None:
@@ -81,6 +82,7 @@ class Lock:
 
     def __exit__(self, *_) -> None:
         self.over.set()
+        self.thread.join(self.lease)  # or it might put the lock back
         self.files.delete(self.path)
 
 

@@ -137,8 +137,8 @@ def test_lock(spark, tmp_path):
     index.publish(table(spark, rows), str(tmp_path), "v")
     assert not lock.exists()
     files = index.Files(spark, str(tmp_path))
-    with index.Lock(files, str(home), lease=0.6) as mine:
-        time.sleep(1.5)  # renewed meanwhile
+    with index.Lock(files, str(home), lease=4.0) as mine:
+        time.sleep(5.5)  # renewed meanwhile
         assert json.loads(lock.read_text())["until"] > time.time()
         with pytest.raises(index.VolumeError):
             index.Lock(files, str(home)).__enter__()
