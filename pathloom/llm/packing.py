@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
+import uuid
 from bisect import bisect_left, insort
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +23,19 @@ CAPACITY = 2048
 BLOCK = 16384
 #: Pieces of its emptiest sequences that a block hands to the next round.
 HANDED = 2048
-#: Characters of texts, and words of one text, whose unknown words are learned together.
-TOGETHER = 200_000
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
+#: Characters of texts, and at most so many words, whose unknown words are learned together.
+TOGETHER = 1_000_000
+RUN = 200_000
+#: Parts of words, and other words, whose ids a worker remembers.
 REMEMBERED = 700_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict[str, "WordEncoder"] = {}
 _SPACE = re.compile(r"\s")
+#: The splitter whose cuts are known here: letters that follow one another stay together, and so does other ASCII punctuation after them.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: An added token that matches this can't stand in letters with closing punctuation.
+_APART = re.compile(r"[!-/:-@[-`{-~].*[A-Za-z0-9]", re.S)
 
 
 def default_tokenizer() -> str:
@@ -35,14 +44,63 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _bare(path: str):
+    """The tokenizer's own model behind nothing but a split at spaces, or None where what stands before the model isn't known here."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    split = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    alone = all(spec.get(k) is None for k in ("truncation", "padding", "post_processor"))
+    alone &= all(_APART.search(t["content"]) for t in spec["added_tokens"])
+    if not alone or len(before) != 2 or before[0] != split or before[1] | level != before[1]:
+        return None
+    spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+    return Tokenizer.from_str(json.dumps(spec))
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level pieces; a space is left as it is."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return dict(zip(shown, shown)) | {b: 256 + k for k, b in enumerate(hidden)} | {32: 32}
+
+
+class Memory:
+    """Values of keys as ``learn`` gives them for a list, remembered for ``most`` keys, or those of one call if they are more. The half that was asked for last stays."""
+
+    def __init__(self, most: int, learn):
+        self.half, self.learn = most // 2, learn
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __call__(self, keys: list[str]) -> list[bytes]:
+        """``keys`` are distinct."""
+        values = list(map(self.recent.get, keys))
+        missing = [k for k, v in zip(keys, values) if v is None]
+        if missing:
+            found = {k: self.older[k] for k in missing if k in self.older}
+            new = [k for k in missing if k not in found]
+            found.update(zip(new, self.learn(new) if new else [], strict=True))
+            if len(self.recent) + len(found) > self.half:
+                self.older, self.recent = self.recent, {}
+            self.recent.update(found)
+            values = [found[k] if v is None else v for k, v in zip(keys, values)]
+        return values
+
+
 class WordEncoder:
     """Ids of a text by a tokenizer that drops white space, found word by word.
 
     The tokenizer's normaliser and splitter treat each run between ASCII white space on its own, so the ids
-    of a text are those of its words in order; a word's ids are remembered as little-endian bytes. Unknown words go
-    through the tokenizer's own normaliser, many at a time. A word of letters with closing punctuation is
-    looked up by its two parts, which the tokenizer encodes as one text with many others; that the pieces' bytes
-    end where the words do is checked for every word. All other words are encoded by the tokenizer one by one.
+    of a text are those of its words in order, as little-endian bytes; they are put together in Arrow. A word of letters with
+    closing punctuation is looked up by its two parts, ASCII ones lowered, others after the tokenizer's own
+    normaliser, many at a time. The splitter is asked once for each other letter whether it is one. Unknown parts go to the
+    tokenizer's model as one text with many others, past normaliser and splitter, which would leave
+    them as they are; of a tokenizer with another splitter, the whole of it encodes that text. That the pieces' bytes end where the
+    words do is checked for every part. All other words are encoded by the tokenizer one by one.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -50,9 +108,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.bare = _bare(path)
+        self.shown = _byte_letters()
+        self.closing = string.punctuation if self.bare else ",.!"
+        self.letters: dict[str, bool] = {}  # whether the splitter takes them for such
         self.remembered = remembered
+        self.forget()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.sizes = np.zeros(len(self.ends), np.int64)  # a piece has a character for each byte
@@ -63,10 +124,18 @@ class WordEncoder:
         #: whether all that the normaliser does to ASCII characters, none of them white space, is to lower them
         self.lowers = normaliser is not None and all(normaliser.normalize_str(chr(c)) == chr(c).lower() for c in range(33, 127))
 
+    def forget(self, run: str = "") -> None:
+        self.run = run
+        self.parts = Memory(self.remembered, self._together)
+        self.words = Memory(self.remembered, self._learn)
+
     @classmethod
-    def of(cls, path: str) -> "WordEncoder":
+    def of(cls, path: str, run: str) -> "WordEncoder":
+        """This worker's encoder. The tasks of one run share what it remembers; the next run starts anew."""
         if path not in _ENCODERS:
             _ENCODERS[path] = cls(path)
+        if _ENCODERS[path].run != run:
+            _ENCODERS[path].forget(run)
         return _ENCODERS[path]
 
     def _each(self, words: list[str]) -> list[bytes]:
@@ -76,9 +145,11 @@ class WordEncoder:
     def _together(self, words: list[str]) -> list[bytes]:
         """Ids of normalised words that the splitter should leave whole, encoded as one text. If a word's bytes aren't those of its pieces, all go one by one."""
         text = " ".join(words)
-        if not text.isascii() and self.tokenizer.normalizer.normalize_str(text) != text:
+        if self.bare:
+            text = text if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
+        elif not text.isascii() and self.tokenizer.normalizer.normalize_str(text) != text:
             return self._each(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array((self.bare or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         sizes = np.array([len(w.encode()) for w in words])
         if len(cuts) != len(words) or cuts[-1] != len(ids) or (np.add.reduceat(self.sizes[ids], np.r_[0, cuts[:-1]]) != sizes).any():
@@ -93,69 +164,81 @@ class WordEncoder:
         out = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
         return out if len(out) == len(words) else None
 
-    def _learn(self, words: list[str]) -> None:
+    def _one_run(self, cores: list[str]) -> set[str]:
+        """Those that the splitter takes for one run of letters. Another splitter than the known one shows it by where pieces end."""
+        some = {c for c in cores if c.isalpha()}
+        if not self.bare:
+            return some
+        every, cut = set("".join(some)), self.tokenizer.pre_tokenizer.pre_tokenize_str
+        for c in every.difference(self.letters):
+            self.letters[c] = len(cut(f"a{c}a")) == 1
+        strange = {c for c in every if not self.letters[c]}
+        return {c for c in some if strange.isdisjoint(c)} if strange else some
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words other than ASCII letters with closing punctuation."""
+        known: dict[str, bytes] = {}
         # a word with white space of its own, such as a no-break space, or a special token is none of the simple ones
-        plain, other = [], []
-        for w in words:
-            if self.lowers and w.isascii():
-                plain.append((w, w.lower()))
-            else:
-                other.append(w)
-        rare = [w for w in other if "<|" not in w and not _SPACE.search(w)]
-        normal = self._normalised(rare) if rare else []
-        plain += zip(rare, normal) if normal else []
-        split, new, simple, parts = [], [], set(), self.parts
-        for w, n in plain:
-            core = n.rstrip(",.!")
-            if core.isalpha():
-                tail = n[len(core) :]
-                split.append((w, core, tail))
-                if core not in parts:
-                    parts[core] = b""
-                    new.append(core)
-                if tail and tail not in parts:
-                    parts[tail] = b""
-                    new.append(tail)
-        if new:
-            parts.update(zip(new, self._together(new), strict=True))
-        known = self.known
-        for w, a, b in split:
-            known[w] = parts[a] + parts[b] if b else parts[a]
+        rare = [w for w in words if not (self.lowers and w.isascii()) and "<|" not in w and not _SPACE.search(w)]
+        normal = self._normalised(rare) if rare else None
+        if normal:
+            cores = [n.rstrip(self.closing) for n in normal]
+            tails = [n[len(c) :] for n, c in zip(normal, cores)]
+            right = self._one_run(cores)
+            keys = list(right.union(t for t in tails if t))
+            part = dict(zip(keys, self.parts(keys), strict=True)) | {"": b""}
+            known = {w: part[c] + part[t] for w, c, t in zip(rare, cores, tails) if c in right}
         rest = [w for w in words if w not in known]
-        if rest:
-            known.update(zip(rest, self._each(rest), strict=True))
+        known.update(zip(rest, self._each(rest) if rest else [], strict=True))
+        return [known[w] for w in words]
+
+    def _ids(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words."""
+        forms = pc.ascii_lower(words)
+        cores = pc.utf8_rtrim(forms, self.closing)
+        simple = pc.and_(pc.string_is_ascii(words), pc.ascii_is_alpha(cores)).to_numpy(zero_copy_only=False) & self.lowers
+        cores, forms = cores.filter(pa.array(simple)), forms.filter(pa.array(simple))
+        others = words.filter(pa.array(~simple)).to_numpy(zero_copy_only=False).tolist()
+        # what stands before a tail are ASCII letters only
+        keys = pa.concat_arrays([cores, pc.ascii_ltrim(forms, string.ascii_lowercase), pa.array([""], cores.type)]).dictionary_encode()
+        names = keys.dictionary.to_numpy(zero_copy_only=False).tolist()
+        none = names.index("")
+        names.pop(none)
+        found = self.parts(names)
+        found.insert(none, b"")
+        both = pa.array(found, pa.large_binary()).take(keys.indices)
+        joined = pc.binary_join_element_wise(both.slice(0, len(cores)), both.slice(len(cores), len(cores)), pa.scalar(b"", both.type))
+        place = np.empty(len(words), np.int64)
+        place[simple], place[~simple] = np.arange(len(cores)), len(cores) + np.arange(len(others))
+        return pa.concat_arrays([joined, pa.array(self.words(others), both.type)]).take(pa.array(place))
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, its words going through in runs."""
+        spaced = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
+        lists = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        words, data, ends, size = lists.values, [], [np.zeros(1, np.int64)], 0
+        for k in range(0, len(words), RUN):
+            run = words.slice(k, RUN).dictionary_encode()
+            ids = self._ids(run.dictionary).take(run.indices)
+            at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+            data.append(memoryview(ids.buffers()[2] or b"")[at[0] : at[-1]])
+            ends.append(at[1:] - at[0] + size)
+            size = ends[-1][-1]
+        whole, cuts = b"".join(data), np.concatenate(ends)[lists.offsets.to_numpy()].tolist()
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. The unknown words of some texts are learned together; a long text goes through in runs."""
         out, some, size = [], [], 0
         for text in [*texts, None]:
             if some and (text is None or size + len(text) > TOGETHER):
-                words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in some]
-                if len(some) > 1:
-                    self._meet([w for each in words for w in each])
-                    out += [b"".join(map(self.known.__getitem__, each)) for each in words]
-                else:
-                    runs = (words[0][k : k + TOGETHER] for k in range(0, len(words[0]), TOGETHER))
-                    out.append(b"".join([self._run(run) for run in runs]))
+                out += self._block(some)
                 some, size = [], 0
             if text is not None:
                 some.append(text)
                 size += len(text)
         return out
 
-    def _run(self, words: list[str]) -> bytes:
-        self._meet(words)
-        return b"".join(map(self.known.__getitem__, words))
-
-    def _meet(self, words: list[str]) -> None:
-        """Learns the words that aren't known. If they don't fit into memory, it starts anew."""
-        every = set(words)
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
-            self.known, self.parts, new = {}, {}, every
-        if new:
-            self._learn(list(new))
-
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
@@ -163,10 +246,10 @@ class WordEncoder:
 def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece: every document's ids and a closing 0, cut only where longer than ``capacity``. A null text counts as empty."""
     common.ship(df.sparkSession)
-    path = tokenizer or default_tokenizer()
+    path, own = tokenizer or default_tokenizer(), uuid.uuid4().hex
 
     def run(batches):
-        encoder = WordEncoder.of(path)
+        encoder = WordEncoder.of(path, own)
         for batch in batches:
             for some in common.slices(batch):
                 rows = []

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -166,3 +167,59 @@ def test_local_search_of_a_whole_block():
     assert all(sum(sizes[i] for i in b) <= 2048 for b in bins)
     assert packing.lower_bound(sizes, 2048) == 4397
     assert len(bins) <= 4405
+
+
+def test_unknown_words_are_not_taken_one_by_one(monkeypatch):
+    """Letters with any closing punctuation go to the model together, and past the splitter."""
+    text = "good### Bad*** éa,%%% thing.$$$ l'été... a_ b&&& ÇA!?"
+    other = packing.WordEncoder(packing.default_tokenizer())
+    alone = []
+    monkeypatch.setattr(other, "_each", lambda words, each=other._each: alone.extend(words) or each(words))
+    ids = other.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(other.encode(text), "<u4").tolist() == ids
+    assert alone == ["l'été..."]
+
+
+def test_words_in_use_stay_known():
+    """When the memory is full, the words of the last half stay; before, all were learned again."""
+    asked = []
+    memory = packing.Memory(8, lambda keys: asked.extend(keys) or [k.encode() for k in keys])
+    for k in range(0, 40, 2):
+        keys = ["the", f"w{k}", f"w{k + 1}"]
+        assert memory(keys) == [k.encode() for k in keys]
+        assert len(memory.recent) + len(memory.older) <= 8
+    assert asked.count("the") == 1
+    assert len(asked) == 41
+
+
+def test_a_run_starts_with_nothing_remembered():
+    path = packing.default_tokenizer()
+    first = packing.WordEncoder.of(path, "one")
+    first.encode("some words, été")
+    assert len(packing.WordEncoder.of(path, "one").parts.recent) == 4
+    assert not packing.WordEncoder.of(path, "two").parts.recent
+
+
+def test_letters_that_the_splitter_does_not_know(monkeypatch):
+    """Python may know letters of a later Unicode version; words with them are encoded by the whole tokenizer."""
+    other = packing.WordEncoder(packing.default_tokenizer())
+    monkeypatch.setitem(other.letters, "é", False)
+    alone = []
+    monkeypatch.setattr(other, "_each", lambda words, each=other._each: alone.extend(words) or each(words))
+    text = "été, ça va. Été"
+    assert other.encode(text) == ENCODER.encode(text)
+    assert sorted(alone) == ["Été", "été,"]
+
+
+def test_a_tokenizer_with_another_splitter(tmp_path):
+    """It isn't known what it cuts, so unknown words go through all of it."""
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]{1,4}|[\p{N}]|[^\s\p{L}\p{N}]+"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    other = packing.WordEncoder(str(path))
+    assert other.bare is None
+    for text in ("some longer words, and shorter!", "été İstanbul don't ### a.b", ""):
+        ids = other.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(other.encode(text), "<u4").tolist() == ids, text
